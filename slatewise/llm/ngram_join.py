@@ -27,6 +27,7 @@ COUNTED = 4_000_000
 #: Ids of sets to read again are broadcast up to this many, 8 bytes each; beyond, all sets are read.
 SENT_SETS = 2_000_000
 KEY_BITS = 40
+PIVOTS, PIVOT_ROUNDS = 16, 2
 
 
 def set_id(tokens: np.ndarray) -> bytes | None:
@@ -137,7 +138,8 @@ def _order(frequent: DataFrame, shared: DataFrame) -> tuple[np.ndarray, np.ndarr
 
 
 def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFrame:
-    """(token, sid, n, place): the prefix shingles of each set in rare-first order that other sets have too.
+    """(token, sid, n, place, shared): the prefix shingles of each set in rare-first order that other sets have too.
+    First come shingles of no other set, which need no posting, then those of few, then the frequent ones. ``shared`` is the part of the prefix, in thousandths, that has postings.
 
     Any set that links to one of n shingles shares a shingle of the first n - ceil(3n/4) + 1 of both."""
     sent = docs.sparkSession.sparkContext.broadcast(_order(frequent, shared))
@@ -150,24 +152,23 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), pa.array([r[1] for r in rows for _ in range(len(r[0]))], pa.binary()),
-                 pa.array(np.repeat([r[2] for r in rows], [len(r[0]) for r in rows]).astype(np.int32)), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32))],
-                names=["token", "sid", "n", "place"],
+                 pa.array(np.repeat([r[2] for r in rows], [len(r[0]) for r in rows]).astype(np.int32)), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32)), pa.array(np.repeat([r[4] for r in rows], [len(r[0]) for r in rows]).astype(np.int32))],
+                names=["token", "sid", "n", "place", "shared"],
             )
 
         for sid, tokens in _distinct_sets(batches):
             n = len(tokens)
             prefix = n - -(-n * NEED[0] // NEED[1]) + 1
             key = tokens >> np.uint64(64 - KEY_BITS)
+            bit = (key >> np.uint64(KEY_BITS - SHARED_BITS)).astype(np.int64)
+            often = ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.int32)  # 0: no other set has it
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                often = np.where(keys[at] == key, df[at], 0)
-                order = np.argsort(often, kind="stable")[:prefix]  # hashes rise among equals
-            else:
-                order = np.arange(prefix)
-            bit = (key[order] >> np.uint64(KEY_BITS - SHARED_BITS)).astype(np.int64)
-            place = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                often = np.where(keys[at] == key, df[at], often)
+            order = np.argsort(often, kind="stable")[:prefix]  # hashes rise among equals
+            place = np.flatnonzero(often[order])
             if len(place):
-                rows.append((tokens[order[place]], sid, n, place))
+                rows.append((tokens[order[place]], sid, n, place, 1000 * len(place) // prefix))
                 size += len(place)
                 if size > 20_000:
                     yield flush()
@@ -175,7 +176,7 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
         if rows:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, sid binary, n int, place int")
+    return docs.select("text").mapInArrow(run, "token long, sid binary, n int, place int, shared int")
 
 
 def _near(a: str, b: str) -> str:
@@ -187,21 +188,32 @@ def _near(a: str, b: str) -> str:
     )
 
 
-def pivot_pairs(posted: DataFrame) -> DataFrame:
-    """Of each shingle's list the pairs with its first set only: as many as the list is long."""
-    lists = posted.groupBy("token").agg(F.min(F.struct("n", "sid", "place")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    pivots = lists.select("token", F.col("p.sid").alias("sid"), F.col("p.n").alias("n"), F.col("p.place").alias("place"))
-    pairs = pivots.alias("a").join(posted.alias("b"), "token").where(F.expr("a.sid <> b.sid and " + _near("a", "b")))
-    return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+def unsettled(posted: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``posted`` (see postings) with each set's component so far as ``label``; lists within one component go."""
+    own = posted.withColumn("label", F.col("sid")) if links is None else posted.join(components(links).select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    return keep(own.join(mixed, "token", "left_semi"), "unsettled")
+
 
+def pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
+    """Of each shingle's list the pairs of other components with one set, its pivot: as many as the list is long.
 
-def cross_pairs(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    At first that is the set which shares most of its prefix, as the source of many edited copies does.
+    Later PIVOTS kinds of shingles choose by chance, so that a set of many lists meets several pivots."""
+    by_chance = F.xxhash64("sid", F.pmod("token", F.lit(PIVOTS)), F.lit(seed))
+    chosen = F.struct((-F.col("shared") if seed == 0 else F.lit(0)).alias("c"), by_chance.alias("h"), "sid", "n", "place", "label")
+    pivots = lists.groupBy("token").agg(F.min(chosen).alias("p")).select("token", "p.sid", "p.n", "p.place", "p.label")
+    return _pairs(pivots, lists, "a.label <> b.label")
+
+
+def cross_pairs(lists: DataFrame) -> DataFrame:
     """Of each shingle's list all pairs of sets that aren't yet in one component."""
-    own = posted.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    own = keep(own.join(mixed, "token", "left_semi"), "mixed")
-    pairs = own.alias("a").join(own.alias("b"), "token").where(F.expr("a.sid < b.sid and a.label <> b.label and " + _near("a", "b")))
-    return pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
+    return _pairs(lists, lists, "a.sid < b.sid and a.label <> b.label")
+
+
+def _pairs(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
+    pairs = left.alias("a").join(right.alias("b"), "token").where(F.expr(f"{which} and {_near('a', 'b')}"))
+    return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -260,23 +272,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A kept table of the ``pairs`` whose sets link; the sets are read from the documents again."""
+    pairs = keep(pairs, "pairs")
+    sides = keep(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sides")
+    return keep(verified(pairs, keep(read_sets(docs, sides), "tokens")), "linked")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text): the smallest doc_id reachable by links.
 
-    Equal sets are one from the start. The others meet through prefix postings in two rounds: each list
-    against its first set, and then all pairs of a list that the links so far leave in different
-    components. So a group of near copies costs as many pairs as it has members and postings, and no
-    link between components is lost. Documents without words are their own component, also repeated
+    Equal sets are one from the start. The others meet through prefix postings: each list against its
+    pivot, a round or two, and then all pairs of a list that the links so far leave in different
+    components. So a group of near copies costs about as many pairs as it has members, and no link
+    between components is lost. Documents without words are their own component, also repeated
     ones; a null id is nobody's smallest; repeated ids and rows are answered each."""
     sets = keep(shingle_sets(docs), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     posted = keep(postings(docs, *frequencies(docs, total)).dropDuplicates(["token", "sid"]), "postings")
-    shared = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    posted = keep(posted.join(shared, "token", "left_semi"), "shared")
-    tokens = keep(read_sets(docs, posted.select("sid").distinct()), "tokens")
-    near = keep(verified(pivot_pairs(posted), tokens), "near")
-    more = keep(verified(cross_pairs(posted, components(near)), tokens), "more")
-    labels = components(near.unionByName(more))
+    links, lists = None, unsettled(posted, None)
+    for seed in range(PIVOT_ROUNDS):
+        found = linked(docs, pivot_pairs(lists, seed))
+        links = found if links is None else links.unionByName(found)
+        lists = unsettled(lists.drop("label"), links)
+    labels = components(links.unionByName(linked(docs, cross_pairs(lists))))
     classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     of_set = keep(classes.join(smallest, "label").select("sid", "component_id"), "components")
