@@ -49,7 +49,7 @@ def test_night_bounds(spark):
     for r in night.night_events(SimpleNamespace(game=g, stat=s, line=line)).collect():
         got.setdefault(str(r.date), set()).add(r.event_key)
     assert {"TWO_TEAMS_130_PLUS", "ANY_TEAM_130_PLUS", "ANY_GAME_TOTAL_250_PLUS", "TRIPLE_DOUBLE_EXISTS", "ANY_PLAYER_45_PLUS_MINUTES", "ANY_PLAYER_PERFECT_FT_10_PLUS", "ANY_PLAYER_10_PLUS_THREES", "ANY_PLAYER_5_PLUS_STEALS"} <= got["2000-01-01"]
-    assert not {"TEAM_POINTS_GE_140", "TWO_30PT_SCORERS", "GAME_SPREAD_COVERED", "GAME_WENT_OVER", "NO_30PT_SCORER", "BLOWOUT_25_PLUS", "GAMES_DECIDED_BY_3_GE_2"} & got["2000-01-01"]
+    assert not {"TEAM_POINTS_GE_140", "TWO_30PT_SCORERS", "GAME_SPREAD_COVERED", "GAME_WENT_OVER", "NO_30PT_SCORER", "BLOWOUTS_25_PLUS_GE_2", "GAMES_DECIDED_BY_3_GE_2"} & got["2000-01-01"]
     assert got["2000-01-02"] == {"SLATE_GAMES_LE_4"}
 
 
