@@ -44,18 +44,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """``cells`` (categories, tokens) with the weight of each cell's tokens after raking and ``ratio`` = weight / tokens.
 
     A round scales the cells of every category to its target, one dimension after the other, and then
-    holds the ratio within [1/max_ratio, max_ratio]. Marginals are pre-aggregated sums joined back by
-    category, never a window over a category's cells. Every round is cut by a checkpoint. A category
-    without a target keeps its weight."""
+    holds the ratio within [1/max_ratio, max_ratio]. The targets stand beside the cells from the start;
+    marginals are pre-aggregated sums joined back by category, never a window over a category's cells.
+    Every scaling is cut by a checkpoint, so that no plan holds more than one. A category without a
+    target keeps its weight."""
     shared_dir(cells.sparkSession)
     held = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d, target in targets.items():
+        held = held.join(target.withColumnRenamed("target", f"target_{d}"), d, "left")
+    held = held.checkpoint()
     for _ in range(rounds):
-        for d, target in targets.items():
-            sums = held.groupBy(d).agg(F.sum("weight").alias("own")).join(target, d, "left").select(d, F.coalesce(F.col("target") / F.col("own"), F.lit(1.0)).alias("factor"))
-            held = held.join(sums, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        held = held.withColumn("weight", F.least(F.greatest("weight", F.col("tokens") / F.lit(max_ratio)), F.col("tokens") * F.lit(max_ratio)))
-        held = held.checkpoint()
-    return held.withColumn("ratio", F.col("weight") / F.col("tokens"))
+        for i, d in enumerate(targets):
+            own = held.groupBy(d).agg(F.sum("weight").alias("own"))
+            weight = F.coalesce(F.col("weight") * (F.col(f"target_{d}") / F.col("own")), F.col("weight"))
+            if i == len(targets) - 1:
+                weight = F.least(F.greatest(weight, F.col("tokens") / F.lit(max_ratio)), F.col("tokens") * F.lit(max_ratio))
+            held = held.join(own, d).withColumn("weight", weight).drop("own").checkpoint()
+    return held.drop(*[f"target_{d}" for d in targets]).withColumn("ratio", F.col("weight") / F.col("tokens"))
 
 
 def uniform(doc_id: str, seed: str) -> Column:
