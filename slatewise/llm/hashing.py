@@ -24,7 +24,7 @@ _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 def _power(way: str, base: int, n: int) -> np.ndarray:
     held = _powers[way]
     if len(held) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         held = np.full(size, base, dtype=np.uint64)
         held[0] = 1
         held = _powers[way] = np.multiply.accumulate(held)

@@ -23,7 +23,7 @@ FREQUENT, LEAST_FREQUENT = 1_000_000, 6
 #: Bits that say which shingles more than one set has: a broadcast of 16 MB at any size.
 SHARED_BITS = 27
 #: Shingles counted by one task of the frequency count.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Ids of sets to read again are broadcast up to this many, 8 bytes each; beyond, all sets are read.
 SENT_SETS = 2_000_000
 KEY_BITS = 40
@@ -49,7 +49,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _distinct_sets(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray]]:
     """Sets of a column of texts; copies in the same task count once (as far as ``limit`` ids are remembered)."""
     seen: set[bytes] = set()
-    for batch in rows_of(batches):
+    for batch in rows_of(batches, 128):
         for tokens in shingles(batch.column(0), WORDS):
             sid = set_id(tokens)
             if sid is not None and sid not in seen:
