@@ -179,20 +179,24 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
     return docs.select("text").mapInArrow(run, "token long, sid binary, n int, place int, shared int")
 
 
-def _near(a: str, b: str) -> str:
-    """Length and positional filters: sizes allow the overlap, and so does what follows the shared shingle in both."""
-    low, high = NEED
-    return (
-        f"{high} * least({a}.n, {b}.n) >= {low} * greatest({a}.n, {b}.n) and "
-        f"{low + high} * (1 + least({a}.n - 1 - {a}.place, {b}.n - 1 - {b}.place)) >= {low} * ({a}.n + {b}.n)"
-    )
+#: Length and positional filter of a posting: the largest set that what follows the shared shingle still allows to link.
+#: At the first place that is 4/3 of its own size; two sets link only if each is within the reach of the other.
+REACH = f"({NEED[1]} * n - {sum(NEED)} * place) div {NEED[0]}"
+_NEAR = "a.n <= b.reach and b.n <= a.reach"
 
 
 def unsettled(posted: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``posted`` (see postings) with each set's component so far as ``label``; lists within one component go."""
+    """``posted`` (see postings) with each set's component so far as ``label`` and its ``reach``; postings that can't
+    meet one of another component go.
+
+    Of two sets the smaller reaches the larger, so its reach is at least its own size. A frequent shingle comes
+    late in most sets, where the reach is smaller: those only meet the few that have it early."""
     own = posted.withColumn("label", F.col("sid")) if links is None else posted.join(components(links).select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = own.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    return keep(own.join(mixed, "token", "left_semi"), "unsettled")
+    own = own.withColumn("reach", F.expr(REACH))
+    early = own.where("reach >= n").groupBy("token").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    able = own.join(early, "token").where("n <= most and reach >= least").drop("least", "most")
+    mixed = able.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    return keep(able.join(mixed, "token", "left_semi"), "unsettled")
 
 
 def pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
@@ -201,19 +205,26 @@ def pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
     At first that is the set which shares most of its prefix, as the source of many edited copies does.
     Later PIVOTS kinds of shingles choose by chance, so that a set of many lists meets several pivots."""
     by_chance = F.xxhash64("sid", F.pmod("token", F.lit(PIVOTS)), F.lit(seed))
-    chosen = F.struct((-F.col("shared") if seed == 0 else F.lit(0)).alias("c"), by_chance.alias("h"), "sid", "n", "place", "label")
-    pivots = lists.groupBy("token").agg(F.min(chosen).alias("p")).select("token", "p.sid", "p.n", "p.place", "p.label")
-    return _pairs(pivots, lists, "a.label <> b.label")
+    chosen = F.struct(F.expr("reach < n").alias("late"), (-F.col("shared") if seed == 0 else F.lit(0)).alias("c"), by_chance.alias("h"), "sid", "n", "reach", "label")
+    pivots = lists.groupBy("token").agg(F.min(chosen).alias("p")).select("token", "p.sid", "p.n", "p.reach", "p.label")
+    return _near_pairs(pivots.alias("a").join(lists.alias("b"), "token"), "a.label <> b.label")
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """Of each shingle's list all pairs of sets that aren't yet in one component."""
-    return _pairs(lists, lists, "a.sid < b.sid and a.label <> b.label")
+    """Of each shingle's list all pairs of sets that aren't yet in one component, the smaller set on the left.
+
+    Components of a list meet first, by the bounds of their sets; only sets of two that can meet are paired,
+    so that a large group of near copies isn't paired with itself."""
+    small = lists.where("reach >= n")
+    bounds = lambda df: df.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    meet = bounds(small).alias("a").join(bounds(lists).alias("b"), "token").where("a.label <> b.label and b.least <= a.most and a.least <= b.most")
+    meet = meet.select("token", F.col("a.label").alias("other"), F.col("a.least").alias("least"), F.col("a.most").alias("most"), F.col("b.label").alias("label"))
+    large = lists.join(meet, ["token", "label"]).where("n <= most and least <= reach").select("token", F.col("other").alias("label"), "sid", "n", "reach")
+    return _near_pairs(small.alias("a").join(large.alias("b"), ["token", "label"]), "(a.n < b.n or (a.n = b.n and a.sid < b.sid))")
 
 
-def _pairs(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
-    pairs = left.alias("a").join(right.alias("b"), "token").where(F.expr(f"{which} and {_near('a', 'b')}"))
-    return pairs.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
+def _near_pairs(met: DataFrame, which: str) -> DataFrame:
+    return met.where(F.expr(f"{which} and {_NEAR}")).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -294,7 +305,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     for seed in range(PIVOT_ROUNDS):
         found = linked(docs, pivot_pairs(lists, seed))
         links = found if links is None else links.unionByName(found)
-        lists = unsettled(lists.drop("label"), links)
+        lists = unsettled(lists.drop("label", "reach"), links)
     labels = components(links.unionByName(linked(docs, cross_pairs(lists))))
     classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
