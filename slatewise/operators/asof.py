@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 #: Games a team must have played before it has a context.
 MIN_GAMES = 10
+#: What pace needs; a game whose lines lack a split leaves the team without pace for the rest of the season.
+SPLITS = {"fga": "sum(fga)", "oreb": "sum(oreb)", "turnovers": "sum(turnovers)", "fta": "sum(fta)", "secs": "sum(secs)", "lacking": "max(case when fga is null or oreb is null then 1 else 0 end)"}
+#: (fga - oreb + turnovers + 0.44 fta) * 48 / (secs / 60) * games, in whole numbers up to the division.
+PACE = "case when lacking = 0 and secs > 0 then (100 * (fga - oreb + turnovers) + 44 * fta) * g * 288 / (secs * 10) end"
 
 
 def team_games(game: DataFrame, stat: DataFrame) -> DataFrame:
-    """Two rows per final game, one for each side, with the side's player sums."""
-    sums = stat.groupBy("game_id", "team_id").agg(F.sum("rebounds").alias("rebounds"), F.sum("assists").alias("assists"))
+    """Two rows per final game, one for each side, with the side's player sums. A tie counts as won by the road team."""
+    sums = stat.groupBy("game_id", "team_id").agg(F.sum("rebounds").alias("rebounds"), F.sum("assists").alias("assists"), *[F.expr(e).alias(n) for n, e in SPLITS.items()])
     sides = game.where("status = 'Final'").select("game_id", "date", "season", F.expr("stack(2, home_team_id, home_score, away_score, true, away_team_id, away_score, home_score, false) as (team_id, scored, allowed, home)"))
-    return sides.join(sums, ["game_id", "team_id"], "left").fillna(0, ["rebounds", "assists"]).withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date"))).withColumn("won", (F.col("scored") > F.col("allowed")).cast("int"))
+    return sides.join(sums, ["game_id", "team_id"], "left").fillna(0, ["rebounds", "assists", *SPLITS]).withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date"))).withColumn("won", F.expr("cast(case when home then scored > allowed else scored >= allowed end as int)"))
 
 
 def team_state(games: DataFrame) -> DataFrame:
@@ -37,40 +41,53 @@ def team_state(games: DataFrame) -> DataFrame:
 
 
 def league_ranks(games: DataFrame) -> DataFrame:
-    """(season, day, team_id, rank_off, rank_def) of all teams with MIN_GAMES games before each date with games.
+    """(season, day, team_id, rank_off, rank_def, pace, rank_pace) of all teams with MIN_GAMES games before each date with games.
 
     A spine of the season's dates and teams takes the daily sums; ties go to the smaller team_id."""
-    daily = games.groupBy("season", "team_id", "day").agg(F.count("*").alias("g"), F.sum("scored").alias("scored"), F.sum("allowed").alias("allowed"))
+    daily = games.groupBy("season", "team_id", "day").agg(F.count("*").alias("g"), *[F.sum(c).alias(c) for c in ("scored", "allowed", *SPLITS)])
     spine = games.select("season", "day").distinct().join(games.select("season", "team_id").distinct(), "season")
     before = Window.partitionBy("season", "team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    state = spine.join(daily, ["season", "team_id", "day"], "left").select("season", "day", "team_id", *[F.sum(F.coalesce(c, F.lit(0))).over(before).alias(c) for c in ("g", "scored", "allowed")]).where(F.col("g") >= MIN_GAMES)
+    state = spine.join(daily, ["season", "team_id", "day"], "left").select("season", "day", "team_id", *[F.sum(F.coalesce(c, F.lit(0))).over(before).alias(c) for c in ("g", "scored", "allowed", *SPLITS)]).where(F.col("g") >= MIN_GAMES)
     on_day = Window.partitionBy("season", "day")
     ppg, oppg = F.col("scored") / F.col("g"), F.col("allowed") / F.col("g")
-    return state.select("season", "day", "team_id", F.row_number().over(on_day.orderBy(F.desc(ppg), "team_id")).alias("rank_off"), F.row_number().over(on_day.orderBy(oppg, "team_id")).alias("rank_def"))
+    pace = F.col("pace")
+    return state.withColumn("pace", F.expr(PACE)).select(
+        "season", "day", "team_id", F.row_number().over(on_day.orderBy(F.desc(ppg), "team_id")).alias("rank_off"), F.row_number().over(on_day.orderBy(oppg, "team_id")).alias("rank_def"),
+        pace, F.when(pace.isNotNull(), F.row_number().over(on_day.orderBy(pace.desc_nulls_last(), "team_id"))).alias("rank_pace"),
+    )
+
+
+def head_to_head(game: DataFrame) -> DataFrame:
+    """Per final game the earlier meetings of its two teams in the season, and how many of them the home side of the day won."""
+    final = game.where("status = 'Final'").withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date")))
+    before = Window.partitionBy("season", F.least("home_team_id", "away_team_id"), F.greatest("home_team_id", "away_team_id")).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    return final.select("game_id", "season", F.count("*").over(before).alias("prior_meetings"), F.coalesce(F.sum((F.col("home_score") > F.col("away_score")).cast("int")).over(before), F.lit(0)).alias("prior_home_side_wins"))
+
+
+COLUMNS = ("gp", "wins", "losses", "ppg", "oppg", "reb_pg", "ast_pg", "rest_days", "is_b2b", "streak", "rank_off", "rank_def", "pace", "rank_pace")
 
 
 def game_context(game: DataFrame, stat: DataFrame) -> DataFrame:
     """One row per final game whose teams both have MIN_GAMES games before: the state of either side."""
     games = team_games(game, stat)
     sides = team_state(games).where(F.col("gp") >= MIN_GAMES).join(league_ranks(games), ["season", "day", "team_id"], "left")
-    columns = ("gp", "wins", "losses", "ppg", "oppg", "reb_pg", "ast_pg", "rest_days", "is_b2b", "streak", "rank_off", "rank_def")
-    side = lambda home, name: sides.where(F.col("home") == home).select("game_id", *([] if not home else ["season", "date"]), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    side = lambda home, name: sides.where(F.col("home") == home).select("game_id", *([] if not home else ["season", "date"]), *[F.col(c).alias(f"{name}_{c}") for c in COLUMNS])
     return side(True, "home").join(side(False, "away"), "game_id")
 
 
 CONTEXT_SQL = {
-    "side_sums": "select game_id, team_id, sum(rebounds) rebounds, sum(assists) assists from fx_stat group by game_id, team_id",
+    "side_sums": "select game_id, team_id, sum(rebounds) rebounds, sum(assists) assists, " + ", ".join(f"{e} {n}" for n, e in SPLITS.items()) + " from fx_stat group by game_id, team_id",
     "tg0": "select game_id, date, season, home_team_id team_id, home_score scored, away_score allowed, true home from fx_game where status = 'Final' union all select game_id, date, season, away_team_id, away_score, home_score, false from fx_game where status = 'Final'",
-    "tg": "select t.*, coalesce(s.rebounds, 0) rebounds, coalesce(s.assists, 0) assists, date_diff('day', date '1990-01-01', t.date) as day, case when scored > allowed then 1 else 0 end won from tg0 t left join side_sums s on s.game_id = t.game_id and s.team_id = t.team_id",
+    "tg": "select t.*, coalesce(s.rebounds, 0) rebounds, coalesce(s.assists, 0) assists, " + "".join(f"coalesce(s.{c}, 0) {c}, " for c in SPLITS) + "date_diff('day', date '1990-01-01', t.date) as day, case when scored > allowed or (scored = allowed and not home) then 1 else 0 end won from tg0 t left join side_sums s on s.game_id = t.game_id and s.team_id = t.team_id",
     "tr": "select *, sum(case when won = lw then 0 else 1 end) over (partition by season, team_id order by day, game_id rows unbounded preceding) run from (select *, lag(won) over (partition by season, team_id order by day, game_id) lw from tg)",
     "ts": "select *, (case when won = 1 then 1 else -1 end) * row_number() over (partition by season, team_id, run order by day, game_id) streak_after from tr",
     "state": """select game_id, season, date, day, team_id, home, count(*) over w gp, coalesce(sum(won) over w, 0) wins, count(*) over w - coalesce(sum(won) over w, 0) losses, sum(scored) over w / nullif(count(*) over w, 0) ppg, sum(allowed) over w / nullif(count(*) over w, 0) oppg,
         sum(rebounds) over w / nullif(count(*) over w, 0) reb_pg, sum(assists) over w / nullif(count(*) over w, 0) ast_pg, day - max(day) over w - 1 rest_days, arg_max(streak_after, day * 100000000 + game_id) over w streak
         from ts window w as (partition by season, team_id order by day range between unbounded preceding and 1 preceding)""",
-    "daily": "select season, team_id, day, count(*) g, sum(scored) scored, sum(allowed) allowed from tg group by all",
+    "daily": "select season, team_id, day, count(*) g, " + ", ".join(f"sum({c}) {c}" for c in ("scored", "allowed", *SPLITS)) + " from tg group by all",
     "spine": "select d.season, d.day, t.team_id from (select distinct season, day from tg) d join (select distinct season, team_id from tg) t on t.season = d.season",
-    "cum": "select s.season, s.day, s.team_id, sum(coalesce(g, 0)) over w g, sum(coalesce(scored, 0)) over w scored, sum(coalesce(allowed, 0)) over w allowed from spine s left join daily d on d.season = s.season and d.team_id = s.team_id and d.day = s.day window w as (partition by s.season, s.team_id order by s.day range between unbounded preceding and 1 preceding)",
-    "ranks": "select season, day, team_id, row_number() over (partition by season, day order by scored / g desc, team_id) rank_off, row_number() over (partition by season, day order by allowed / g, team_id) rank_def from cum where g >= 10",
-    "ctx_side": "select s.*, coalesce(rest_days = 0, false) is_b2b, rank_off, rank_def from state s left join ranks r on r.season = s.season and r.day = s.day and r.team_id = s.team_id where gp >= 10",
-    "context": "select h.game_id, h.season, h.date, " + ", ".join(f"{a}.{c} {n}_{c}" for a, n in (("h", "home"), ("a", "away")) for c in ("gp", "wins", "losses", "ppg", "oppg", "reb_pg", "ast_pg", "rest_days", "is_b2b", "streak", "rank_off", "rank_def")) + " from ctx_side h join ctx_side a on a.game_id = h.game_id and h.home and not a.home",
+    "cum": "select s.season, s.day, s.team_id, sum(coalesce(g, 0)) over w g, " + ", ".join(f"sum(coalesce({c}, 0)) over w {c}" for c in ("scored", "allowed", *SPLITS)) + " from spine s left join daily d on d.season = s.season and d.team_id = s.team_id and d.day = s.day window w as (partition by s.season, s.team_id order by s.day range between unbounded preceding and 1 preceding)",
+    "ranks": "select season, day, team_id, row_number() over (partition by season, day order by scored / g desc, team_id) rank_off, row_number() over (partition by season, day order by allowed / g, team_id) rank_def, pace, case when pace is not null then row_number() over (partition by season, day order by pace desc nulls last, team_id) end rank_pace from (select *, " + PACE + " pace from cum where g >= 10)",
+    "ctx_side": "select s.*, coalesce(rest_days = 0, false) is_b2b, rank_off, rank_def, pace, rank_pace from state s left join ranks r on r.season = s.season and r.day = s.day and r.team_id = s.team_id where gp >= 10",
+    "context": "select h.game_id, h.season, h.date, " + ", ".join(f"{a}.{c} {n}_{c}" for a, n in (("h", "home"), ("a", "away")) for c in COLUMNS) + " from ctx_side h join ctx_side a on a.game_id = h.game_id and h.home and not a.home",
 }

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.operators import players
 from slatewise.operators.asof import game_context
 
 #: Conditions of one side; {me} and {opp} become home and away.
@@ -16,6 +17,7 @@ SIDE = {
     **{f"WIN_STREAK_{n}": f"{{me}}_streak >= {n}" for n in (3, 5, 7)}, **{f"LOSING_STREAK_{n}": f"{{me}}_streak <= -{n}" for n in (3, 5, 7)},
     "WIN_PCT_OVER_600": "{me}_wins * 10 >= 6 * {me}_gp", "WIN_PCT_UNDER_400": "{me}_wins * 10 < 4 * {me}_gp", "WIN_PCT_OVER_700": "{me}_wins * 10 >= 7 * {me}_gp",
     "NET_RATING_PLUS_5": "{me}_ppg - {me}_oppg >= 5", "NET_RATING_MINUS_5": "{me}_ppg - {me}_oppg <= -5", "NET_RATING_PLUS_10": "{me}_ppg - {me}_oppg >= 10", "HIGH_SCORING": "{me}_ppg >= 115", "LOW_SCORING": "{me}_ppg < 105", "STINGY_DEF": "{me}_oppg < 108", "POROUS_DEF": "{me}_oppg >= 118",
+    "HAS_TOP_5_SCORER": "{me}_best_ppg <= 5", "HAS_TOP_10_SCORER": "{me}_best_ppg <= 10", "HAS_TOP_5_REBOUNDER": "{me}_best_rpg <= 5", "HAS_TOP_10_REBOUNDER": "{me}_best_rpg <= 10", "HAS_TOP_10_PLAYMAKER": "{me}_best_apg <= 10",
 }
 #: A line of 0 counts as missing.
 _spread, _line = "spread_home <> 0 and abs(spread_home)", "total_over <> 0 and total_over"
@@ -23,6 +25,8 @@ GAME = {
     "BOTH_ON_B2B": "home_is_b2b and away_is_b2b", "TOP_OFF_VS_BOTTOM_DEF": "(home_rank_off <= 10 and away_rank_def >= 21) or (away_rank_off <= 10 and home_rank_def >= 21)", "BOTH_TOP_10_OFF": "home_rank_off <= 10 and away_rank_off <= 10",
     "SPREAD_UNDER_3": f"{_spread} < 3", "SPREAD_3_TO_7": f"{_spread} between 3 and 7", "SPREAD_OVER_10": f"{_spread} > 10", "TOTAL_LINE_OVER_230": f"{_line} > 230", "TOTAL_LINE_OVER_235": f"{_line} > 235", "TOTAL_LINE_UNDER_210": f"{_line} < 210",
     "BIG_FAVORITE": "abs(home_wins * away_gp - away_wins * home_gp) * 10 >= 3 * home_gp * away_gp", "BOTH_HIGH_SCORING": "home_ppg >= 115 and away_ppg >= 115", "BOTH_LOW_SCORING": "home_ppg < 105 and away_ppg < 105", "BOTH_POROUS_DEF": "home_oppg >= 115 and away_oppg >= 115", "BOTH_STINGY_DEF": "home_oppg < 108 and away_oppg < 108",
+    "BOTH_TOP_10_PACE": "home_rank_pace <= 10 and away_rank_pace <= 10", "BOTH_BOTTOM_10_PACE": "home_rank_pace >= 21 and away_rank_pace >= 21", "PACE_MISMATCH": "abs(home_rank_pace - away_rank_pace) >= 15",
+    "STAR_MATCHUP": "home_best_ppg <= 10 and away_best_ppg <= 10", "TOP_5_SCORER_VS_BOTTOM_10_DEF": "least(home_weak_ppg, away_weak_ppg) <= 5",
 }
 _m, _t, _s = "(home_score - away_score)", "(home_score + away_score)", "spread_home <> 0 and"
 OUTCOMES = {
@@ -31,6 +35,12 @@ OUTCOMES = {
     "HOME_WIN": f"{_m} > 0", "AWAY_WIN": f"{_m} < 0", "MARGIN_UNDER_5": f"abs({_m}) < 5", "MARGIN_UNDER_10": f"abs({_m}) < 10", "BLOWOUT_20_PLUS": f"abs({_m}) >= 20", "OVERTIME": "game_secs > 30000",
     "PLAYER_30_PLUS": "max_points >= 30", "PLAYER_40_PLUS": "max_points >= 40", "PLAYER_DOUBLE_DOUBLE": "max_tens >= 2", "PLAYER_TRIPLE_DOUBLE": "max_tens >= 3", "PLAYER_10_PLUS_ASSISTS": "max_assists >= 10", "PLAYER_10_PLUS_REBOUNDS": "max_rebounds >= 10", "PLAYER_5_PLUS_THREES": "max_threes >= 5",
 }
+#: The same for the top player of either side by each average: at least so much, and more than the own average before.
+for _side in ("home", "away"):
+    for _word, _avg, _stat, _bounds in (("SCORER", "ppg", "points", (25, 30)), ("REBOUNDER", "rpg", "rebounds", (10, 12)), ("ASSIST", "apg", "assists", (8, 10))):
+        _name, _top = f"{_side.upper()}_TOP_{_word}", f"{_side}_top_{_avg}"
+        OUTCOMES |= {f"{_name}_{n}_PLUS": f"{_top}_{_stat} >= {n}" for n in _bounds} | {f"{_name}_EXCEEDS_AVG": f"{_top}_{_avg} <> 0 and {_top}_{_stat} > {_top}_{_avg}"}
+    OUTCOMES[f"{_side.upper()}_TOP_SCORER_DOUBLE_DOUBLE"] = " + ".join(f"case when {_side}_top_ppg_{c} >= 10 then 1 else 0 end" for c in ("points", "rebounds", "assists")) + " >= 2"
 _TENS = "case when points >= 10 then 1 else 0 end + case when rebounds >= 10 then 1 else 0 end + case when assists >= 10 then 1 else 0 end + case when steals >= 10 then 1 else 0 end + case when blocks >= 10 then 1 else 0 end"
 BEST = {"game_secs": "sum(secs)", "max_points": "max(points)", "max_assists": "max(assists)", "max_rebounds": "max(rebounds)", "max_threes": "max(coalesce(fg3m, 0))", "max_tens": f"max({_TENS})"}
 
@@ -41,13 +51,15 @@ KEYS = CONDITIONS | {f"{k}:game": e for k, e in OUTCOMES.items()}
 def game_events(fx: SimpleNamespace) -> DataFrame:
     """(game_id, season, event_key, kind) for every condition and outcome that holds in a game with a context."""
     best = fx.stat.groupBy("game_id").agg(*[F.expr(e).alias(n) for n, e in BEST.items()])
-    wide = game_context(fx.game, fx.stat).join(fx.game.select("game_id", "home_score", "away_score"), "game_id").join(fx.line, "game_id", "left").join(best, "game_id", "left")
+    context = game_context(fx.game, fx.stat)
+    top = players.sides(players.player_context(fx.game, fx.stat, context))
+    wide = context.join(top, "game_id", "left").join(fx.game.select("game_id", "home_score", "away_score"), "game_id").join(fx.line, "game_id", "left").join(best, "game_id", "left")
     hits = F.array_compact(F.array(*[F.when(F.expr(e), F.struct(F.lit(k).alias("event_key"), F.lit("condition" if k in CONDITIONS else "outcome").alias("kind"))) for k, e in KEYS.items()]))
     return wide.select("game_id", "season", F.inline(hits))
 
 
-EVENTS_SQL = {
+EVENTS_SQL = players.PLAYER_SQL | {
     "best": "select game_id, " + ", ".join(f"{e} {n}" for n, e in BEST.items()) + " from fx_stat group by game_id",
-    "wide": "select c.*, home_score, away_score, spread_home, total_over, game_secs, max_points, max_assists, max_rebounds, max_threes, max_tens from context c join fx_game g on g.game_id = c.game_id left join fx_line l on l.game_id = c.game_id left join best b on b.game_id = c.game_id",
+    "wide": "select c.*, home_score, away_score, spread_home, total_over, game_secs, max_points, max_assists, max_rebounds, max_threes, max_tens, " + ", ".join(f"{s}_{c}" for s in ("home", "away") for c in players.SIDE_COLUMNS) + " from context c left join psides p on p.game_id = c.game_id join fx_game g on g.game_id = c.game_id left join fx_line l on l.game_id = c.game_id left join best b on b.game_id = c.game_id",
     "game_events": "select game_id, season, unnest(list_filter([" + ", ".join(f"case when {e} then '{k}' end" for k, e in KEYS.items()) + "], lambda x: x is not null)) event_key from wide",
 }

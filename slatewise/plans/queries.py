@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slatewise.operators import asof, games, mining, night
+from slatewise.operators import asof, games, mining, night, players
 from slatewise.sources.fixtures import frames, with_ctes
 
 NIGHT_SQL, GAME_SQL = night.events_sql(), asof.CONTEXT_SQL | games.EVENTS_SQL
@@ -40,8 +40,16 @@ register("ag05_player_highs", lambda fx: fx.stat.groupBy("player_id").agg(F.coun
          with_ctes(f"select player_id, count(*) games, {', '.join(f'count(case when points >= {n} then 1 end) games_{n}' for n in (30, 40, 50))}, count(case when {night.TENS} >= 2 then 1 end) double_doubles, count(case when {night.TENS} >= 3 then 1 end) triple_doubles, round(avg(points), 4) ppg from fx_stat group by player_id"))
 register("ag07_games_without_stats", lambda fx: fx.game.where("status = 'Final'").join(fx.stat, "game_id", "left_anti").groupBy("season").agg(F.count("*").alias("games")), with_ctes("select season, count(*) games from fx_game g where status = 'Final' and not exists (select 1 from fx_stat s where s.game_id = g.game_id) group by season"))
 register("ag10_night_summary", lambda fx: night.night_measures(fx).select("date", "season", "n_games", "n_scored", "n_stats"), with_ctes("select date, season, n_games, n_scored, n_stats from measures", NIGHT_SQL))
-register("wn_context", lambda fx: asof.game_context(fx.game, fx.stat).select("game_id", "season", *[F.round(f"{s}_{c}", 6).alias(f"{s}_{c}") for s in ("home", "away") for c in ("ppg", "oppg", "reb_pg", "ast_pg")], *[f"{s}_{c}" for s in ("home", "away") for c in ("gp", "wins", "losses", "rest_days", "is_b2b", "streak", "rank_off", "rank_def")]),
-         with_ctes("select game_id, season, " + ", ".join([f"round({s}_{c}, 6) {s}_{c}" for s in ("home", "away") for c in ("ppg", "oppg", "reb_pg", "ast_pg")] + [f"{s}_{c}" for s in ("home", "away") for c in ("gp", "wins", "losses", "rest_days", "is_b2b", "streak", "rank_off", "rank_def")]) + " from context", asof.CONTEXT_SQL))
+ROUNDED = ("ppg", "oppg", "reb_pg", "ast_pg", "pace")
+register("wn_context", lambda fx: asof.game_context(fx.game, fx.stat).select("game_id", "season", *[(F.round(f"{s}_{c}", 6) if c in ROUNDED else F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s in ("home", "away") for c in asof.COLUMNS]),
+         with_ctes("select game_id, season, " + ", ".join(f"round({s}_{c}, 6) {s}_{c}" if c in ROUNDED else f"{s}_{c}" for s in ("home", "away") for c in asof.COLUMNS) + " from context", asof.CONTEXT_SQL))
+register("wn06_head_to_head", lambda fx: asof.head_to_head(fx.game), with_ctes(
+    """select game_id, season, count(*) over w prior_meetings, coalesce(sum(case when home_score > away_score then 1 else 0 end) over w, 0) prior_home_side_wins
+    from (select *, date_diff('day', date '1990-01-01', date) as day from fx_game where status = 'Final') g
+    window w as (partition by season, least(home_team_id, away_team_id), greatest(home_team_id, away_team_id) order by day range between unbounded preceding and 1 preceding)"""))
+AVERAGED, RANKED = ("ppg", "rpg", "apg", "mpg", "fg3_pct", "ft_pct", "last5_ppg"), ("rank_ppg", "rank_rpg", "rank_apg", "opp_rank_def")
+register("wn11_player_context", lambda fx: players.player_context(fx.game, fx.stat, asof.game_context(fx.game, fx.stat)).select("game_id", "player_id", "team_id", "gp", *RANKED, *[F.round(c, 6).alias(c) for c in AVERAGED]),
+         with_ctes("select game_id, player_id, team_id, gp, " + ", ".join([*RANKED, *[f"round({c}, 6) {c}" for c in AVERAGED]]) + " from pctx", asof.CONTEXT_SQL | players.PLAYER_SQL))
 register("gc_go_all", lambda fx: games.game_events(fx).select("game_id", "season", "event_key"), with_ctes("select game_id, season, event_key from game_events", GAME_SQL))
 register("ing15_consensus", lambda fx: fx.line, with_ctes("select * from fx_line"))
 register("pm01_night_patterns", lambda fx: mining.night_patterns(night.night_events(fx)), with_ctes(

@@ -31,7 +31,7 @@ def test_sql(spark, sf_dir, con, name):
 
 
 def test_catalog_sizes():
-    assert len(night.CATALOG) == 60 and len(games.CONDITIONS) == 2 * len(games.SIDE) + len(games.GAME)
+    assert len(night.CATALOG) == 60 and len(games.SIDE) + len(games.GAME) == 53 and len(games.CONDITIONS) == 87 and len(games.OUTCOMES) == 45
 
 
 def test_entry(spark):
