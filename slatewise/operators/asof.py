@@ -20,32 +20,42 @@ def team_games(game: DataFrame, stat: DataFrame) -> DataFrame:
     return sides.join(sums, ["game_id", "team_id"], "left").fillna(0, ["rebounds", "assists", *SPLITS]).withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date"))).withColumn("won", F.expr("cast(case when home then scored > allowed else scored >= allowed end as int)"))
 
 
-def team_state(games: DataFrame) -> DataFrame:
+def scheduled_sides(game: DataFrame) -> DataFrame:
+    """Two rows per game yet to be played, which add nothing to any sum."""
+    sides = game.where("status = 'Scheduled'").select("game_id", "date", "season", F.expr("stack(2, home_team_id, true, away_team_id, false) as (team_id, home)"))
+    return sides.withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date")))
+
+
+def team_state(games: DataFrame, ahead: DataFrame | None = None) -> DataFrame:
     """Per game and side the state before its date: gp, wins, losses, ppg, oppg, reb_pg, ast_pg, rest_days, is_b2b, streak.
 
-    Frames end a day before, so that games of one date never see each other."""
+    Frames end a day before, so that games of one date never see each other. Rows of ``ahead`` (see scheduled_sides) get theirs too."""
     before = Window.partitionBy("season", "team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("season", "team_id").orderBy("day", "game_id")
     run = F.sum(F.when(F.col("won") == F.lag("won").over(order), 0).otherwise(1)).over(order)
     g = games.withColumn("run", run)
     in_run = Window.partitionBy("season", "team_id", "run").orderBy("day", "game_id")
     g = g.withColumn("streak_after", F.when(F.col("won") == 1, F.row_number().over(in_run)).otherwise(-F.row_number().over(in_run)))
+    g = g.withColumn("played", F.lit(True))
+    if ahead is not None:
+        g = g.unionByName(ahead.withColumn("played", F.lit(False)), allowMissingColumns=True)
     total = lambda c: F.sum(c).over(before)
-    gp = F.count("*").over(before)
+    gp = F.count(F.when(F.col("played"), 1)).over(before)
     g = g.select(
-        "game_id", "season", "date", "day", "team_id", "home", gp.alias("gp"), F.coalesce(total("won"), F.lit(0)).alias("wins"), (gp - F.coalesce(total("won"), F.lit(0))).alias("losses"),
+        "game_id", "season", "date", "day", "team_id", "home", "played", gp.alias("gp"), F.coalesce(total("won"), F.lit(0)).alias("wins"), (gp - F.coalesce(total("won"), F.lit(0))).alias("losses"),
         *[F.try_divide(total(c), gp).alias(n) for c, n in (("scored", "ppg"), ("allowed", "oppg"), ("rebounds", "reb_pg"), ("assists", "ast_pg"))],
-        (F.col("day") - F.max("day").over(before) - 1).alias("rest_days"), F.max(F.struct("day", "game_id", "streak_after")).over(before)["streak_after"].alias("streak"),
+        (F.col("day") - F.max(F.when(F.col("played"), F.col("day"))).over(before) - 1).alias("rest_days"), F.max(F.when(F.col("played"), F.struct("day", "game_id", "streak_after"))).over(before)["streak_after"].alias("streak"),
     )
     return g.withColumn("is_b2b", F.coalesce(F.col("rest_days") == 0, F.lit(False)))
 
 
-def league_ranks(games: DataFrame) -> DataFrame:
-    """(season, day, team_id, rank_off, rank_def, pace, rank_pace) of all teams with MIN_GAMES games before each date with games.
+def league_ranks(games: DataFrame, ahead: DataFrame | None = None) -> DataFrame:
+    """(season, day, team_id, rank_off, rank_def, pace, rank_pace) of all teams with MIN_GAMES games before each date with games, also those of ``ahead``.
 
     A spine of the season's dates and teams takes the daily sums; ties go to the smaller team_id."""
     daily = games.groupBy("season", "team_id", "day").agg(F.count("*").alias("g"), *[F.sum(c).alias(c) for c in ("scored", "allowed", *SPLITS)])
-    spine = games.select("season", "day").distinct().join(games.select("season", "team_id").distinct(), "season")
+    days = games.select("season", "day") if ahead is None else games.select("season", "day").unionByName(ahead.select("season", "day"))
+    spine = days.distinct().join(games.select("season", "team_id").distinct(), "season")
     before = Window.partitionBy("season", "team_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     state = spine.join(daily, ["season", "team_id", "day"], "left").select("season", "day", "team_id", *[F.sum(F.coalesce(c, F.lit(0))).over(before).alias(c) for c in ("g", "scored", "allowed", *SPLITS)]).where(F.col("g") >= MIN_GAMES)
     on_day = Window.partitionBy("season", "day")
@@ -64,13 +74,29 @@ def head_to_head(game: DataFrame) -> DataFrame:
     return final.select("game_id", "season", F.count("*").over(before).alias("prior_meetings"), F.coalesce(F.sum((F.col("home_score") > F.col("away_score")).cast("int")).over(before), F.lit(0)).alias("prior_home_side_wins"))
 
 
+#: The snapshot of a slate looks at so many latest games of a team, needs so many, and its form at so many.
+SNAPSHOT, SNAPSHOT_LEAST, SNAPSHOT_FORM = 82, 5, 10
+
+
+def snapshot(game: DataFrame, as_of: str) -> DataFrame:
+    """Per team its latest SNAPSHOT completed games before ``as_of``, over all seasons: gp, wins, losses, ppg, oppg and
+    ``form``, how many of the latest SNAPSHOT_FORM had the result of the last; teams with fewer than SNAPSHOT_LEAST are left out."""
+    done = game.where((F.col("status") == "Final") & (F.col("home_score") > 0) & (F.col("date") < F.lit(as_of).cast("date")))
+    sides = done.select("game_id", "date", F.expr("stack(2, home_team_id, home_score, away_score, away_team_id, away_score, home_score) as (team_id, scored, allowed)"))
+    order = Window.partitionBy("team_id").orderBy(F.desc("date"), F.desc("game_id"))
+    s = sides.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SNAPSHOT).withColumn("won", F.col("scored") > F.col("allowed"))
+    s = s.withColumn("last_won", F.first("won").over(order))
+    t = s.groupBy("team_id", "last_won").agg(F.count("*").alias("gp"), F.count_if("won").alias("wins"), F.count_if(~F.col("won")).alias("losses"), F.avg("scored").alias("ppg"), F.avg("allowed").alias("oppg"), F.count_if((F.col("place") <= SNAPSHOT_FORM) & (F.col("won") == F.col("last_won"))).alias("form"))
+    return t.where(F.col("gp") >= SNAPSHOT_LEAST).select("team_id", "gp", "wins", "losses", "ppg", "oppg", F.when(F.col("last_won"), F.col("form")).otherwise(-F.col("form")).alias("form"))
+
+
 COLUMNS = ("gp", "wins", "losses", "ppg", "oppg", "reb_pg", "ast_pg", "rest_days", "is_b2b", "streak", "rank_off", "rank_def", "pace", "rank_pace")
 
 
-def game_context(game: DataFrame, stat: DataFrame) -> DataFrame:
-    """One row per final game whose teams both have MIN_GAMES games before: the state of either side."""
-    games = team_games(game, stat)
-    sides = team_state(games).where(F.col("gp") >= MIN_GAMES).join(league_ranks(games), ["season", "day", "team_id"], "left")
+def game_context(game: DataFrame, stat: DataFrame, scheduled: bool = False) -> DataFrame:
+    """One row per final (or ``scheduled``) game whose teams both have MIN_GAMES games before: the state of either side."""
+    games, ahead = team_games(game, stat), scheduled_sides(game) if scheduled else None
+    sides = team_state(games, ahead).where((F.col("gp") >= MIN_GAMES) & (F.col("played") != scheduled)).drop("played").join(league_ranks(games, ahead), ["season", "day", "team_id"], "left")
     side = lambda home, name: sides.where(F.col("home") == home).select("game_id", *([] if not home else ["season", "date"]), *[F.col(c).alias(f"{name}_{c}") for c in COLUMNS])
     return side(True, "home").join(side(False, "away"), "game_id")
 
@@ -91,3 +117,15 @@ CONTEXT_SQL = {
     "ctx_side": "select s.*, coalesce(rest_days = 0, false) is_b2b, rank_off, rank_def, pace, rank_pace from state s left join ranks r on r.season = s.season and r.day = s.day and r.team_id = s.team_id where gp >= 10",
     "context": "select h.game_id, h.season, h.date, " + ", ".join(f"{a}.{c} {n}_{c}" for a, n in (("h", "home"), ("a", "away")) for c in COLUMNS) + " from ctx_side h join ctx_side a on a.game_id = h.game_id and h.home and not a.home",
 }
+
+_SUMS = ", ".join(f"{'max' if c == 'lacking' else 'sum'}({c}) {c}" for c in SPLITS)
+#: The same for scheduled games, by joining each with all that lies before it.
+SLATE_SQL = {
+    "sl": "select *, date_diff('day', date '1990-01-01', date) as day from fx_game where status = 'Scheduled'",
+    "sl_side": "select game_id, season, date, day, home_team_id team_id, true home from sl union all select game_id, season, date, day, away_team_id, false from sl",
+    "sl_state": "select s.game_id, s.season, s.date, s.day, s.team_id, s.home, count(*) gp, sum(won) wins, count(*) - sum(won) losses, sum(scored) / count(*) ppg, sum(allowed) / count(*) oppg, sum(rebounds) / count(*) reb_pg, sum(assists) / count(*) ast_pg, s.day - max(t.day) - 1 rest_days, arg_max(streak_after, t.day * 100000000 + t.game_id) streak from sl_side s join ts t on t.season = s.season and t.team_id = s.team_id and t.day < s.day group by s.game_id, s.season, s.date, s.day, s.team_id, s.home having count(*) >= 10",
+    "sl_cum": f"select d.season, d.day, t.team_id, count(*) g, sum(scored) scored, sum(allowed) allowed, {_SUMS} from (select distinct season, day from sl) d join tg t on t.season = d.season and t.day < d.day group by d.season, d.day, t.team_id having count(*) >= 10",
+    "sl_ranks": CONTEXT_SQL["ranks"].replace("from cum", "from sl_cum"),
+    "sl_ctx": "select s.*, coalesce(rest_days = 0, false) is_b2b, rank_off, rank_def, pace, rank_pace from sl_state s left join sl_ranks r on r.season = s.season and r.day = s.day and r.team_id = s.team_id",
+    "sl_context": "select h.game_id, h.season, h.date, " + ", ".join(f"{a}.{c} {n}_{c}" for a, n in (("h", "home"), ("a", "away")) for c in COLUMNS) + " from sl_ctx h join sl_ctx a on a.game_id = h.game_id and h.home and not a.home",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.operators import players
-from slatewise.operators.asof import game_context
+from slatewise.operators.asof import SLATE_SQL, game_context
 
 #: Conditions of one side; {me} and {opp} become home and away.
 SIDE = {
@@ -58,8 +58,19 @@ def game_events(fx: SimpleNamespace) -> DataFrame:
     return wide.select("game_id", "season", F.inline(hits))
 
 
+def slate_conditions(fx: SimpleNamespace) -> DataFrame:
+    """(game_id, season, date, keys): the sorted conditions that hold in each scheduled game with a context."""
+    context = game_context(fx.game, fx.stat, scheduled=True)
+    wide = context.join(players.sides(players.slate_players(fx.game, fx.stat, context)), "game_id", "left").join(fx.line, "game_id", "left")
+    return wide.select("game_id", "season", "date", F.array_sort(F.array_compact(F.array(*[F.when(F.expr(e), F.lit(k)) for k, e in CONDITIONS.items()]))).alias("keys"))
+
+
 EVENTS_SQL = players.PLAYER_SQL | {
     "best": "select game_id, " + ", ".join(f"{e} {n}" for n, e in BEST.items()) + " from fx_stat group by game_id",
     "wide": "select c.*, home_score, away_score, spread_home, total_over, game_secs, max_points, max_assists, max_rebounds, max_threes, max_tens, " + ", ".join(f"{s}_{c}" for s in ("home", "away") for c in players.SIDE_COLUMNS) + " from context c left join psides p on p.game_id = c.game_id join fx_game g on g.game_id = c.game_id left join fx_line l on l.game_id = c.game_id left join best b on b.game_id = c.game_id",
     "game_events": "select game_id, season, unnest(list_filter([" + ", ".join(f"case when {e} then '{k}' end" for k, e in KEYS.items()) + "], lambda x: x is not null)) event_key from wide",
 }
+SLATE_SQL = SLATE_SQL | players.SLATE_SQL | {
+    "sl_wide": "select c.*, spread_home, total_over, " + ", ".join(f"{s}_{c}" for s in ("home", "away") for c in players.BEST) + " from sl_context c left join sl_sides p on p.game_id = c.game_id left join fx_line l on l.game_id = c.game_id",
+    "sl_events": "select game_id, season, date, unnest(list_filter([" + ", ".join(f"case when {e} then '{k}' end" for k, e in CONDITIONS.items()) + "], lambda x: x is not null)) event_key from sl_wide",
+}

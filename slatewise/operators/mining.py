@@ -1,26 +1,45 @@
-"""Pattern mining: level-wise combinations of events, scores, significance and season tests."""
+"""Pattern mining: level-wise combinations of events, scores, and the games that a pattern fits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAK_EVEN = 0.524
+from slatewise.functions.significance import BREAK_EVEN, p_value, wilson, z_score
+from slatewise.operators.games import OUTCOMES
 
+__all__ = ["BREAK_EVEN", "combinations", "game_pattern_counts", "game_patterns", "matches", "night_patterns", "p_value", "profiles", "scored", "spread", "top", "wilson", "z_score"]
 
-def combinations(events: DataFrame, unit: str, legs: int, least: int) -> DataFrame:
-    """(unit, season, combo) of every sorted combination of up to ``legs`` event keys that ``least`` units have.
+#: A catalog has at most so many keys; its combinations of one size are broadcast where there can't be more than SENT.
+CATALOG, SENT = 100, 200_000
+OUTCOME_KEYS = tuple(f"{k}:game" for k in OUTCOMES)
+
+
+def spread(own: DataFrame, legs: int, least: int) -> DataFrame:
+    """Every combination of up to ``legs`` of a row's sorted ``keys`` that ``least`` rows have, as ``combo``, beside the row's other columns.
+
+    Each row makes its own combinations, so only counts by combination are shuffled, of which every task
+    sends at most as many as the catalog allows. Level by level: what is frequent grows by a higher key
+    of its row; support falls along a chain, so nothing frequent is lost. ``own`` is held on the
+    executors for the levels, in memory or on disk; what is lost with an executor is worked out again."""
+    own = own.persist()
+    rest = [c for c in own.columns if c != "keys"]
+    level = own.select(*rest, "keys", F.explode("keys").alias("last")).withColumn("combo", F.col("last"))
+    out = None
+    for size in range(1, legs + 1):
+        if size > 1:
+            level = level.select(*rest, "keys", "combo", F.explode(F.filter("keys", lambda k: k > F.col("last"))).alias("last")).withColumn("combo", F.concat_ws("+", "combo", "last"))
+        frequent = level.groupBy("combo").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("combo")
+        level = level.join(F.broadcast(frequent) if comb(CATALOG, size) <= SENT else frequent, "combo", "left_semi")
+        out = level.select(*rest, "combo") if out is None else out.unionByName(level.select(*rest, "combo"))
+    return out
 
-    Level by level: combinations that are frequent join the frequent single keys of the same unit, of a
-    higher key than their last. Support falls along a chain, so nothing frequent is lost."""
-    frequent = lambda df: df.join(df.groupBy("combo").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("combo"), "combo", "left_semi")
-    level = single = frequent(events.select(unit, "season", F.col("event_key").alias("combo")).distinct())
-    out = single
-    for _ in range(1, legs):
-        last = F.substring_index("l.combo", "+", -1)
-        level = frequent(level.alias("l").join(single.alias("s"), unit).where(F.col("s.combo") > last).select(unit, F.col("l.season").alias("season"), F.concat_ws("+", "l.combo", "s.combo").alias("combo")))
-        out = out.unionByName(level)
-    return out.select(unit, "season", "combo")
+
+def combinations(events: DataFrame, unit: str, legs: int, least: int) -> DataFrame:
+    """(unit, season, combo) of every sorted combination of up to ``legs`` event keys that ``least`` units have."""
+    return spread(events.groupBy(unit, "season").agg(F.array_sort(F.collect_set("event_key")).alias("keys")), legs, least)
 
 
 def night_patterns(events: DataFrame, legs: int = 2, least: int = 3, reference_date: str = "2001-01-01") -> DataFrame:
@@ -31,57 +50,81 @@ def night_patterns(events: DataFrame, legs: int = 2, least: int = 3, reference_d
     p = per.groupBy("combo").agg(F.sum("h").alias("hits"), F.count("*").alias("n_seasons"), F.max("h").alias("most"), F.max("d").alias("last"))
     share, avg = F.col("most") / F.col("hits"), F.col("hits") / F.col("n_seasons")
     p = p.where((F.col("n_seasons") >= 2) & (share <= 0.6) & avg.between(0.5, 6))
-    r4 = lambda c: F.round(c, 4)
+    return p.select("combo", "hits", "n_seasons", *five_scores(seasons, reference_date))
+
+
+def five_scores(seasons: Column, reference_date: str) -> list[Column]:
+    """Stability, balance, rarity, recency and their weighted sum from hits, n_seasons, most and last."""
+    share, avg = F.col("most") / F.col("hits"), F.col("hits") / F.col("n_seasons")
     stability, balance = F.least(F.col("n_seasons") / seasons, F.lit(1.0)), 1 - share
     rarity = 1 - F.least(F.lit(1.0), F.abs(avg - 2.5) / 3)
     recency = F.greatest(F.lit(0.0), 1 - F.datediff(F.lit(reference_date).cast("date"), F.col("last")) / 730)
-    return p.select("combo", "hits", "n_seasons", r4(stability).alias("stability"), r4(balance).alias("balance"), r4(rarity).alias("rarity"), r4(recency).alias("recency"), r4(0.35 * stability + 0.25 * balance + 0.25 * rarity + 0.15 * recency).alias("overall"))
+    overall = 0.35 * stability + 0.25 * balance + 0.25 * rarity + 0.15 * recency
+    return [F.round(c, 4).alias(n) for c, n in ((stability, "stability"), (balance, "balance"), (rarity, "rarity"), (recency, "recency"), (overall, "overall"))]
+
+
+def profiles(events: DataFrame) -> DataFrame:
+    """One row per game: game_id, season, its sorted condition ``keys`` and its outcomes as ``bits`` in the order of OUTCOME_KEYS."""
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(OUTCOME_KEYS) for x in (k, 1 << i)])
+    condition = F.when(F.col("kind") == "condition", F.col("event_key"))
+    bit = F.when(F.col("kind") == "outcome", F.try_element_at(number, F.col("event_key")).cast("long"))
+    return events.groupBy("game_id", "season").agg(F.array_sort(F.collect_set(condition)).alias("keys"), F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("bits"))
 
 
 def game_pattern_counts(events: DataFrame, legs: int = 2, least: int = 15) -> DataFrame:
-    """(combo, outcome, season, sample, hits): how often an outcome follows a combination of conditions."""
-    combos = combinations(events.where("kind = 'condition'"), "game_id", legs, least)
-    sample = combos.groupBy("combo", "season").agg(F.count("*").alias("sample"))
-    outcomes = events.where("kind = 'outcome'").select("game_id", F.col("event_key").alias("outcome"))
-    hits = combos.join(outcomes, "game_id").groupBy("combo", "outcome", "season").agg(F.count("*").alias("hits"))
-    return hits.join(sample, ["combo", "season"]).select("combo", "outcome", "season", "sample", "hits")
+    """(combo, outcome, season, sample, hits): how often each outcome, also none, follows a combination of conditions.
 
+    All outcomes of a combination are counted in one row, from the bits that its games carry."""
+    combos = spread(profiles(events).drop("game_id"), legs, least)
+    counts = combos.groupBy("combo", "season").agg(F.count("*").alias("sample"), *[F.expr(f"sum(shiftright(bits, {i}) & 1)").alias(f"h{i}") for i in range(len(OUTCOME_KEYS))])
+    return counts.select("combo", "season", "sample", F.inline(F.array(*[F.struct(F.lit(k).alias("outcome"), F.col(f"h{i}").alias("hits")) for i, k in enumerate(OUTCOME_KEYS)]))).select("combo", "outcome", "season", "sample", "hits")
 
-def game_patterns(events: DataFrame, legs: int = 2, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
-    """Condition patterns whose outcome beats the break-even rate, with hit rate, edge and value score."""
+
+def kept_patterns(events: DataFrame, legs: int = 2, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
+    """(combo, outcome, sample, hits, n_seasons, most) of condition patterns whose outcome beats the break-even rate."""
     counts = game_pattern_counts(events, legs, least)
-    sample = combinations(events.where("kind = 'condition'"), "game_id", legs, least).groupBy("combo").agg(F.count("*").alias("sample"))
-    p = counts.groupBy("combo", "outcome").agg(F.sum("hits").alias("hits"), F.max("hits").alias("most"), F.count("*").alias("n_seasons")).join(sample, "combo")
+    p = counts.groupBy("combo", "outcome").agg(F.sum("sample").alias("sample"), F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("n_seasons"), F.max("hits").alias("most"))
     rate = F.col("hits") / F.col("sample")
-    p = p.where((F.col("sample") >= least) & (rate >= min_rate) & (rate - BREAK_EVEN >= 0.02) & (F.col("most") / F.col("sample") <= max_share))
+    return p.where((F.col("sample") >= least) & (rate >= min_rate) & (rate - BREAK_EVEN >= 0.02) & (F.col("most") / F.col("sample") <= max_share))
+
+
+def game_patterns(events: DataFrame, legs: int = 2, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
+    """The kept patterns with hit rate, edge and value score."""
+    p, rate = kept_patterns(events, legs, least, min_rate, max_share), F.col("hits") / F.col("sample")
     return p.select("combo", "outcome", "sample", "hits", "n_seasons", F.round(rate, 6).alias("hit_rate"), F.round(rate - BREAK_EVEN, 6).alias("edge"), F.round((rate - BREAK_EVEN) * F.sqrt("sample"), 4).alias("value_score"))
 
 
-def z_score(hits: Column, n: Column, p0: float = BREAK_EVEN) -> Column:
-    """One-proportion z, 0 without trials."""
-    return F.when(n > 0, (hits / n - p0) / F.sqrt(F.lit(p0 * (1 - p0)) / n)).otherwise(0.0)
+def matches(own: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows of ``own`` (with ``keys``) beside each of ``patterns`` (with ``combo``) whose conditions all hold.
 
+    They meet on a pattern's first condition, once; its other conditions are looked up in the row."""
+    legs = F.split("combo", r"\+")
+    met = own.select("*", F.explode("keys").alias("_key")).join(patterns.withColumn("_legs", legs).withColumn("_key", F.col("_legs")[0]), "_key")
+    return met.where(F.size(F.array_except("_legs", "keys")) == 0).drop("_key", "_legs", "keys")
 
-def p_value(z: Column) -> Column:
-    """Two-tailed p of a normal z by a rational approximation of the error function (Abramowitz and Stegun 7.1.26)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
+def hit_bit() -> Column:
+    """1 where the row's ``bits`` have its ``outcome``, else 0."""
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(OUTCOME_KEYS) for x in (k, i)])
+    return F.call_function("shiftright", F.col("bits"), F.try_element_at(number, F.col("outcome"))).bitwiseAND(F.lit(1).cast("long")).cast("int")
 
-def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Wilson 95 % bounds within [0, 1]; all of it without trials."""
-    p = F.try_divide(hits, n)
-    mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    whole = 1 + z * z / n
-    return F.when(n > 0, F.greatest((mid - half) / whole, F.lit(0.0))).otherwise(0.0), F.when(n > 0, F.least((mid + half) / whole, F.lit(1.0))).otherwise(1.0)
 
+def scored(events: DataFrame, game: DataFrame, legs: int = 2, least: int = 15, reference_date: str = "2001-01-01") -> DataFrame:
+    """Kept patterns with hit_rate, edge, confidence and value; a hit in the 90 days before ``reference_date`` adds to the confidence.
 
-def walk_forward(events: DataFrame, legs: int = 1, least: int = 15, min_rate: float = 0.58, min_test: int = 5) -> DataFrame:
-    """Per test season the patterns of all seasons before it that reach ``min_rate``, with their rate in that season."""
-    counts = game_pattern_counts(events, legs, least)
-    order = Window.partitionBy("combo", "outcome").orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
-    f = counts.withColumns({"train_n": F.sum("sample").over(order), "train_hits": F.sum("hits").over(order)}).where((F.col("train_n") >= least) & (F.col("train_hits") / F.col("train_n") >= min_rate) & (F.col("sample") >= min_test))
-    z = z_score(F.col("hits"), F.col("sample"))
-    low, high = wilson(F.col("hits"), F.col("sample"))
-    return f.select("combo", "outcome", F.col("season").alias("test_season"), "train_n", "train_hits", F.col("sample").alias("test_n"), F.col("hits").alias("test_hits"), F.round(z, 6).alias("z"), F.round(p_value(z), 6).alias("p"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    Only games of those days are held against the patterns again."""
+    events = events.persist()
+    p = kept_patterns(events, legs, least).persist()
+    day = F.lit(reference_date).cast("date")
+    recent = profiles(events).join(game.where((F.col("date") > F.date_sub(day, 90)) & (F.col("date") <= day)).select("game_id", "date"), "game_id")
+    last = matches(recent, p.select("combo", "outcome")).where(hit_bit() == 1).groupBy("combo", "outcome").agg(F.max("date").alias("last"))
+    most_n, seasons = p.agg(F.max("sample").alias("x")).select("x").scalar(), events.agg(F.count_distinct("season").alias("x")).select("x").scalar()
+    rate, n = F.col("hits") / F.col("sample"), F.col("sample")
+    base = 0.4 * n / most_n + 0.3 * F.col("n_seasons") / seasons + 0.3 * (1 - F.col("most") / n)
+    bonus = F.coalesce(0.05 * (1 - F.datediff(day, "last") / 90), F.lit(0.0))
+    return p.join(last, ["combo", "outcome"], "left").select("combo", "outcome", "sample", "hits", "n_seasons", rate.alias("hit_rate"), (rate - BREAK_EVEN).alias("edge"), F.round(F.least(base + bonus, F.lit(1.0)), 9).alias("confidence"), F.round((rate - BREAK_EVEN) * F.sqrt("sample"), 9).alias("value"))
+
+
+def top(patterns: DataFrame, n: int = 2000) -> DataFrame:
+    """The ``n`` patterns of the highest confidence, then value."""
+    return patterns.orderBy(F.desc("confidence"), F.desc("value"), "combo", "outcome").limit(n)

@@ -13,15 +13,15 @@ AVERAGES = {"ppg": "points", "rpg": "rebounds", "apg": "assists"}
 
 
 def player_state(stat: DataFrame, days: DataFrame) -> DataFrame:
-    """Per season, day of ``days`` (season, day) and player with games before it: games, averages, shares, ranks.
+    """Per season, day of ``days`` (season, day) and player with games before it: latest team, games, averages, shares, ranks.
 
     A spine of days and players takes the daily sums; frames end a day before. Ranks are for players with
     MIN_GAMES games and MIN_SECS a game; ties go to the smaller player_id. A share without attempts is null."""
-    daily = stat.groupBy("season", "player_id", "day").agg(F.count("*").alias("gp"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in TOTALS])
+    daily = stat.groupBy("season", "player_id", "day").agg(F.count("*").alias("gp"), F.max_by("team_id", "game_id").alias("team_id"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in TOTALS])
     spine = days.join(stat.select("season", "player_id").distinct(), "season")
     before = Window.partitionBy("season", "player_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    sums = spine.join(daily, ["season", "player_id", "day"], "left").select("season", "day", "player_id", *[F.sum(F.coalesce(c, F.lit(0))).over(before).alias(c) for c in ("gp", *TOTALS)]).where("gp > 0")
-    state = sums.select("season", "day", "player_id", "gp", *[(F.col(c) / F.col("gp")).alias(a) for a, c in AVERAGES.items()], (F.col("secs") / F.col("gp") / 60).alias("mpg"), F.try_divide("fg3m", "fg3a").alias("fg3_pct"), F.try_divide("ftm", "fta").alias("ft_pct"), F.expr(f"gp >= {MIN_GAMES} and secs >= {MIN_SECS} * gp").alias("eligible"))
+    sums = spine.join(daily, ["season", "player_id", "day"], "left").select("season", "day", "player_id", *[F.sum(F.coalesce(c, F.lit(0))).over(before).alias(c) for c in ("gp", *TOTALS)], F.max(F.when(F.col("team_id").isNotNull(), F.struct("day", "team_id"))).over(before)["team_id"].alias("team_id")).where("gp > 0")
+    state = sums.select("season", "day", "player_id", "team_id", "gp", *[(F.col(c) / F.col("gp")).alias(a) for a, c in AVERAGES.items()], (F.col("secs") / F.col("gp") / 60).alias("mpg"), F.try_divide("fg3m", "fg3a").alias("fg3_pct"), F.try_divide("ftm", "fta").alias("ft_pct"), F.expr(f"gp >= {MIN_GAMES} and secs >= {MIN_SECS} * gp").alias("eligible"))
     on_day = Window.partitionBy("season", "day", "eligible")
     return state.select("*", *[F.when(F.col("eligible"), F.row_number().over(on_day.orderBy(F.desc(a), "player_id"))).alias(f"rank_{a}") for a in AVERAGES]).drop("eligible")
 
@@ -43,7 +43,16 @@ def player_context(game: DataFrame, stat: DataFrame, context: DataFrame) -> Data
     lines = stat.select("game_id", "season", "day", "player_id", "team_id", *AVERAGES.values()).join(sides, "game_id")
     at_home = F.col("team_id") == F.col("home_team_id")
     lines = lines.withColumn("home", at_home).withColumn("opp_rank_def", F.when(at_home, F.col("away_rank_def")).otherwise(F.col("home_rank_def"))).drop("home_rank_def", "away_rank_def", "home_team_id")
-    return lines.join(player_state(stat, days), ["season", "day", "player_id"]).join(last_five(stat), ["game_id", "player_id"], "left")
+    return lines.join(player_state(stat, days).drop("team_id"), ["season", "day", "player_id"]).join(last_five(stat), ["game_id", "player_id"], "left")
+
+
+def slate_players(game: DataFrame, stat: DataFrame, context: DataFrame) -> DataFrame:
+    """Per scheduled game in ``context`` every player whose latest team plays in it: state and opponent's rank; there are no lines yet."""
+    day = F.datediff("date", F.lit("1990-01-01").cast("date"))
+    stat = stat.withColumn("day", day)
+    days = stat.select("season", "day").unionByName(game.where("status = 'Scheduled'").select("season", day.alias("day"))).distinct()
+    teams = context.join(game.select("game_id", "home_team_id", "away_team_id"), "game_id").select("game_id", "season", day.alias("day"), F.expr("stack(2, home_team_id, true, away_rank_def, away_team_id, false, home_rank_def) as (team_id, home, opp_rank_def)"))
+    return teams.join(player_state(stat, days), ["season", "day", "team_id"]).withColumns({c: F.lit(None).cast("int") for c in AVERAGES.values()})
 
 
 #: Of a side: best ranks, the best scorer's rank against a weak defense, and the lines of its top players.
@@ -77,3 +86,13 @@ PLAYER_SQL = {
     "pbest": "select game_id, home, " + ", ".join(f"{e} {n}" for n, e in BEST.items()) + ", " + ", ".join(f"max(case when n_{a} = 1 then {c} end) {n}" for n, (a, c) in TOP.items()) + " from pnum group by game_id, home",
     "psides": "select game_id, " + ", ".join(f"max(case when home = {h} then {c} end) {s}_{c}" for s, h in (("home", "true"), ("away", "false")) for c in SIDE_COLUMNS) + " from pbest group by game_id",
 }
+_best = ", ".join(f"{e} {n}" for n, e in BEST.items())
+#: The same for scheduled games, by joining each date with all lines before it.
+SLATE_SQL = {
+    "sl_sums": "select d.season, d.day, p.player_id, count(*) gp, arg_max(p.team_id, p.day * 100000000 + p.game_id) team_id, " + ", ".join(f"sum({c}) {c}" for c in ("points", "rebounds", "assists", "secs")) + " from (select distinct season, day from sl) d join ps p on p.season = d.season and p.day < d.day group by d.season, d.day, p.player_id",
+    "sl_pstate": f"select season, day, player_id, team_id, gp, points / gp ppg, rebounds / gp rpg, assists / gp apg, gp >= {MIN_GAMES} and secs >= {MIN_SECS} * gp eligible from sl_sums",
+    "sl_pranks": PLAYER_SQL["pranks"].replace("from pstate", "from sl_pstate"),
+    "sl_players": "select c.game_id, h.home, case when h.home then c.away_rank_def else c.home_rank_def end opp_rank_def, r.* from sl_context c join sl_side h on h.game_id = c.game_id join sl_pranks r on r.season = h.season and r.day = h.day and r.team_id = h.team_id",
+    "sl_best": f"select game_id, home, {_best} from sl_players group by game_id, home",
+    "sl_sides": "select game_id, " + ", ".join(f"max(case when home = {h} then {c} end) {s}_{c}" for s, h in (("home", "true"), ("away", "false")) for c in BEST) + " from sl_best group by game_id",
+}

@@ -28,9 +28,9 @@ CTES = {
 
 
 def with_ctes(select: str, extra: dict[str, str] | None = None) -> str:
-    """``select`` over the fixture tables as one statement."""
+    """``select`` over the fixture tables as one statement; each part is worked out once."""
     parts = CTES | (extra or {})
-    return "with " + ", ".join(f"{n} as ({q})" for n, q in parts.items()) + " " + select
+    return "with " + ", ".join(f"{n} as materialized ({q})" for n, q in parts.items()) + " " + select
 
 
 def frames(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
