@@ -60,6 +60,7 @@ def ledger(placed: DataFrame, by: list[str], sizing: str = "flat") -> DataFrame:
     b = b.withColumn("profit", stake * F.col("ret")).withColumn("bankroll", START + F.sum("profit").over(order))
     b = b.withColumn("short", F.max(F.col("bankroll") - F.col("profit") < stake).over(Window.partitionBy(*by)))
     full = b.where("not short").withColumn("wager", F.lit(stake)).drop("short", "ret")
+    columns = full.columns
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["date", "game_id"])
@@ -69,7 +70,7 @@ def ledger(placed: DataFrame, by: list[str], sizing: str = "flat") -> DataFrame:
             bank += wager * ret
             rows.append((wager, wager * ret, bank))
         pdf[["wager", "profit", "bankroll"]] = rows
-        return pdf[full.columns]
+        return pdf[columns]
 
     short = b.where("short").groupBy(*by).applyInPandas(replay, full.schema).where("wager > 0")
     return full.unionByName(short)

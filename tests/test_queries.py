@@ -11,7 +11,9 @@ import __spark_entry__
 from slatewise import registry
 from slatewise.operators import games, mining, night
 
-CHEAP = [n for n in registry.QUERIES if n != "pm13_game_patterns"]
+#: Too slow for every run; compared by hand (see README).
+SLOW = ("pm08_near_duplicates", "pm13_", "pm14_", "pr0", "bt0", "pm09_")
+CHEAP = [n for n in registry.QUERIES if not n.startswith(SLOW)]
 
 
 @pytest.fixture(scope="module")
