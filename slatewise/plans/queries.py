@@ -10,12 +10,14 @@ from slatewise.sources.fixtures import frames, with_ctes
 NIGHT_SQL, GAME_SQL = night.events_sql(), asof.CONTEXT_SQL | games.EVENTS_SQL
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: SQL that takes minutes on whole tables: not part of the contract, for comparisons by hand on the smallest ones.
+SLOW_SQL: dict[str, str] = {}
 
 
 def register(name: str, build, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(frames(spark, sf_dir))
     if sql is not None:
-        SQL[name] = sql
+        (SLOW_SQL if name.startswith(("bt", "pr0")) else SQL)[name] = sql
 
 
 def combos_sql(source: str, unit: str, legs: int, least: int) -> dict[str, str]:
