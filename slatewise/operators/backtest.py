@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from slatewise.functions.significance import BREAK_EVEN, chi_square, decimal_odds, implied_probability, kelly, p_value, two_z, wilson, z_score
 from slatewise.operators.mining import game_pattern_counts, hit_bit, matches, profiles
 
+#: Keys of the longest combination in walk-forward tests.
+LEGS = 3
 FOLD = ["combo", "outcome", "test_season"]
 #: Bankroll at the start, share of it that one bet stakes (at most, with Kelly), American odds.
 START, FRACTION, ODDS = 10_000.0, 0.02, -110
 
 
-def candidates(events: DataFrame, legs: int = 2, least: int = 15, min_rate: float = 0.58, per_fold: int = 500) -> DataFrame:
+def candidates(events: DataFrame, legs: int = LEGS, least: int = 15, min_rate: float = 0.58, per_fold: int = 500) -> DataFrame:
     """Per test season the ``per_fold`` best patterns of all seasons before it: FOLD, train_n, train_hits, confidence, value.
 
     Counts of a season go to every later one, so all folds are mined at once."""
@@ -139,7 +141,7 @@ def tested(found: DataFrame, placed: DataFrame, book: DataFrame, min_test: int =
     return t.withColumns({k: v for k, v in marks.items()}).withColumn("summary", grade_summary())
 
 
-def walk_forward(events: DataFrame, game: DataFrame, legs: int = 2, sizing: str = "flat") -> DataFrame:
+def walk_forward(events: DataFrame, game: DataFrame, legs: int = LEGS, sizing: str = "flat") -> DataFrame:
     """All folds: train on the seasons before, test on the season, with ledger and grade."""
     events = events.persist()
     found = candidates(events, legs).persist()

@@ -14,6 +14,8 @@ __all__ = ["BREAK_EVEN", "combinations", "game_pattern_counts", "game_patterns",
 
 #: A catalog has at most so many keys; its combinations of one size are broadcast where there can't be more than SENT.
 CATALOG, SENT = 100, 200_000
+#: Keys of the longest combination.
+LEGS = 4
 OUTCOME_KEYS = tuple(f"{k}:game" for k in OUTCOMES)
 
 
@@ -42,7 +44,7 @@ def combinations(events: DataFrame, unit: str, legs: int, least: int) -> DataFra
     return spread(events.groupBy(unit, "season").agg(F.array_sort(F.collect_set("event_key")).alias("keys")), legs, least)
 
 
-def night_patterns(events: DataFrame, legs: int = 2, least: int = 3, reference_date: str = "2001-01-01") -> DataFrame:
+def night_patterns(events: DataFrame, legs: int = LEGS, least: int = 3, reference_date: str = "2001-01-01") -> DataFrame:
     """Combinations of night events with their season filters and the five scores."""
     hits = combinations(events, "date", legs, least)
     seasons = events.select("season").distinct().agg(F.count("*").alias("s")).select("s").scalar()
@@ -71,7 +73,7 @@ def profiles(events: DataFrame) -> DataFrame:
     return events.groupBy("game_id", "season").agg(F.array_sort(F.collect_set(condition)).alias("keys"), F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("bits"))
 
 
-def game_pattern_counts(events: DataFrame, legs: int = 2, least: int = 15) -> DataFrame:
+def game_pattern_counts(events: DataFrame, legs: int = LEGS, least: int = 15) -> DataFrame:
     """(combo, outcome, season, sample, hits): how often each outcome, also none, follows a combination of conditions.
 
     All outcomes of a combination are counted in one row, from the bits that its games carry."""
@@ -80,7 +82,7 @@ def game_pattern_counts(events: DataFrame, legs: int = 2, least: int = 15) -> Da
     return counts.select("combo", "season", "sample", F.inline(F.array(*[F.struct(F.lit(k).alias("outcome"), F.col(f"h{i}").alias("hits")) for i, k in enumerate(OUTCOME_KEYS)]))).select("combo", "outcome", "season", "sample", "hits")
 
 
-def kept_patterns(events: DataFrame, legs: int = 2, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
+def kept_patterns(events: DataFrame, legs: int = LEGS, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
     """(combo, outcome, sample, hits, n_seasons, most) of condition patterns whose outcome beats the break-even rate."""
     counts = game_pattern_counts(events, legs, least)
     p = counts.groupBy("combo", "outcome").agg(F.sum("sample").alias("sample"), F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("n_seasons"), F.max("hits").alias("most"))
@@ -88,7 +90,7 @@ def kept_patterns(events: DataFrame, legs: int = 2, least: int = 15, min_rate: f
     return p.where((F.col("sample") >= least) & (rate >= min_rate) & (rate - BREAK_EVEN >= 0.02) & (F.col("most") / F.col("sample") <= max_share))
 
 
-def game_patterns(events: DataFrame, legs: int = 2, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
+def game_patterns(events: DataFrame, legs: int = LEGS, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
     """The kept patterns with hit rate, edge and value score."""
     p, rate = kept_patterns(events, legs, least, min_rate, max_share), F.col("hits") / F.col("sample")
     return p.select("combo", "outcome", "sample", "hits", "n_seasons", F.round(rate, 6).alias("hit_rate"), F.round(rate - BREAK_EVEN, 6).alias("edge"), F.round((rate - BREAK_EVEN) * F.sqrt("sample"), 4).alias("value_score"))
@@ -109,7 +111,7 @@ def hit_bit() -> Column:
     return F.call_function("shiftright", F.col("bits"), F.try_element_at(number, F.col("outcome"))).bitwiseAND(F.lit(1).cast("long")).cast("int")
 
 
-def scored(events: DataFrame, game: DataFrame, legs: int = 2, least: int = 15, reference_date: str = "2001-01-01") -> DataFrame:
+def scored(events: DataFrame, game: DataFrame, legs: int = LEGS, least: int = 15, reference_date: str = "2001-01-01") -> DataFrame:
     """Kept patterns with hit_rate, edge, confidence and value; a hit in the 90 days before ``reference_date`` adds to the confidence.
 
     Only games of those days are held against the patterns again."""

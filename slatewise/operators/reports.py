@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.operators.mining import combinations, five_scores
+from slatewise.operators.mining import LEGS, combinations, five_scores
 from slatewise.operators.night import CATALOG, STATS
 
 COUNTED = ("points", "assists", "rebounds", "steals", "blocks", "turnovers")
@@ -117,7 +117,7 @@ def completeness(game: DataFrame, stat: DataFrame, n: int = 20) -> DataFrame:
     return game.where("status = 'Final'").join(stat, "game_id", "left_anti").select("season", "date", "game_id").orderBy("date", "game_id").limit(n)
 
 
-def reranked(events: DataFrame, legs: int = 2, least: int = 3, first: int = 1995, last: int = 1999, reference_date: str = "2001-01-01", n: int = 25) -> DataFrame:
+def reranked(events: DataFrame, legs: int = LEGS, least: int = 3, first: int = 1995, last: int = 1999, reference_date: str = "2001-01-01", n: int = 25) -> DataFrame:
     """The ``n`` best night patterns by their hits in the seasons ``first`` to ``last``: scores, longest gap, the older stability score.
 
     Gaps are differences of following hits, so hits of one pattern are in order once."""
@@ -138,20 +138,20 @@ def first_hits(hits: DataFrame, n: int = 3) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("combo").orderBy("date"))).where(F.col("place") <= n)
 
 
-def subset_redundancy(events: DataFrame, legs: int = 2, least: int = 3) -> DataFrame:
+def subset_redundancy(events: DataFrame, legs: int = LEGS, least: int = 3) -> DataFrame:
     """Patterns beside each of their parts of fewer keys, and how much the extra keys narrow the hits.
 
     A part holds wherever the whole does, so its containment is always whole; the pairs come from the keys
     alone: every pattern names its parts, which meet their counts on equality."""
     counts = combinations(events, "date", legs, least).groupBy("combo").agg(F.count("*").alias("hits"))
     keys = F.split("combo", r"\+")
-    whole = counts.select("combo", "hits", F.explode(keys).alias("part")).where(F.col("combo") != F.col("part"))
-    parts = whole if legs == 2 else whole.unionByName(counts.where(F.size(keys) > 2).select("combo", "hits", F.explode(F.transform(keys, lambda k: F.array_join(F.array_remove(F.split("combo", r"\+"), k), "+"))).alias("part"))).distinct()
+    part = lambda bits: F.array_join(F.filter(keys, lambda _, i: F.bit_get(bits, i) == 1), "+")
+    parts = counts.where(F.size(keys) > 1).select("combo", "hits", F.explode(F.transform(F.sequence(F.lit(1), F.expr("shiftleft(1, size(split(combo, '[+]'))) - 2")), part)).alias("part"))
     simple = counts.select(F.col("combo").alias("part"), F.col("hits").alias("part_hits"))
     return parts.join(simple, "part").select("combo", "hits", "part", "part_hits", F.round(1 - F.col("hits") / F.col("part_hits"), 6).alias("hit_reduction"), F.lit("FULLY_REDUNDANT").alias("verdict"))
 
 
-def near_duplicates(events: DataFrame, legs: int = 2, least: int = 3, threshold: float = 0.9) -> DataFrame:
+def near_duplicates(events: DataFrame, legs: int = LEGS, least: int = 3, threshold: float = 0.9) -> DataFrame:
     """Pairs of patterns of as many keys whose hit dates have a Jaccard likeness of ``threshold``.
 
     Patterns of equal dates meet as one set, by their sorted dates; of different sets, one whose size

@@ -12,10 +12,15 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: SQL that takes minutes on whole tables: not part of the contract, for comparisons by hand on the smallest ones.
 SLOW_SQL: dict[str, str] = {}
+#: Queries of combinations as long as the library's defaults, for which there is no SQL.
+WHOLE: dict = {}
 
 
-def register(name: str, build, sql: str | None = None) -> None:
+def register(name: str, build, sql: str | None = None, whole: int | None = None) -> None:
+    """``whole``: ``build`` takes the legs too, two where its SQL makes two, and is also a query of ``whole`` legs."""
     QUERIES[name] = lambda spark, sf_dir: build(frames(spark, sf_dir))
+    if whole is not None:
+        WHOLE[f"{name}_{whole}legs"] = lambda spark, sf_dir: build(frames(spark, sf_dir), whole)
     if sql is not None:
         (SLOW_SQL if name.startswith(("bt", "pr0")) else SQL)[name] = sql
 
@@ -54,11 +59,11 @@ register("wn11_player_context", lambda fx: players.player_context(fx.game, fx.st
          with_ctes("select game_id, player_id, team_id, gp, " + ", ".join([*RANKED, *[f"round({c}, 6) {c}" for c in AVERAGED]]) + " from pctx", asof.CONTEXT_SQL | players.PLAYER_SQL))
 register("gc_go_all", lambda fx: games.game_events(fx).select("game_id", "season", "event_key"), with_ctes("select game_id, season, event_key from game_events", GAME_SQL))
 register("ing15_consensus", lambda fx: fx.line, with_ctes("select * from fx_line"))
-register("pm01_night_patterns", lambda fx: mining.night_patterns(night.night_events(fx)), with_ctes(
+register("pm01_night_patterns", lambda fx, legs=2: mining.night_patterns(night.night_events(fx), legs), with_ctes(
     """select combo, hits, n_seasons, round(st, 4) stability, round(ba, 4) balance, round(ra, 4) rarity, round(re, 4) recency, round(0.35 * st + 0.25 * ba + 0.25 * ra + 0.15 * re, 4) overall
     from (select combo, hits, n_seasons, least(n_seasons / (select count(distinct season) from night_events), 1.0) st, 1 - most / hits ba, 1 - least(1.0, abs(hits / n_seasons - 2.5) / 3) ra, greatest(0.0, 1 - date_diff('day', last, date '2001-01-01') / 730) re
     from (select combo, sum(h) hits, count(*) n_seasons, max(h) most, max(d) last from (select combo, season, count(*) h, max(date) d from combos group by all) group by combo) where n_seasons >= 2 and most / hits <= 0.6 and hits / n_seasons between 0.5 and 6)""",
-    NIGHT_SQL | combos_sql("night_events", "date", 2, 3)))
-register("pm13_game_patterns", lambda fx: mining.game_patterns(games.game_events(fx)), with_ctes(
+    NIGHT_SQL | combos_sql("night_events", "date", 2, 3)), mining.LEGS)
+register("pm13_game_patterns", lambda fx, legs=2: mining.game_patterns(games.game_events(fx), legs), with_ctes(
     """select combo, outcome, n sample, hits, n_seasons, round(hits / n, 6) hit_rate, round(hits / n - 0.524, 6) edge, round((hits / n - 0.524) * sqrt(n), 4) value_score from (select combo, outcome, sum(hits) hits, max(hits) most, count(*) n_seasons from pc group by all) join (select combo, sum(sample_n) n from samples group by combo) using (combo)
-    where n >= 15 and hits / n >= 0.58 and hits / n - 0.524 >= 0.02 and most / n <= 0.85""", GAME_SQL | COUNTS))
+    where n >= 15 and hits / n >= 0.58 and hits / n - 0.524 >= 0.02 and most / n <= 0.85""", GAME_SQL | COUNTS), mining.LEGS)

@@ -43,16 +43,16 @@ register("wn13_snapshot", lambda fx: asof.snapshot(fx.game, "1999-01-01").select
 # ---- night patterns again
 NIGHT_COMBOS = NIGHT_SQL | combos_sql("night_events", "date", 2, 3)
 _older = "10 * n_seasons + 10 / (1 + sd) - 15 * most / hits + coalesce(least(longest_gap / 30, 5.0), 0.0) - legs"
-register("pm06_rerank", lambda fx: reports.reranked(night.night_events(fx)), with_ctes(
+register("pm06_rerank", lambda fx, legs=2: reports.reranked(night.night_events(fx), legs), with_ctes(
     f"""select combo, legs, hits, n_seasons, round(hits / n_seasons, 2) avg_hits, round(most / hits, 3) cluster_share, longest_gap, round({_older}, 4) older_score, round(st, 4) stability, round(ba, 4) balance, round(ra, 4) rarity, round(re, 4) recency, round(0.35 * st + 0.25 * ba + 0.25 * ra + 0.15 * re, 4) overall
     from (select *, len(string_split(combo, '+')) legs, least(n_seasons / (select count(distinct season) from night_events where season between 1995 and 1999), 1.0) st, 1 - most / hits ba, 1 - least(1.0, abs(hits / n_seasons - 2.5) / 3) ra, greatest(0.0, 1 - date_diff('day', last, date '2001-01-01') / 730) re
     from (select combo, sum(h) hits, count(*) n_seasons, max(h) most, max(d) last, max(gap) longest_gap, stddev_pop(h) sd from (select combo, season, count(*) h, max(date) d, max(gap) gap from (select *, date_diff('day', lag(date) over (partition by combo order by date), date) gap from combos where season between 1995 and 1999) group by combo, season) group by combo))
-    order by overall desc, combo limit 25""", NIGHT_COMBOS))
+    order by overall desc, combo limit 25""", NIGHT_COMBOS), mining.LEGS)
 _counts = {"counted": "select combo, count(*) hits from combos group by combo"}
-register("pm08_subsets", lambda fx: reports.subset_redundancy(night.night_events(fx)), with_ctes("select c.combo, c.hits, p.combo part, p.hits part_hits, round(1 - c.hits / p.hits, 6) hit_reduction, 'FULLY_REDUNDANT' verdict from (select combo, hits, unnest(string_split(combo, '+')) part from counted) c join counted p on p.combo = c.part where c.combo <> c.part", NIGHT_COMBOS | _counts))
-register("pm08_near_duplicates", lambda fx: reports.near_duplicates(night.night_events(fx)), with_ctes(
+register("pm08_subsets", lambda fx, legs=2: reports.subset_redundancy(night.night_events(fx), legs), with_ctes("select c.combo, c.hits, p.combo part, p.hits part_hits, round(1 - c.hits / p.hits, 6) hit_reduction, 'FULLY_REDUNDANT' verdict from (select combo, hits, unnest(string_split(combo, '+')) part from counted) c join counted p on p.combo = c.part where c.combo <> c.part", NIGHT_COMBOS | _counts), mining.LEGS)
+register("pm08_near_duplicates", lambda fx, legs=2: reports.near_duplicates(night.night_events(fx), legs), with_ctes(
     "select legs, a, b, shared, round(shared / (x + y - shared), 6) likeness from (select len(string_split(l.combo, '+')) legs, l.combo a, r.combo b, count(*) shared, max(p.hits) x, max(q.hits) y from combos l join combos r on l.date = r.date and l.combo < r.combo and len(string_split(l.combo, '+')) = len(string_split(r.combo, '+')) "
-    "join counted p on p.combo = l.combo join counted q on q.combo = r.combo where least(p.hits, q.hits) >= 0.9 * greatest(p.hits, q.hits) group by l.combo, r.combo) where shared / (x + y - shared) >= 0.9", NIGHT_COMBOS | _counts))
+    "join counted p on p.combo = l.combo join counted q on q.combo = r.combo where least(p.hits, q.hits) >= 0.9 * greatest(p.hits, q.hits) group by l.combo, r.combo) where shared / (x + y - shared) >= 0.9", NIGHT_COMBOS | _counts), mining.LEGS)
 register("pm09_support", lambda fx: reports.support(mining.night_patterns(night.night_events(fx)), night.night_measures(fx).agg(F.count("*").alias("n")).select("n").scalar()))
 register("pm12_stored_and_live", lambda fx: reports.stored_and_live(night.night_events(fx).where("season <> 1997 or event_key not like 'ANY_%'"), night.night_events(fx)), with_ctes("select date, event_key, not (season = 1997 and event_key like 'ANY\\_%' escape '\\') as stored, true as live, (season = 1997 and event_key like 'ANY\\_%' escape '\\') as mismatch from night_events", NIGHT_SQL))
 
@@ -67,8 +67,8 @@ KEPT = GAME_SQL | COUNTS | {
     "scored": """select k.combo, k.outcome, "sample", hits, n_seasons, hits / "sample" hit_rate, hits / "sample" - 0.524e0 edge, round((hits / "sample" - 0.524e0) * sqrt("sample"), 9) "value",
         round(least(0.4e0 * "sample" / (select max("sample") from kept) + 0.3e0 * n_seasons / (select count(distinct season) from game_events) + 0.3e0 * (1 - most / "sample") + coalesce(0.05e0 * (1 - date_diff('day', last, date '2001-01-01') / 90), 0), 1.0), 9) confidence from kept k left join latest l on l.combo = k.combo and l.outcome = k.outcome""",
 }
-_scored = lambda fx: mining.scored(games.game_events(fx), fx.game)
-register("pm14_scored", lambda fx: _scored(fx).select("combo", "outcome", "sample", "hits", "n_seasons", *r6("hit_rate", "edge", "confidence", "value")), with_ctes("select combo, outcome, \"sample\", hits, n_seasons, " + sql6("hit_rate", "edge", "confidence") + ", round(\"value\", 6) \"value\" from scored", KEPT))
+_scored = lambda fx, legs: mining.scored(games.game_events(fx), fx.game, legs)
+register("pm14_scored", lambda fx, legs=2: _scored(fx, legs).select("combo", "outcome", "sample", "hits", "n_seasons", *r6("hit_rate", "edge", "confidence", "value")), with_ctes("select combo, outcome, \"sample\", hits, n_seasons, " + sql6("hit_rate", "edge", "confidence") + ", round(\"value\", 6) \"value\" from scored", KEPT), mining.LEGS)
 MET = KEPT | games.SLATE_SQL | {
     "best_patterns": 'select * from scored order by confidence desc, "value" desc, combo, outcome limit 2000',
     "met": "select f.game_id, f.date, p.* from (select e.game_id, e.date, t.combo from sl_events e join (select combo, unnest(string_split(combo, '+')) k, len(string_split(combo, '+')) legs from (select distinct combo from best_patterns)) t on t.k = e.event_key group by e.game_id, e.date, t.combo, t.legs having count(*) = t.legs) f join best_patterns p on p.combo = f.combo",
@@ -77,16 +77,16 @@ _any = "split_part(outcome, ':', 1) in (" + ", ".join(f"'{o}'" for o in predict.
 _bet = "case when outcome like '%COVERED%' or outcome like '%SPREAD%' then 'spread' when outcome like '%OVER_HIT%' or outcome like '%UNDER_HIT%' or outcome like '%TOTAL_%' then 'total' when regexp_matches(outcome, '_WIN') then 'moneyline' when regexp_matches(outcome, 'SCORER|REBOUNDER|ASSIST|DOUBLE|TRIPLE|PLAYER_') then 'player_prop' else 'other' end"
 _order = 'confidence desc, "value" desc, combo, outcome'
 for _name, _player in (("pr01_predictions", False), ("pr02_player_predictions", True)):
-    register(_name, lambda fx, player=_player: predict.predictions(games.slate_conditions(fx), mining.top(_scored(fx)), 10, player).select("game_id", "date", "combo", "outcome", *r6("hit_rate", "confidence", "value"), "sample", "place"), with_ctes(
-        f'select * from (select game_id, date, combo, outcome, {sql6("hit_rate", "confidence")}, round("value", 6) "value", "sample", row_number() over (partition by game_id order by m.{_order.replace(", ", ", m.").replace("m.m.", "m.")}) place from met m {"where " + _any if _player else ""}) where place <= 10', MET))
+    register(_name, lambda fx, legs=2, player=_player: predict.predictions(games.slate_conditions(fx), mining.top(_scored(fx, legs)), 10, player).select("game_id", "date", "combo", "outcome", *r6("hit_rate", "confidence", "value"), "sample", "place"), with_ctes(
+        f'select * from (select game_id, date, combo, outcome, {sql6("hit_rate", "confidence")}, round("value", 6) "value", "sample", row_number() over (partition by game_id order by m.{_order.replace(", ", ", m.").replace("m.m.", "m.")}) place from met m {"where " + _any if _player else ""}) where place <= 10', MET), mining.LEGS)
 _kelly = "least(greatest((100e0 / 110 * hit_rate - (1 - hit_rate)) / (100e0 / 110), 0), 0.25e0)"
 _e9 = "round(edge, 9)"
-register("pr03_picks", lambda fx: predict.picks(games.slate_conditions(fx), mining.top(_scored(fx)), min_confidence=0.5), with_ctes(
+register("pr03_picks", lambda fx, legs=2: predict.picks(games.slate_conditions(fx), mining.top(_scored(fx, legs)), min_confidence=0.5), with_ctes(
     f"""select * from (select game_id, date, combo, outcome, {_bet} bet_type, round(hit_rate, 6) hit_rate, "sample", case when ({_e9} >= 0.15 and "sample" >= 200 and n_seasons >= 5) or ({_e9} >= 0.10 and "sample" >= 150 and n_seasons >= 4) then 'A' when {_e9} >= 0.08 and "sample" >= 100 and n_seasons >= 3 then 'B' when {_e9} >= 0.05 and "sample" >= 75 then 'C' else 'D' end grade,
-    round({_kelly}, 6) kelly, round(round({_kelly}, 9) * 1000) / 10 units from met where confidence >= 0.5 and {_e9} >= 0.05) where grade <= 'B'""", MET))
-register("pr04_feed", lambda fx: predict.feed(games.slate_conditions(fx), mining.top(_scored(fx))), with_ctes(
+    round({_kelly}, 6) kelly, round(round({_kelly}, 9) * 1000) / 10 units from met where confidence >= 0.5 and {_e9} >= 0.05) where grade <= 'B'""", MET), mining.LEGS)
+register("pr04_feed", lambda fx, legs=2: predict.feed(games.slate_conditions(fx), mining.top(_scored(fx, legs))), with_ctes(
     f"""select game_id, date, place, combo, outcome, round(hit_rate, 6) hit_rate, "sample", regexp_matches(outcome, 'UNDERDOG_COVERED|FAVORITE_COVERED') or (round(hit_rate, 9) >= 0.65 and "sample" >= 100) high_value, {_bet} bet_type
-    from (select *, row_number() over (partition by game_id order by round(hit_rate, 9) desc, "sample" desc, outcome) place from (select *, row_number() over (partition by game_id, outcome order by round(hit_rate, 9) desc, "sample" desc, combo) n from met where not ({_any})) where n = 1) where place <= 10""", MET))
+    from (select *, row_number() over (partition by game_id order by round(hit_rate, 9) desc, "sample" desc, outcome) place from (select *, row_number() over (partition by game_id, outcome order by round(hit_rate, 9) desc, "sample" desc, combo) n from met where not ({_any})) where n = 1) where place <= 10""", MET), mining.LEGS)
 
 # ---- walk-forward tests
 _p = lambda z: f"((1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2))) * (0.254829592e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2))) * (-0.284496736e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2))) * (1.421413741e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2))) * (-1.453152027e0 + (1 / (1 + 0.3275911e0 * abs({z}) / sqrt(2))) * 1.061405429e0)))) * exp(-{z} * {z} / 2))"
@@ -112,23 +112,23 @@ FOLDS = {k: v for k, v in KEPT.items() if k not in ("kept", "latest", "scored")}
 }
 
 
-def _done(fx, sizing: str = "halfKelly"):
-    return backtest.walk_forward(games.game_events(fx), fx.game, sizing=sizing)
+def _done(fx, legs: int, sizing: str = "halfKelly"):
+    return backtest.walk_forward(games.game_events(fx), fx.game, legs, sizing)
 
 
-def _book(fx, sizing: str):
+def _book(fx, legs: int, sizing: str):
     events = games.game_events(fx).persist()
-    return backtest.ledger(backtest.bets(events, fx.game, backtest.candidates(events)), backtest.FOLD, sizing)
+    return backtest.ledger(backtest.bets(events, fx.game, backtest.candidates(events, legs)), backtest.FOLD, sizing)
 
 
 _TESTED = ("z", "p", "z_train", "p_train", "chi", "chi_p", "roi", "max_drawdown", "sharpe", "total_score")
-register("bt02_walk_forward", lambda fx: _done(fx).select(*backtest.FOLD, "train_n", "train_hits", "test_n", "test_hits", "significant", "consistent", "grade", *r6(*_TESTED)), with_ctes(
-    f"select {_fold}, train_n, train_hits, test_n, test_hits, significant, consistent, case when total_score >= 85 then 'A' when total_score >= 70 then 'B' when total_score >= 55 then 'C' when total_score >= 40 then 'D' else 'F' end grade, {sql6(*_TESTED)} from (select *, p chi_p from done)", GAME_SQL | FOLDS))
-register("bt02_walk_forward_flat", lambda fx: _done(fx, "flat").select(*backtest.FOLD, "train_n", "test_n", "test_hits", "bets", *r6("wagered", "net", "roi", "peak", "final", "max_drawdown"), "grade", "summary"))
-register("bt03_robust", lambda fx: backtest.robust(_done(fx)).select("combo", "outcome", "folds", "test_season", *r6("z")), with_ctes("select combo, outcome, folds, test_season, round(z, 6) z from (select combo, outcome, count(*) folds, min(roi) least_roi, max(z) z, arg_max(test_season, round(z, 9) - test_season * 1e-12) test_season from done group by combo, outcome) where folds = (select count(distinct test_season) from done) and least_roi > 0", GAME_SQL | FOLDS))
-register("bt04_folds", lambda fx: backtest.fold_summary(_done(fx)).select("test_season", "tested", "passed", "degraded", *r6("hit_rate", "edge"), F.round("net", 4).alias("net"), *r6("fold_roi")), with_ctes(
-    "select test_season, count(*) tested, count(case when significant or roi > 0 then 1 end) passed, count(case when test_rate < 0.85e0 * train_rate then 1 end) degraded, round(sum(test_hits) / sum(test_n), 6) hit_rate, round(sum(test_hits) / sum(test_n) - 0.524e0, 6) edge, round(sum(net), 4) net, round(sum(net) / (sum(bets) * 200e0), 6) fold_roi from done group by test_season", GAME_SQL | FOLDS))
-register("bt06_ledger_flat", lambda fx: backtest.results(_book(fx, "flat"), backtest.FOLD).select(*backtest.FOLD, "bets", "wins", *r6("wagered", "net", "roi", "peak", "final", "max_drawdown", "sharpe")))
-register("bt07_combined", lambda fx: backtest.combined(_book(fx, "halfKelly"), "test_season").select("test_season", "bets", "wins", *[F.round(c, 4).alias(c) for c in ("net", "peak", "final")], *r6("roi", "max_drawdown")), with_ctes(
+register("bt02_walk_forward", lambda fx, legs=2: _done(fx, legs).select(*backtest.FOLD, "train_n", "train_hits", "test_n", "test_hits", "significant", "consistent", "grade", *r6(*_TESTED)), with_ctes(
+    f"select {_fold}, train_n, train_hits, test_n, test_hits, significant, consistent, case when total_score >= 85 then 'A' when total_score >= 70 then 'B' when total_score >= 55 then 'C' when total_score >= 40 then 'D' else 'F' end grade, {sql6(*_TESTED)} from (select *, p chi_p from done)", GAME_SQL | FOLDS), backtest.LEGS)
+register("bt02_walk_forward_flat", lambda fx: _done(fx, backtest.LEGS, "flat").select(*backtest.FOLD, "train_n", "test_n", "test_hits", "bets", *r6("wagered", "net", "roi", "peak", "final", "max_drawdown"), "grade", "summary"))
+register("bt03_robust", lambda fx, legs=2: backtest.robust(_done(fx, legs)).select("combo", "outcome", "folds", "test_season", *r6("z")), with_ctes("select combo, outcome, folds, test_season, round(z, 6) z from (select combo, outcome, count(*) folds, min(roi) least_roi, max(z) z, arg_max(test_season, round(z, 9) - test_season * 1e-12) test_season from done group by combo, outcome) where folds = (select count(distinct test_season) from done) and least_roi > 0", GAME_SQL | FOLDS), backtest.LEGS)
+register("bt04_folds", lambda fx, legs=2: backtest.fold_summary(_done(fx, legs)).select("test_season", "tested", "passed", "degraded", *r6("hit_rate", "edge"), F.round("net", 4).alias("net"), *r6("fold_roi")), with_ctes(
+    "select test_season, count(*) tested, count(case when significant or roi > 0 then 1 end) passed, count(case when test_rate < 0.85e0 * train_rate then 1 end) degraded, round(sum(test_hits) / sum(test_n), 6) hit_rate, round(sum(test_hits) / sum(test_n) - 0.524e0, 6) edge, round(sum(net), 4) net, round(sum(net) / (sum(bets) * 200e0), 6) fold_roi from done group by test_season", GAME_SQL | FOLDS), backtest.LEGS)
+register("bt06_ledger_flat", lambda fx: backtest.results(_book(fx, backtest.LEGS, "flat"), backtest.FOLD).select(*backtest.FOLD, "bets", "wins", *r6("wagered", "net", "roi", "peak", "final", "max_drawdown", "sharpe")))
+register("bt07_combined", lambda fx, legs=2: backtest.combined(_book(fx, legs, "halfKelly"), "test_season").select("test_season", "bets", "wins", *[F.round(c, 4).alias(c) for c in ("net", "peak", "final")], *r6("roi", "max_drawdown")), with_ctes(
     "select test_season, cast(sum(bets) as bigint) bets, cast(sum(wins) as bigint) wins, round(sum(profit), 4) net, round(max(peak), 4) peak, round(10000 + sum(profit), 4) final, round(sum(profit) / sum(wagered), 6) roi, round(max((peak - bankroll) / peak), 6) max_drawdown from (select *, greatest(10000, max(bankroll) over (partition by test_season order by date)) peak from "
-    "(select *, 10000 + sum(profit) over (partition by test_season order by date) bankroll from (select test_season, date, count(*) bets, sum(hit) wins, sum(wager) wagered, sum(profit) profit from book group by test_season, date))) group by test_season", GAME_SQL | FOLDS))
+    "(select *, 10000 + sum(profit) over (partition by test_season order by date) bankroll from (select test_season, date, count(*) bets, sum(hit) wins, sum(wager) wagered, sum(profit) profit from book group by test_season, date))) group by test_season", GAME_SQL | FOLDS), backtest.LEGS)

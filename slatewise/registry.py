@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from slatewise.plans import ingest, research
-from slatewise.plans.queries import QUERIES, SQL
+from slatewise.plans.queries import QUERIES, SQL, WHOLE
 
 assert ingest and research  # they register their queries
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "WHOLE"]
