@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 ROUNDS = 6
 #: A cell's tokens are weighted up or down by this factor at most.
 MAX_RATIO = 2.0
+#: Raking that has to settle ends where a whole round scales no category by more than this; or where, for STALLED
+#: rounds, the largest scaling hasn't come 0.1 % nearer to none: then the targets contradict each other.
+TOLERANCE, STALLED = 1e-6, 5
 UNKNOWN = "(none)"
 
 
@@ -49,10 +54,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     Every scaling is cut by a checkpoint, so that no plan holds more than one. A category without a
     target keeps its weight."""
     shared_dir(cells.sparkSession)
-    held = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for d, target in targets.items():
-        held = held.join(target.withColumnRenamed("target", f"target_{d}"), d, "left")
-    held = held.checkpoint()
+    held = beside_targets(cells, targets)
     for _ in range(rounds):
         for i, d in enumerate(targets):
             own = held.groupBy(d).agg(F.sum("weight").alias("own"))
@@ -63,36 +65,71 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return held.drop(*[f"target_{d}" for d in targets]).withColumn("ratio", F.col("weight") / F.col("tokens"))
 
 
+def beside_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    held = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d, target in targets.items():
+        held = held.join(target.withColumnRenamed("target", f"target_{d}"), d, "left")
+    return held.checkpoint()
+
+
+def rake_settled(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` with weight and ratio as from ``rake``, raked without bounds until all marginals meet their targets.
+
+    The cells carry the largest scaling of the round, so that a round costs one small sum more. Targets that
+    no weights can meet together (where some cells are missing) leave an error, which is logged: the last
+    dimension then meets its targets and the others come as near as their last scaling says."""
+    shared_dir(cells.sparkSession)
+    held = beside_targets(cells, targets)
+    least, stalled = float("inf"), 0
+    while stalled < STALLED:
+        held = held.withColumn("moved", F.lit(0.0))
+        for d in targets:
+            own = held.groupBy(d).agg(F.sum("weight").alias("own"))
+            factor = F.coalesce(F.col(f"target_{d}") / F.col("own"), F.lit(1.0))
+            held = held.join(own, d).withColumns({"weight": F.col("weight") * factor, "moved": F.greatest("moved", F.abs(factor - 1))}).drop("own").checkpoint()
+        moved = held.agg(F.max("moved")).first()[0] or 0.0
+        if moved <= tolerance:
+            break
+        stalled = 0 if moved < 0.999 * least else stalled + 1
+        least = min(least, moved)
+    else:
+        logging.getLogger(__name__).warning("targets contradict each other: marginals are still scaled by up to %.6g", moved)
+    return held.drop("moved", *[f"target_{d}" for d in targets]).withColumn("ratio", F.col("weight") / F.col("tokens"))
+
+
 def uniform(doc_id: str, seed: str) -> Column:
     """A number in [0, 1) that the id and the seed settle; rows of one id share it."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, seed: str = "mix", rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER, settle: bool = False) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability and sampled for each row of ``docs`` (doc_id, text, source, lang).
 
     Token weights are raked to tempered marginals of source, language and topic. A document's
     probability is its cell's ratio over the largest of all, so that sampled tokens keep the raked
     proportions; it is sampled where its id's uniform number lies below. Null texts count one token,
-    null categories are one of their own, an empty table gives no rows, rows of one id fare alike."""
+    null categories are one of their own, an empty table gives no rows, rows of one id fare alike.
+    ``settle`` rakes until the marginals meet their targets, without bounds; else there are ``rounds`` rounds
+    within ``max_ratio``, as the SQL has them, which leave rare categories under theirs."""
     counted = with_cells(docs)
-    share = calibrated(counted, rounds, max_ratio, temper)
+    share = calibrated(counted, rounds, max_ratio, temper, settle)
     return counted.join(share, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", "probability", (uniform("doc_id", seed) < F.col("probability")).alias("sampled"))
 
 
-def calibrated(counted: DataFrame, rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER) -> DataFrame:
+def calibrated(counted: DataFrame, rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER, settle: bool = False) -> DataFrame:
     """(source, lang, topic, probability) of the cells of ``counted`` (see with_cells)."""
     shared_dir(counted.sparkSession)
     cells = counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).checkpoint()
-    raked = rake(cells, {d: tempered_targets(cells, d, temper[d]).checkpoint() for d in DIMENSIONS}, rounds, max_ratio)
+    targets = {d: tempered_targets(cells, d, temper[d]).checkpoint() for d in DIMENSIONS}
+    raked = rake_settled(cells, targets) if settle else rake(cells, targets, rounds, max_ratio)
     top = raked.agg(F.max("ratio").alias("top")).select("top").scalar()
-    return raked.select(*DIMENSIONS, F.round(F.col("ratio") / top, 6).alias("probability"))
+    return raked.select(*DIMENSIONS, (F.col("ratio") / top if settle else F.round(F.col("ratio") / top, 6)).alias("probability"))
 
 
 def sample(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The sampled rows of ``docs``, all columns (see mix)."""
-    share = calibrated(with_cells(docs))
+    """The sampled rows of ``docs``, all columns (see mix, settled)."""
+    share = calibrated(with_cells(docs), settle=True)
     share = share.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_probability"))
     named = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in ("source", "lang")]
     on = [a == F.col(f"_{c}") for a, c in zip([*named, surface_topic()], DIMENSIONS, strict=True)]
