@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.common import keep, rows_of
@@ -35,15 +35,21 @@ def set_id(tokens: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
 
 
+def row_key() -> Column:
+    """128 bits of a row's id and text, which only repeated rows share; a null id counts as one of its own."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sid) of each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, sid) of each row of ``docs`` (doc_id, text), with its ``key`` where ``docs`` has one."""
+    key = ["key"] if "key" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             sets = shingles(batch.column(1), WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *batch.columns[2:]], names=["doc_id", "n_shingles", "sid", *key])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sid binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(run, "doc_id long, n_shingles long, sid binary" + ", key binary" * len(key))
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -299,6 +305,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     between components is lost. Documents without words are their own component, also repeated
     ones; a null id is nobody's smallest; repeated ids and rows are answered each."""
     sets = keep(shingle_sets(docs), "sets")
+    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(set_labels(docs, sets).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_set = keep(classes.join(smallest, "label").select("sid", "component_id"), "components")
+    named = sets.join(of_set, "sid", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def set_labels(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of the sets of ``sets`` that link to another: the component of each (see near_components)."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     posted = keep(postings(docs, *frequencies(docs, total)).dropDuplicates(["token", "sid"]), "postings")
     links, lists = None, unsettled(posted, None)
@@ -306,28 +321,29 @@ def near_components(docs: DataFrame) -> DataFrame:
         found = linked(docs, pivot_pairs(lists, seed))
         links = found if links is None else links.unionByName(found)
         lists = unsettled(lists.drop("label", "reach"), links)
-    labels = components(links.unionByName(linked(docs, cross_pairs(lists))))
-    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    smallest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = keep(classes.join(smallest, "label").select("sid", "component_id"), "components")
-    named = sets.join(of_set, "sid", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return components(links.unionByName(linked(docs, cross_pairs(lists))))
 
 
-#: Ids of documents to drop are broadcast up to this many, else joined by a shuffle.
+#: Keys of rows to drop are broadcast up to this many, else joined by a shuffle.
 SENT_IDS = 1_000_000
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id; of repeated rows one.
-
-    Rows with a null id and rows without words stay; of several different texts under the smallest id all that aren't copies stay."""
-    found = keep(near_components(docs), "near")
-    gone = keep(found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = keep(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    """``docs`` with one row of each component: that of the smallest doc_id, a null one last, whatever other texts its id has.
+
+    Of several texts of the component under that id one stays, of repeated rows one. Rows without words stay,
+    but for repeated ones that have an id. Rows are told apart by their id and text (see row_key), so an id
+    loses only those of its texts that are copies."""
+    keyed = docs.withColumn("key", row_key())
+    sets = keep(shingle_sets(keyed), "sets")
+    best = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "key")).alias("best"))
+    classes = best.join(set_labels(docs, sets).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    chosen = classes.groupBy("label").agg(F.min("best").alias("best")).select("best.key")
+    gone = keep(sets.where("sid is not null").join(chosen, "key", "left_anti").select("key").distinct(), "gone")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "key", "left_anti")
+    repeated = keep(sets.where("sid is not null or doc_id is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
     n = repeated.count()
     if not n:
-        return kept
+        return kept.select(*docs.columns)
     some = F.broadcast(repeated) if n <= SENT_IDS else repeated
-    return kept.join(some, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(some, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return kept.join(some, "key", "left_anti").select(*docs.columns).unionByName(kept.join(some, "key", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
