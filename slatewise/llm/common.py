@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none is named and all run in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="slatewise-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,11 +35,41 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that few Python strings live at once."""
+#: An Arrow batch of texts ends at so many bytes: workers hold little more than one, however long texts are.
+BATCH = "4m"
+#: A small table is broadcast up to so many bytes.
+SENT_BYTES = 16 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow``, its batches ended by bytes as well as by rows where the session doesn't say otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(run, schema)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most ``step`` rows and, but for longer single rows, ``limit`` bytes of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            far = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
+            end = min(at + step, max(at + 1, far))
+            yield batch.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
+
+
+def sent(df: DataFrame, limit: int = SENT_BYTES) -> DataFrame:
+    """``df`` (kept, columns without nesting), broadcast where its values have at most ``limit`` bytes in all."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(16) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema]
+    size = df.agg(F.sum(sum(wide, F.lit(16)))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import keep, per_task, rows_of
+from slatewise.llm.common import in_arrow, keep, per_task, rows_of
 from slatewise.llm.ranks import ranked
 
 #: The ids of documents that share a digest are broadcast up to this many, else joined by a shuffle.
@@ -40,7 +40,7 @@ def digests(docs: DataFrame, key: str) -> DataFrame:
             bodies = [canonical(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(b) for b in bodies], pa.string()), pa.array([len(b) for b in bodies], pa.int64())], names=[key, "digest", "size"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, digest string, size long")
+    return in_arrow(docs.select(key, "text"), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, digest string, size long")
 
 
 def classes(docs: DataFrame, known: DataFrame, key: str = "doc_id", hashed: Callable[[bytes], str] = digest) -> DataFrame:
@@ -61,7 +61,7 @@ def classes(docs: DataFrame, known: DataFrame, key: str = "doc_id", hashed: Call
             body = [canonical(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(b) for b in body], pa.string()), pa.array(body, pa.binary())], names=[key, "digest", "body"])
 
-    full = docs.select(key, "text").join(asked, key, "left_semi").select(key, "text").mapInArrow(bodies, f"`{key}` {docs.schema[key].dataType.simpleString()}, digest string, body binary")
+    full = in_arrow(docs.select(key, "text").join(asked, key, "left_semi").select(key, "text"), bodies, f"`{key}` {docs.schema[key].dataType.simpleString()}, digest string, body binary")
     different = keep(full.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest"), "collisions")
     if different.count() == 0:
         return members.withColumn("variant", F.lit(0))
@@ -134,7 +134,7 @@ def edit_and_compare(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
 
-    return dealt.mapInArrow(pairs, COMPARED)
+    return in_arrow(dealt, pairs, COMPARED)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -18,16 +18,19 @@ BY_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
 BY_MARK = BY_SPACE.copy()
 BY_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != ord("_")]] = 2
 
+#: Powers that a worker keeps, for texts of so many bytes.
+KEPT_POWERS = 1 << 20
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
 def _power(way: str, base: int, n: int) -> np.ndarray:
     held = _powers[way]
     if len(held) < n:
-        size = max(n, 1 << 20)
-        held = np.full(size, base, dtype=np.uint64)
+        held = np.full(max(n, KEPT_POWERS), base, dtype=np.uint64)
         held[0] = 1
-        held = _powers[way] = np.multiply.accumulate(held)
+        held = np.multiply.accumulate(held)
+        if len(held) <= KEPT_POWERS:  # a longer text's are not worth a worker's memory
+            _powers[way] = held
     return held[:n]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import keep, rows_of
+from slatewise.llm.common import in_arrow, keep, rows_of, sent
 from slatewise.llm.graph import components
 from slatewise.llm.hashing import shingles
 
@@ -49,10 +50,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             sets = shingles(batch.column(1), WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *batch.columns[2:]], names=["doc_id", "n_shingles", "sid", *key])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(run, "doc_id long, n_shingles long, sid binary" + ", key binary" * len(key))
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key), run, "doc_id long, n_shingles long, sid binary" + ", key binary" * len(key))
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[bytes, np.ndarray]]:
+def _distinct_sets(batches: Iterator[pa.RecordBatch], limit: int = 1 << 17) -> Iterator[tuple[bytes, np.ndarray]]:
     """Sets of a column of texts; copies in the same task count once (as far as ``limit`` ids are remembered)."""
     seen: set[bytes] = set()
     for batch in rows_of(batches, 128):
@@ -106,12 +107,9 @@ def frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges_seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for r, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ranges_seen.setdefault(r, []).append((_values(keys), np.frombuffer(n, dtype="<u2").astype(np.int64)))
-        for parts in ranges_seen.values():
-            keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        packets = (p for batch in rows_of(batches) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, parts in itertools.groupby(packets, key=lambda p: p[0]):
+            keys, n = (np.concatenate(x) for x in zip(*((_values(keys), np.frombuffer(n, dtype="<u2").astype(np.int64)) for _, keys, n in parts), strict=True))
             order = np.argsort(keys, kind="stable")
             keys, n = keys[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -127,8 +125,8 @@ def frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
             keys, df = keys[often].astype(np.int64), df[often]
             yield pa.RecordBatch.from_arrays([pa.array([base, *[None] * len(keys)], pa.int64()), pa.array([bits.tobytes(), *[None] * len(keys)], pa.binary()), pa.array([None, *keys.tolist()], pa.int64()), pa.array([None, *df.tolist()], pa.int64())], names=["place", "bits", "key", "df"])
 
-    packed = docs.select("text").mapInArrow(pack, "range int, keys binary, n binary").repartitionById(ranges, F.col("range"))
-    counted = keep(packed.mapInArrow(count, "place long, bits binary, key long, df long"), "frequencies")
+    packed = in_arrow(docs.select("text"), pack, "range int, keys binary, n binary").repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
+    counted = keep(in_arrow(packed, count, "place long, bits binary, key long, df long"), "frequencies")
     return counted.where("key is not null").select("key", "df"), counted.where("place is not null").select("place", "bits")
 
 
@@ -148,10 +146,10 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
     First come shingles of no other set, which need no posting, then those of few, then the frequent ones. ``shared`` is the part of the prefix, in thousandths, that has postings.
 
     Any set that links to one of n shingles shares a shingle of the first n - ceil(3n/4) + 1 of both."""
-    sent = docs.sparkSession.sparkContext.broadcast(_order(frequent, shared))
+    order_of = docs.sparkSession.sparkContext.broadcast(_order(frequent, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, df, bits = sent.value
+        keys, df, bits = order_of.value
         rows: list[tuple] = []
         size = 0
 
@@ -182,7 +180,7 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
         if rows:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, sid binary, n int, place int, shared int")
+    return in_arrow(docs.select("text"), run, "token long, sid binary, n int, place int, shared int")
 
 
 #: Length and positional filter of a posting: the largest set that what follows the shared shingle still allows to link.
@@ -239,11 +237,12 @@ def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     names = np.empty(0, dtype=np.int64)
     if n <= SENT_SETS:
         names = np.sort(wanted.select(F.conv(F.substring(F.hex("sid"), 1, 15), 16, 10).cast("long").alias("x")).toArrow()["x"].to_numpy())
-    sent = docs.sparkSession.sparkContext.broadcast((n <= SENT_SETS, names))
+    asked = docs.sparkSession.sparkContext.broadcast((n <= SENT_SETS, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, names = sent.value
+        some, names = asked.value
         rows: list[tuple[bytes, bytes]] = []
+        size = 0
         for sid, tokens in _distinct_sets(batches):
             if some:
                 x = int(sid.hex()[:15], 16)
@@ -251,13 +250,14 @@ def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if at == len(names) or names[at] != x:
                     continue
             rows.append((sid, tokens.tobytes()))
-            if len(rows) >= 256:
+            size += len(tokens)
+            if size > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "tokens"])
-                rows = []
+                rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    return in_arrow(docs.select("text"), run, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> bool:
@@ -286,7 +286,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return in_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
 def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -324,10 +324,6 @@ def set_labels(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return components(links.unionByName(linked(docs, cross_pairs(lists))))
 
 
-#: Keys of rows to drop are broadcast up to this many, else joined by a shuffle.
-SENT_IDS = 1_000_000
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, a null one last, whatever other texts its id has.
 
@@ -340,10 +336,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     classes = best.join(set_labels(docs, sets).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     chosen = classes.groupBy("label").agg(F.min("best").alias("best")).select("best.key")
     gone = keep(sets.where("sid is not null").join(chosen, "key", "left_anti").select("key").distinct(), "gone")
-    kept = keyed.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "key", "left_anti")
+    kept = keyed.join(sent(gone), "key", "left_anti")
     repeated = keep(sets.where("sid is not null or doc_id is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
-    n = repeated.count()
-    if not n:
+    if repeated.isEmpty():
         return kept.select(*docs.columns)
-    some = F.broadcast(repeated) if n <= SENT_IDS else repeated
+    some = sent(repeated)
     return kept.join(some, "key", "left_anti").select(*docs.columns).unionByName(kept.join(some, "key", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import keep, per_task, rows_of
+from slatewise.llm.common import in_arrow, keep, per_task, rows_of
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, order: np.ndarray, bins: np.ndarray, fill: list[int], capacity: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def _epoch(islands: DataFrame, epoch: int, capacity: int) -> DataFrame:
             found = evolve(sizes, start, seed, capacity)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[p.tolist() for p in found]], pa.list_(pa.list_(pa.int32())))], names=batch.schema.names)
 
-    return islands.mapInArrow(run, ISLAND)
+    return in_arrow(islands, run, ISLAND)
 
 
 def _solve(items: DataFrame, n: int, capacity: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import keep, rows_of
+from slatewise.llm.common import in_arrow, keep, rows_of
 from slatewise.llm.hashing import BY_MARK, mixed, tokens
 from slatewise.llm.ranks import ranked
 
@@ -46,7 +46,7 @@ def learn(docs: DataFrame, target: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(totals[0]), pa.array(totals[1])], names=["bucket", "raw", "target"])
 
     named = docs.select("doc_id", "text").join(F.broadcast(target.select("doc_id").withColumn("chosen", F.lit(True))), "doc_id", "left").select("text", "chosen")
-    sums = named.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    sums = in_arrow(named, count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     counts = np.zeros((2, BUCKETS))
     counts[:, sums["bucket"].to_numpy()] = np.stack([sums["raw"].to_numpy(), sums["target"].to_numpy()]) if sums.num_rows else 0
     if not counts[1].sum():
@@ -67,7 +67,7 @@ def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 w.append(float(sent.value[got].mean()) if len(got) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_grams long, log_weight double")
 
 
 def gumbel(doc_id: str, seed: int) -> Column:

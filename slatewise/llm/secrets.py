@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import keep, rows_of
+from slatewise.llm.common import in_arrow, keep, rows_of, sent
 
 #: The base patterns. Letters of ASSIGN in either case; group 2 is the value.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -23,8 +24,9 @@ WEAK_SECRET = re.compile(r"""\b(?:pass|pwd|passphrase|credentials?|private_?key|
 HOST = re.compile(r"""\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,}""", re.IGNORECASE | re.ASCII)
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9.-]+[^\s\"'<>]*")
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
-#: Code points between a candidate and its counterpart, at most.
-REACH = 200
+#: Code points between a candidate and its counterpart, at most: scopes up to this long link anywhere, longer ones (a whole
+#: text on one line) only what lies this near.
+REACH = 1000
 
 PARTS = "array<struct<kind: int, role: int, start: long, end: long, scope: long, weak: boolean>>"
 #: Roles of KINDS: 0 names an account, 1 is a secret, 2 an endpoint.
@@ -63,6 +65,16 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def blank_lines(text: str) -> list[int]:
+    """Starts of the lines of ``text`` that are empty or white space, under every line end."""
+    out, at = [], 0
+    for line in text.splitlines(keepends=True):
+        if line.isspace():
+            out.append(at)
+        at += len(line)
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
@@ -70,28 +82,28 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with its base findings and its parts (base and weak) for the link.
 
-    A scope is a block of lines without an empty line. Null texts are empty: no findings."""
+    A scope is a block of lines up to one that is empty or white space. Null texts are empty: no findings."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("base", pa.string()),
                             ("parts", pa.list_(pa.struct([("kind", pa.int32()), ("role", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("scope", pa.int64()), ("weak", pa.bool_())])))])
-        for batch in rows_of(batches, 1024):
+        for batch in rows_of(batches):
             rows = []
             for doc_id, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
                 weak = weak_spans(text, base)
-                parts, scope, at = [], 0, 0
+                parts = []
                 if weak:
+                    blank = blank_lines(text)
                     for kind, start, end, is_weak in sorted([(*s, False) for s in base] + [(*s, True) for s in weak], key=lambda s: s[1]):
-                        scope, at = scope + text.count("\n\n", at, start), start
-                        parts.append({"kind": kind, "role": ROLE[kind], "start": start, "end": end, "scope": scope, "weak": is_weak})
+                        parts.append({"kind": kind, "role": ROLE[kind], "start": start, "end": end, "scope": bisect_right(blank, start), "weak": is_weak})
                 n = [sum(k == kind for k, _, _ in base) for kind in range(3)]
                 joined = _joined(base)
                 rows.append({"doc_id": doc_id, "text_hash": text_hash, "n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": hashlib.sha256(joined.encode()).hexdigest(), "base": joined, "parts": parts})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(find, f"doc_id long, text_hash long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, parts {PARTS}")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), find, f"doc_id long, text_hash long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, parts {PARTS}")
 
 
 def linked_spans(parts: DataFrame, reach: int = REACH) -> DataFrame:
@@ -142,19 +154,13 @@ def redact(text: str | None, spans: str, mark: str = "<SECRET>") -> str | None:
     return "".join([*out, text[at:]])
 
 
-#: Documents with findings are broadcast up to this many, else joined by a shuffle.
-SENT_FINDINGS = 200_000
-
-
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span of text replaced by a mark, and n_chars counted anew where that is a column.
 
     Rows meet their findings by doc_id and the text's hash, so that repeated ids with other texts keep
     apart; all rows and columns stay."""
     found = scan_secrets(docs).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
-    found = keep(found, "findings")
-    if found.count() <= SENT_FINDINGS:
-        found = F.broadcast(found)
+    found = sent(keep(found, "findings"))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
     place, spans = joined.columns.index("text"), joined.columns.index("_spans")
 
@@ -166,5 +172,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(place, "text", pa.array(texts, batch.schema.field(place).type))
             yield batch
 
-    done = joined.mapInArrow(run, joined.schema).select(*docs.columns)
+    done = in_arrow(joined, run, joined.schema).select(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

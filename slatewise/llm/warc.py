@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import keep, shared_dir
+from slatewise.llm.common import in_arrow, keep, shared_dir
 
 #: Payloads from this size on are stored once.
 MIN_REVISIT_BYTES = 100
@@ -171,7 +171,7 @@ def read_records(spark: SparkSession, path: str, with_block: bool = False) -> Da
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, RECORDS)
+    return in_arrow(files, parse, RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:

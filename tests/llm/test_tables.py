@@ -116,24 +116,35 @@ def test_reputation(spark):
 
 def test_topk(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, rng.integers(-3, 4, 5).tolist()) for i in range(300)] + [(7, [1, 2, 3, 1, 2]), (300, []), (400, [1, 1])]
+    rows = [(i, rng.integers(-3, 4, 5).tolist()) for i in range(300)] + [(7, [1, 2, 3, 1, 2]), (300, []), (400, [1, 1]), (100, [3, 3, 3, 3, 3]), (200, [1, 0, 0, 2, 1]), (200, [1, 0, 0, 2, 1])]
     rows = [(i, [x / 1024 for x in v]) for i, v in rows] + [(500, None), (600, [None, 1.0]), (700, [float("nan")]), (800, [float("inf")]), (None, [1.0] * 5), (900, [1e38, -1e38])]
     frame = spark.createDataFrame([(*r, "s") for r in rows], "vec_id long, embedding array<float>, score string").repartition(3)
     vectors = topk.integer_vectors(frame, "vec_id", "embedding")
-    ok = [(i, [max(-topk.COMPONENT_BOUND, min(topk.COMPONENT_BOUND, math.floor(1024 * float(np.float32(x))))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in sorted(ok, reverse=True):
-        if i % 100 == 0:
-            asked[i] = v
-    want = set()
-    for q, a in asked.items():
-        best = sorted((-sum(x * y for x, y in zip(a, v, strict=False)), i) for i, v in ok if i != q)[:10]
-        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    for chunk in (2048, 2):
-        assert {tuple(r) for r in topk.search(vectors, vectors.where("id % 100 = 0"), 10, chunk).collect()} == want
+    ok = [(i, [math.floor(1024 * int(np.float32(x))) if abs(x) > 1e30 else math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for at, (q, a) in enumerate(ok):
+        if q % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, v, strict=False)), i) for j, (i, v) in enumerate(ok) if j != at)[:10]
+            want.update((q, n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(best))
+    for sent in (1 << 26, 200):
+        assert Counter(tuple(r) for r in topk.search(vectors, vectors.where("id % 100 = 0"), 10, sent).collect()) == want
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_topk_wide(spark):
+    """Large finite components: scores of plain integers, in and beyond 64 bits."""
+    rows = [(0, [20000.0]), (1, [17000.0]), (2, [30000.0]), (3, [-4e9]), (4, [9e9]), (5, [8e9]), (6, [1e300]), (7, [-1e300]), (8, [9e9])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(frame, "vec_id", "embedding")
+    whole = {i: math.floor(1024 * int(v[0])) for i, v in rows}
+    got = {}
+    for r in topk.search(vectors, vectors, 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, a in whole.items():
+        best = sorted((-a * b, i) for i, b in whole.items() if i != q)
+        assert sorted(got[q]) == [(n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(best)], q
+
+
 def test_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "labels"):
