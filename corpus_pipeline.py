@@ -12,8 +12,7 @@ from slatewise.llm.common import keep, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a null lang becomes the predicted one. Those without a letter go."""
     taught = docs.where(~language.held_out() & F.col("doc_id").isNotNull())
-    langs, prototypes = language.learn(taught)
-    told = language.predict(docs.select("doc_id", "text", "lang", "source", "n_chars"), langs, prototypes, keep_text=True)
+    told = language.predict(docs.select("doc_id", "text", "lang", "source", "n_chars"), language.learn(taught), keep_text=True)
     return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
 
 
