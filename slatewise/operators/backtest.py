@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.functions.significance import BREAK_EVEN, chi_square, decimal_odds, implied_probability, kelly, p_value, two_z, wilson, z_score
-from slatewise.operators.mining import game_pattern_counts, hit_bit, matches, profiles
+from slatewise.functions.significance import BREAK_EVEN, chi_square, decimal_odds, implied_probability, kelly, p_value, two_z, variation, wilson, z_score
+from slatewise.operators.mining import CONDITION_KEYS, DIGIT, combo_name, hit_bit, matches, pattern_totals
+from slatewise.sources.kept import keep
 
 #: Keys of the longest combination in walk-forward tests.
 LEGS = 3
@@ -16,29 +17,33 @@ FOLD = ["combo", "outcome", "test_season"]
 START, FRACTION, ODDS = 10_000.0, 0.02, -110
 
 
-def candidates(events: DataFrame, legs: int = LEGS, least: int = 15, min_rate: float = 0.58, per_fold: int = 500) -> DataFrame:
-    """Per test season the ``per_fold`` best patterns of all seasons before it: FOLD, train_n, train_hits, confidence, value.
+def candidates(counts: DataFrame, seasons: list[int], legs: int = LEGS, least: int = 15, min_rate: float = 0.58, per_fold: int = 500) -> DataFrame:
+    """Per test season the ``per_fold`` best patterns of all seasons before it: FOLD, code, o, train_n, train_hits, confidence, value.
 
-    Counts of a season go to every later one, so all folds are mined at once."""
-    counts = game_pattern_counts(events, legs, least)
-    seasons = F.array(*[F.lit(r[0]) for r in sorted(events.select("season").distinct().collect())])  # one entry a year
-    later = counts.select("combo", "outcome", "sample", "hits", F.explode(F.filter(seasons, lambda s: s > F.col("season"))).alias("test_season"))
-    train = later.groupBy(*FOLD).agg(F.sum("sample").alias("train_n"), F.sum("hits").alias("train_hits"), F.count_if(F.col("hits") > 0).alias("train_seasons"), F.max("hits").alias("most"))
-    n, rate = F.col("train_n"), F.col("train_hits") / F.col("train_n")
-    found = train.where((n >= least) & (rate >= min_rate))
-    whole = F.size(F.filter(seasons, lambda s: s < F.col("test_season")))
+    ``counts`` are those of mining.pattern_counts, of as many keys or more. Counts of a season go to every
+    later one, so all folds are mined at once."""
+    every = F.array(*[F.lit(s) for s in seasons]).cast("array<int>")
+    short = counts.where(F.col("combo") < 1 << (DIGIT * legs))
+    later = short.withColumn("test_season", F.explode(F.filter(every, lambda s: s > F.col("season"))))
+    found = pattern_totals(later, ["combo", "test_season"], least, min_rate).withColumnRenamed("sample", "train_n").withColumnRenamed("hits", "train_hits")
+    n = F.col("train_n")
+    whole = F.size(F.filter(every, lambda s: s < F.col("test_season")))
     most_n = found.groupBy("test_season").agg(F.max("train_n").alias("most_n"))
-    confidence = 0.4 * n / F.col("most_n") + 0.3 * F.col("train_seasons") / whole + 0.3 * (1 - F.col("most") / n)
-    found = found.join(F.broadcast(most_n), "test_season").withColumns({"confidence": F.round(confidence, 9), "value": F.round((rate - BREAK_EVEN) * F.sqrt(n), 9)})
+    confidence = 0.4 * n / F.col("most_n") + 0.3 * F.col("n_seasons") / whole + 0.3 * (1 - F.col("most") / n)
+    value = (F.col("train_hits") / n - BREAK_EVEN) * F.sqrt(n)
+    found = found.join(F.broadcast(most_n), "test_season").withColumnRenamed("combo", "code").withColumns({"confidence": F.round(confidence, 9), "value": F.round(value, 9)})
+    found = found.withColumn("combo", combo_name(CONDITION_KEYS, legs, "code"))
     order = Window.partitionBy("test_season").orderBy(F.desc("confidence"), F.desc("value"), "combo", "outcome")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_fold).select(*FOLD, "train_n", "train_hits", "confidence", "value")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_fold).select(*FOLD, "code", "o", "train_n", "train_hits", "confidence", "value")
 
 
-def bets(events: DataFrame, game: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per candidate and game of its test season that its conditions fit: FOLD, train_rate, date, game_id, hit."""
-    own = profiles(events).join(game.select("game_id", "date"), "game_id")
-    per_fold = found.select(*FOLD, (F.col("train_hits") / F.col("train_n")).alias("train_rate"))
-    return matches(own, per_fold).where("season = test_season").select(*FOLD, "train_rate", "date", "game_id", hit_bit().alias("hit"))
+def bets(own: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per candidate and game of its test season that its conditions fit: FOLD, train_rate, date, game_id, hit.
+
+    ``own``: see mining.profiles. Candidates are few by their limit per fold."""
+    per_fold = found.select(F.col("code").alias("combo"), "o", F.col("combo").alias("name"), "outcome", "test_season", (F.col("train_hits") / F.col("train_n")).alias("train_rate"))
+    met = matches(own, per_fold, {"season": "test_season"})
+    return met.select(F.col("name").alias("combo"), "outcome", "test_season", "train_rate", "date", "game_id", hit_bit().alias("hit"))
 
 
 def _returns() -> Column:
@@ -126,7 +131,8 @@ def grade_summary() -> Column:
 
 
 def tested(found: DataFrame, placed: DataFrame, book: DataFrame, min_test: int = 5) -> DataFrame:
-    """Candidates with ``min_test`` games in their test season: significance, profit and grade.
+    """Candidates with ``min_test`` games in their test season: significance, profit and grade. Their own ``rate``, where they have one,
+    stands for that of their training hits.
 
     A pattern whose stakes are all 0 has a ledger of no bets: no profit and no drawdown."""
     seen = placed.groupBy(*FOLD).agg(F.count("*").alias("test_n"), F.sum("hit").alias("test_hits")).where(F.col("test_n") >= min_test)
@@ -134,21 +140,46 @@ def tested(found: DataFrame, placed: DataFrame, book: DataFrame, min_test: int =
     h, n, train = F.col("test_hits"), F.col("test_n"), (F.col("train_hits"), F.col("train_n"))
     low, high = wilson(h, n)
     chi, chi_p = chi_square(h, n)
-    t = t.withColumns({"train_rate": train[0] / train[1], "test_rate": h / n, "z": z_score(h, n), "z_train": two_z(h, n, *train), "low": low, "high": high, "chi": chi, "chi_p": chi_p})
+    rate = F.col("rate") if "rate" in found.columns else train[0] / train[1]
+    t = t.withColumns({"train_rate": rate, "test_rate": h / n, "z": z_score(h, n), "z_train": two_z(h, n, *train), "low": low, "high": high, "chi": chi, "chi_p": chi_p})
     t = t.withColumns({"p": p_value(F.col("z")), "p_train": p_value(F.col("z_train")), "ev": F.col("train_rate") * (decimal_odds(F.lit(ODDS)) - 1) - (1 - F.col("train_rate"))})
     t = t.withColumns({"significant": (F.col("p") < 0.05) & (F.col("test_rate") > BREAK_EVEN), "consistent": (F.col("p_train") > 0.05) | (F.col("test_rate") >= F.col("train_rate"))})
     marks = grade(*[F.col(c) for c in ("train_rate", "test_rate", "z", "p")], F.col("high") - F.col("low"), *[F.col(c) for c in ("p_train", "roi", "max_drawdown", "sharpe", "bets", "ev")])
     return t.withColumns({k: v for k, v in marks.items()}).withColumn("summary", grade_summary())
 
 
-def walk_forward(events: DataFrame, game: DataFrame, legs: int = LEGS, sizing: str = "flat") -> DataFrame:
-    """All folds: train on the seasons before, test on the season, with ledger and grade."""
-    events = events.persist()
-    found = candidates(events, legs).persist()
-    placed = bets(events, game, found).persist()
+def leave_one_out(by_season: DataFrame, hits: DataFrame, min_train: int = 10, sizing: str = "halfKelly") -> DataFrame:
+    """Stored patterns tested on each season with the others as training, of which they need ``min_train`` games.
+
+    ``by_season``: combo, outcome, season, n, h. ``hits``: name, outcome, season, date, game_id, hit."""
+    whole = by_season.groupBy("combo", "outcome").agg(F.sum("n").alias("all_n"), F.sum("h").alias("all_h"))
+    found = by_season.join(whole, ["combo", "outcome"]).select("combo", "outcome", F.col("season").alias("test_season"), (F.col("all_n") - F.col("n")).alias("train_n"), (F.col("all_h") - F.col("h")).alias("train_hits")).where(F.col("train_n") >= min_train)
+    return _held_against(found, hits, F.col("train_hits") / F.col("train_n"), sizing)
+
+
+def stored_test(patterns: DataFrame, by_season: DataFrame, hits: DataFrame, test_season: int, n: int = 100, sizing: str = "halfKelly") -> DataFrame:
+    """The ``n`` best stored patterns (see mining.top) tested on one season; their rate over all seasons stands for that of training."""
+    best = patterns.orderBy(F.desc("confidence"), F.desc("value"), "name", "outcome").limit(n).select(F.col("name").alias("combo"), "outcome", F.col("hit_rate").alias("rate"))
+    before = F.col("season") < test_season
+    sums = by_season.groupBy("combo", "outcome").agg(F.sum(F.when(before, F.col("n")).otherwise(0)).alias("train_n"), F.sum(F.when(before, F.col("h")).otherwise(0)).alias("train_hits"))
+    found = best.join(sums, ["combo", "outcome"]).withColumn("test_season", F.lit(test_season))
+    return _held_against(found, hits, F.col("rate"), sizing)
+
+
+def _held_against(found: DataFrame, hits: DataFrame, rate: Column, sizing: str) -> DataFrame:
+    found = keep(found, "found")
+    own = hits.select(F.col("name").alias("combo"), "outcome", F.col("season").alias("test_season"), "date", "game_id", "hit")
+    placed = keep(found.select(*FOLD, rate.alias("train_rate")).join(own, FOLD).select(*FOLD, "train_rate", "date", "game_id", "hit"), "placed")
     return tested(found, placed, ledger(placed, FOLD, sizing))
 
 
+def quick(by_season: DataFrame, min_n: int = 3) -> DataFrame:
+    """Per stored pattern over its seasons of ``min_n`` games: mean rate, its spread, how much hits vary, and whether every season pays."""
+    rate = F.col("h") / F.col("n")
+    own = by_season.where(F.col("n") >= min_n)
+    return own.groupBy("combo", "outcome").agg(F.count("*").alias("seasons"), F.avg(rate).alias("mean_rate"), (F.max(rate) - F.min(rate)).alias("spread"), variation("h").alias("variation"), (F.min(rate) > BREAK_EVEN).alias("stable"))
+
+
 def robust(done: DataFrame) -> DataFrame:
     """Of the patterns that made a profit in every fold, the fold with the highest z."""
     folds = done.agg(F.count_distinct("test_season").alias("n")).select("n").scalar()

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.operators import players
 from slatewise.operators.asof import SLATE_SQL, game_context
+from slatewise.sources.fixtures import Tables
 
 #: Conditions of one side; {me} and {opp} become home and away.
 SIDE = {
@@ -48,21 +47,29 @@ CONDITIONS = {f"{k}:{me}": e.format(me=me, opp=opp) for k, e in SIDE.items() for
 KEYS = CONDITIONS | {f"{k}:game": e for k, e in OUTCOMES.items()}
 
 
-def game_events(fx: SimpleNamespace) -> DataFrame:
-    """(game_id, season, event_key, kind) for every condition and outcome that holds in a game with a context."""
+def wide_games(fx: Tables) -> DataFrame:
+    """One row per game with a context: the state of either side, its players, the score, the line and the game's best lines."""
     best = fx.stat.groupBy("game_id").agg(*[F.expr(e).alias(n) for n, e in BEST.items()])
-    context = game_context(fx.game, fx.stat)
-    top = players.sides(players.player_context(fx.game, fx.stat, context))
-    wide = context.join(top, "game_id", "left").join(fx.game.select("game_id", "home_score", "away_score"), "game_id").join(fx.line, "game_id", "left").join(best, "game_id", "left")
+    context = fx.once("context", lambda fx: game_context(fx.game, fx.stat))
+    top = players.sides(fx.once("players", lambda fx: players.player_context(fx.game, fx.stat, context)))
+    return context.join(top, "game_id", "left").join(fx.game.select("game_id", "home_score", "away_score"), "game_id").join(fx.line, "game_id", "left").join(best, "game_id", "left")
+
+
+def wide_slate(fx: Tables) -> DataFrame:
+    """The same of scheduled games with a context, as far as it is known before them."""
+    context = fx.once("slate_context", lambda fx: game_context(fx.game, fx.stat, scheduled=True))
+    return context.join(players.sides(fx.once("slate_players", lambda fx: players.slate_players(fx.game, fx.stat, context))), "game_id", "left").join(fx.line, "game_id", "left")
+
+
+def game_events(wide: DataFrame) -> DataFrame:
+    """(game_id, season, event_key, kind) for every condition and outcome that holds in a game of ``wide``."""
     hits = F.array_compact(F.array(*[F.when(F.expr(e), F.struct(F.lit(k).alias("event_key"), F.lit("condition" if k in CONDITIONS else "outcome").alias("kind"))) for k, e in KEYS.items()]))
     return wide.select("game_id", "season", F.inline(hits))
 
 
-def slate_conditions(fx: SimpleNamespace) -> DataFrame:
-    """(game_id, season, date, keys): the sorted conditions that hold in each scheduled game with a context."""
-    context = game_context(fx.game, fx.stat, scheduled=True)
-    wide = context.join(players.sides(players.slate_players(fx.game, fx.stat, context)), "game_id", "left").join(fx.line, "game_id", "left")
-    return wide.select("game_id", "season", "date", F.array_sort(F.array_compact(F.array(*[F.when(F.expr(e), F.lit(k)) for k, e in CONDITIONS.items()]))).alias("keys"))
+def conditions(wide: DataFrame) -> DataFrame:
+    """(game_id, season, date, event_key, kind): the conditions that hold in each game of ``wide``."""
+    return wide.select("game_id", "season", "date", F.explode(F.array_compact(F.array(*[F.when(F.expr(e), F.lit(k)) for k, e in CONDITIONS.items()]))).alias("event_key"), F.lit("condition").alias("kind"))
 
 
 EVENTS_SQL = players.PLAYER_SQL | {
@@ -71,6 +78,6 @@ EVENTS_SQL = players.PLAYER_SQL | {
     "game_events": "select game_id, season, unnest(list_filter([" + ", ".join(f"case when {e} then '{k}' end" for k, e in KEYS.items()) + "], lambda x: x is not null)) event_key from wide",
 }
 SLATE_SQL = SLATE_SQL | players.SLATE_SQL | {
-    "sl_wide": "select c.*, spread_home, total_over, " + ", ".join(f"{s}_{c}" for s in ("home", "away") for c in players.BEST) + " from sl_context c left join sl_sides p on p.game_id = c.game_id left join fx_line l on l.game_id = c.game_id",
+    "sl_wide": "select c.*, spread_home, total_over, " + ", ".join(f"{s}_{c}" for s in ("home", "away") for c in players.SLATE_COLUMNS) + " from sl_context c left join sl_sides p on p.game_id = c.game_id left join fx_line l on l.game_id = c.game_id",
     "sl_events": "select game_id, season, date, unnest(list_filter([" + ", ".join(f"case when {e} then '{k}' end" for k, e in CONDITIONS.items()) + "], lambda x: x is not null)) event_key from sl_wide",
 }

@@ -57,13 +57,15 @@ def slate_players(game: DataFrame, stat: DataFrame, context: DataFrame) -> DataF
 
 #: Of a side: best ranks, the best scorer's rank against a weak defense, and the lines of its top players.
 BEST = {**{f"best_{a}": f"min(rank_{a})" for a in AVERAGES}, "weak_ppg": "min(case when opp_rank_def >= 21 then rank_ppg end)"}
-TOP = {f"top_{a}_{c}": (a, c) for a in AVERAGES for c in (a, "points", "rebounds", "assists")}
+TOP = {f"top_{a}_{c}": (a, c) for a in AVERAGES for c in (a, "player_id", "points", "rebounds", "assists")}
 SIDE_COLUMNS = (*BEST, *TOP)
+#: Of these what is known before a game.
+SLATE_COLUMNS = (*BEST, *(f"top_{a}_{c}" for a in AVERAGES for c in (a, "player_id")))
 
 
 def sides(players: DataFrame) -> DataFrame:
     """One row per game: the columns of SIDE_COLUMNS of home and away. Of equal averages the smaller player_id is on top."""
-    tops = [F.max(F.struct(F.col(a).alias("key"), (-F.col("player_id")).alias("tie"), a, *AVERAGES.values())).alias(f"top_{a}") for a in AVERAGES]
+    tops = [F.max(F.struct(F.col(a).alias("key"), (-F.col("player_id")).alias("tie"), a, "player_id", *AVERAGES.values())).alias(f"top_{a}") for a in AVERAGES]
     best = players.groupBy("game_id", "home").agg(*[F.expr(e).alias(n) for n, e in BEST.items()], *tops)
     wide = best.select("game_id", "home", *BEST, *[F.col(f"top_{a}")[c].alias(n) for n, (a, c) in TOP.items()])
     side = lambda home, name: wide.where(F.col("home") == home).select("game_id", *[F.col(c).alias(f"{name}_{c}") for c in SIDE_COLUMNS])
@@ -93,6 +95,7 @@ SLATE_SQL = {
     "sl_pstate": f"select season, day, player_id, team_id, gp, points / gp ppg, rebounds / gp rpg, assists / gp apg, gp >= {MIN_GAMES} and secs >= {MIN_SECS} * gp eligible from sl_sums",
     "sl_pranks": PLAYER_SQL["pranks"].replace("from pstate", "from sl_pstate"),
     "sl_players": "select c.game_id, h.home, case when h.home then c.away_rank_def else c.home_rank_def end opp_rank_def, r.* from sl_context c join sl_side h on h.game_id = c.game_id join sl_pranks r on r.season = h.season and r.day = h.day and r.team_id = h.team_id",
-    "sl_best": f"select game_id, home, {_best} from sl_players group by game_id, home",
-    "sl_sides": "select game_id, " + ", ".join(f"max(case when home = {h} then {c} end) {s}_{c}" for s, h in (("home", "true"), ("away", "false")) for c in BEST) + " from sl_best group by game_id",
+    "sl_num": "select *, " + ", ".join(f"row_number() over (partition by game_id, home order by {a} desc, player_id) n_{a}" for a in AVERAGES) + " from sl_players",
+    "sl_best": f"select game_id, home, {_best}, " + ", ".join(f"max(case when n_{a} = 1 then {c} end) top_{a}_{c}" for a in AVERAGES for c in (a, "player_id")) + " from sl_num group by game_id, home",
+    "sl_sides": "select game_id, " + ", ".join(f"max(case when home = {h} then {c} end) {s}_{c}" for s, h in (("home", "true"), ("away", "false")) for c in SLATE_COLUMNS) + " from sl_best group by game_id",
 }

@@ -1,35 +1,53 @@
-"""Patterns held against scheduled games: predictions, picks and the feed."""
+"""Patterns held against games: predictions, picks, prop lines and the feed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.functions.significance import BREAK_EVEN, kelly
-from slatewise.operators.mining import matches
+from slatewise.functions.parsing import eastern_date
+from slatewise.functions.significance import kelly
+from slatewise.operators.mining import hit_bit, matches
 
 #: Outcomes of any player, which name nobody to bet on.
 PLAYER_OUTCOMES = ("PLAYER_30_PLUS", "PLAYER_40_PLUS", "PLAYER_DOUBLE_DOUBLE", "PLAYER_TRIPLE_DOUBLE", "PLAYER_10_PLUS_ASSISTS", "PLAYER_10_PLUS_REBOUNDS", "PLAYER_5_PLUS_THREES")
+#: The average by which an outcome's word names the player that it is about.
+TARGETS = {"SCORER": "ppg", "REBOUNDER": "rpg", "ASSIST": "apg"}
+#: Days of play that a pattern's recent performance looks back.
+RECENT = 30
 
 
 def base_outcome() -> Column:
     return F.substring_index("outcome", ":", 1)
 
 
+def met_patterns(games: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``games`` (game_id, date, codes, low, high and what else they have) beside each of ``patterns`` that fits; ``combo`` is its name."""
+    met = matches(games.drop("season"), patterns)
+    return met.withColumnsRenamed({"combo": "code", "name": "combo"})
+
+
 def predictions(slate: DataFrame, patterns: DataFrame, per_game: int | None = 10, player: bool = False) -> DataFrame:
-    """(game_id, date, combo, outcome, hit_rate, edge, sample, confidence, value, place) of the patterns that fit a scheduled game.
+    """The patterns that fit a game of ``slate``, with their scores and place: by confidence, then value; at most ``per_game`` of a game.
 
-    ``slate`` has the sorted condition ``keys`` of each game. ``patterns`` are few enough to send (see mining.top).
-    ``player`` keeps the outcomes of any player, else all. A game's best ``per_game`` by confidence, then value."""
-    p = patterns.where(base_outcome().isin(*PLAYER_OUTCOMES)) if player else patterns
-    met = matches(slate.drop("season"), F.broadcast(p))
+    ``patterns``: see mining.top. ``player`` keeps the outcomes of any player, else all."""
+    met = met_patterns(slate, patterns.where(base_outcome().isin(*PLAYER_OUTCOMES)) if player else patterns)
     order = Window.partitionBy("game_id").orderBy(F.desc("confidence"), F.desc("value"), "combo", "outcome")
     met = met.withColumn("place", F.row_number().over(order))
     return met if per_game is None else met.where(F.col("place") <= per_game)
 
 
+def notable_players(players: DataFrame, most: int = 20, n: int = 6) -> DataFrame:
+    """(game_id, player_id, rank, by, place): of each game the ``n`` players of the best rank by any average, of those ranked ``most`` or better."""
+    ranks = [(F.coalesce(F.col(f"rank_{a}"), F.lit(1 << 30)), a) for a in ("ppg", "rpg", "apg")]
+    best = F.least(*[r for r, _ in ranks])
+    by = F.coalesce(*[F.when(r == best, F.lit(a)) for r, a in ranks])
+    order = Window.partitionBy("game_id").orderBy("rank", "player_id")
+    return players.select("game_id", "player_id", best.alias("rank"), by.alias("by")).where(F.col("rank") <= most).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def bet_type(outcome: Column) -> Column:
-    """The kind of bet that an outcome is; the first that fits."""
+    """The kind of bet that an outcome is; the first that fits. Substrings are fixed values."""
     has = lambda *parts: outcome.rlike("|".join(parts))
     return F.when(has("COVERED", "SPREAD"), "spread").when(has("OVER_HIT", "UNDER_HIT", "TOTAL_"), "total").when(has("_WIN"), "moneyline").when(has("SCORER", "REBOUNDER", "ASSIST", "DOUBLE", "TRIPLE", "PLAYER_"), "player_prop").otherwise("other")
 
@@ -41,7 +59,9 @@ def pick_grade(edge: Column, sample: Column, seasons: Column) -> Column:
 
 
 def picks(slate: DataFrame, patterns: DataFrame, least: str = "B", min_confidence: float = 0.70, min_edge: float = 0.05) -> DataFrame:
-    """Bets on scheduled games of at least grade ``least``, with the Kelly stake (at most a quarter) in units."""
+    """Bets on games of ``slate`` of at least grade ``least``, with the Kelly stake (at most a quarter) in units.
+
+    Of ``patterns`` those of high confidence whose hit rate is the break-even rate and ``min_edge`` at least."""
     good = patterns.where((F.col("confidence") >= min_confidence) & (F.round("edge", 9) >= min_edge))
     met = predictions(slate, good, None)
     edge = F.round("edge", 9)
@@ -49,15 +69,116 @@ def picks(slate: DataFrame, patterns: DataFrame, least: str = "B", min_confidenc
     return met.select("game_id", "date", "combo", "outcome", bet_type(F.col("outcome")).alias("bet_type"), F.round("hit_rate", 6).alias("hit_rate"), "sample", pick_grade(edge, F.col("sample"), F.col("n_seasons")).alias("grade"), F.round(stake, 6).alias("kelly"), (F.round(F.round(stake, 9) * 1000) / 10).alias("units")).where(F.col("grade") <= least)
 
 
-def feed(slate: DataFrame, patterns: DataFrame, per_game: int = 10) -> DataFrame:
-    """Per scheduled game its best pattern for each outcome one can bet on, the best ``per_game`` of them, and whether it is of high value."""
-    met = predictions(slate, patterns.where(~base_outcome().isin(*PLAYER_OUTCOMES)), None)
+def pick_totals(picked: DataFrame) -> DataFrame:
+    """Per date, grade and kind of bet: picks, games and units staked."""
+    return picked.groupBy("date", "grade", "bet_type").agg(F.count("*").alias("picks"), F.count_distinct("game_id").alias("games"), F.round(F.sum("units"), 4).alias("units"))
+
+
+# ---- players and their lines
+def target_of(outcome: Column) -> tuple[Column, Column]:
+    """(side, average) of the player that an outcome is about; null where it is about none."""
+    side = F.when(outcome.startswith("HOME_TOP_"), "home").when(outcome.startswith("AWAY_TOP_"), "away")
+    average = F.coalesce(*[F.when(outcome.contains(f"TOP_{w}"), F.lit(a)) for w, a in TARGETS.items()])
+    return side, F.when(side.isNotNull(), average)
+
+
+def with_targets(met: DataFrame, tops: DataFrame) -> DataFrame:
+    """``met`` (game_id, outcome) with target_side, target_stat, target_player and target_value: the top player of the side by that average.
+
+    ``tops``: game_id, side, stat, player_id, value."""
+    side, stat = target_of(F.col("outcome"))
+    t = tops.select("game_id", F.col("side").alias("target_side"), F.col("stat").alias("target_stat"), F.col("player_id").alias("target_player"), F.col("value").alias("target_value"))
+    return met.withColumns({"target_side": side, "target_stat": stat}).join(t, ["game_id", "target_side", "target_stat"], "left")
+
+
+def with_prop_lines(picked: DataFrame, tops: DataFrame, props: DataFrame) -> DataFrame:
+    """``picked`` (game_id, combo, outcome) with prop_player and prop_line: the line of the market that fits the outcome.
+
+    ``tops``: game_id, side, stat, lastname. ``props``: game_id, player (a name), market, line. A line fits the
+    outcome's player where its name holds the last name; the first by name stands. Points and rebounds must lie at
+    the outcome's bound, less one, at least; where the own side's top rebounder has no such line the other side's stands. A double-double
+    takes the points of a side's top rebounder, the home side's first.
+    Lines and players meet within a game and market."""
+    o = F.col("outcome")
+    half = lambda n: F.lit(n - 1.5)
+    points, rebounds, double = o.rlike("TOP_SCORER_(25|30)_PLUS"), o.rlike("REBOUNDER_1[02]_PLUS|10_PLUS_REBOUNDS"), o.contains("DOUBLE_DOUBLE")
+    asked = picked.select("game_id", "outcome").distinct().withColumns({
+        "stat": F.when(points, "ppg").when(rebounds | double, "rpg"), "market": F.when(points | (double & ~rebounds), "player_points").when(rebounds, "player_rebounds"),
+        "least": F.when(points, F.when(o.contains("30"), half(30)).otherwise(half(25))).when(rebounds, F.when(o.contains("12"), half(12)).otherwise(half(10))).otherwise(F.lit(float("-inf"))),
+        "own": F.when(double | o.contains("HOME") | (rebounds & ~o.contains("AWAY")), "home").otherwise("away"), "alone": points,
+    }).where("stat is not null")
+    sides = asked.join(tops.select("game_id", "side", "stat", F.lower("lastname").alias("lastname")), ["game_id", "stat"]).where("side = own or not alone")
+    met = sides.join(props, ["game_id", "market"]).where(F.lower("player").contains(F.col("lastname")))
+    first = Window.partitionBy("game_id", "outcome", "side").orderBy("player", "line")
+    met = met.withColumn("n", F.row_number().over(first)).where("n = 1 and line >= least")
+    one = met.groupBy("game_id", "outcome").agg(F.max(F.struct(F.expr("side = own").alias("same"), F.col("player").alias("prop_player"), F.col("line").alias("prop_line"))).alias("m")).select("game_id", "outcome", "m.prop_player", "m.prop_line")
+    return picked.join(one, ["game_id", "outcome"], "left")
+
+
+# ---- the feed
+def game_day(games: DataFrame) -> DataFrame:
+    """``games`` (date, tipoff) with ``day``, the Eastern date of the tip-off, or the stored date where there is none; of a game whose
+    dates are more than a day apart neither is taken."""
+    return games.withColumn("day", F.coalesce(eastern_date(F.col("tipoff")), F.col("date"))).where(F.abs(F.datediff("day", "date")) <= 1)
+
+
+def on_day(games: DataFrame, day: str) -> DataFrame:
+    """The games of a day: only rows stored within a day of it are read."""
+    d = F.lit(day).cast("date")
+    return game_day(games.where(F.col("date").between(F.date_sub(d, 1), F.date_add(d, 1)))).where(F.col("day") == d)
+
+
+def one_of_matchup(games: DataFrame) -> DataFrame:
+    """Of the rows of a day and match-up (day, away_code, home_code) one: with context, with odds, of the earliest tip-off, then of the smallest id."""
+    order = Window.partitionBy("day", "away_code", "home_code").orderBy(F.desc("has_context"), F.desc("has_odds"), F.asc_nulls_first("tipoff"), "game_id")
+    return games.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def team_ids_of_code(team: DataFrame) -> DataFrame:
+    """(team_id, same_id): all ids that stand for the team of an id, by its code; a team without a code has none."""
+    return team.where("code is not null").select("team_id", "code").join(team.select("code", F.col("team_id").alias("same_id")), "code").select("team_id", "same_id")
+
+
+def recent_performance(hits: DataFrame, asked: DataFrame, days: int = RECENT) -> DataFrame:
+    """``asked`` (combo, outcome, date; distinct) with recent_hits and recent_games of the ``days`` before the date, 0 where there are none.
+
+    ``hits``: name, outcome, date, hit. Days are summed first; one window over a pattern's days answers all dates."""
+    day = F.datediff("date", F.lit("1990-01-01").cast("date"))
+    daily = hits.groupBy(F.col("name").alias("combo"), "outcome", day.alias("day")).agg(F.sum("hit").alias("h"), F.count("*").alias("g"))
+    both = daily.unionByName(asked.select("combo", "outcome", day.alias("day"), "date").withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    before = Window.partitionBy("combo", "outcome").orderBy("day").rangeBetween(-days, -1)
+    out = both.withColumns({"recent_hits": F.coalesce(F.sum("h").over(before), F.lit(0)), "recent_games": F.coalesce(F.sum("g").over(before), F.lit(0))})
+    return out.where("asked").select("combo", "outcome", "date", "recent_hits", "recent_games")
+
+
+def feed(games: DataFrame, patterns: DataFrame, per_game: int = 10) -> DataFrame:
+    """Per game its best pattern for each outcome one can bet on, the best ``per_game`` of them: rate, whether of high value, kind of bet, how
+    many such outcomes there are, and for played games (with ``bits``) whether the outcome came."""
+    met = met_patterns(games, patterns.where(~base_outcome().isin(*PLAYER_OUTCOMES)))
     rate = F.round("hit_rate", 9)
     best = Window.partitionBy("game_id", "outcome").orderBy(F.desc(rate), F.desc("sample"), "combo")
     one = met.withColumn("n", F.row_number().over(best)).where("n = 1")
     order = Window.partitionBy("game_id").orderBy(F.desc(rate), F.desc("sample"), "outcome")
     high = F.col("outcome").rlike("UNDERDOG_COVERED|FAVORITE_COVERED") | ((rate >= 0.65) & (F.col("sample") >= 100))
-    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_game).select("game_id", "date", "place", "combo", "outcome", F.round("hit_rate", 6).alias("hit_rate"), "sample", high.alias("high_value"), bet_type(F.col("outcome")).alias("bet_type"))
+    ranked = one.withColumns({"place": F.row_number().over(order), "outcomes": F.count("*").over(Window.partitionBy("game_id"))}).where(F.col("place") <= per_game)
+    result = (hit_bit() == 1).alias("result")
+    return ranked.select("game_id", "date", "place", "outcomes", "combo", "outcome", F.round("hit_rate", 6).alias("hit_rate"), "sample", high.alias("high_value"), bet_type(F.col("outcome")).alias("bet_type"), result)
+
+
+def explanation(outcome: Column) -> Column:
+    """What made an outcome hold, from a game's numbers (wide columns): the top player's line, the total against the line, the margin
+    against the spread; null where there is nothing to say."""
+    signed = lambda c: F.concat(F.when(c > 0, "+").otherwise(""), c.cast("string"))
+    parts = []
+    for side in ("home", "away"):
+        for word, average in TARGETS.items():
+            own = lambda c, a=average, s=side: F.col(f"{s}_top_{a}_{c}")
+            line = F.concat_ws(", ", F.concat(F.lit("#"), own("player_id").cast("string")), F.concat(own("points").cast("string"), F.lit(" pts")), F.concat(own("rebounds").cast("string"), F.lit(" reb")), F.concat(own("assists").cast("string"), F.lit(" ast")))
+            parts.append(F.when(outcome.startswith(f"{side.upper()}_TOP_{word}"), line))
+    total, margin = F.col("home_score") + F.col("away_score"), F.col("home_score") - F.col("away_score")
+    parts.append(F.when(outcome.rlike("^(OVER|UNDER)_HIT"), F.concat(total.cast("string"), F.lit(" total (line: "), F.col("total_over").cast("int").cast("string"), F.lit(")"))))
+    parts.append(F.when(outcome.contains("COVERED"), F.concat(F.lit("margin "), signed(margin), F.lit(" (spread: "), signed(F.col("spread_home")), F.lit(")"))))
+    return F.nullif(F.coalesce(*parts), F.lit(""))
 
 
 def settled(met: DataFrame, events: DataFrame) -> DataFrame:

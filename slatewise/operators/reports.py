@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.operators.mining import LEGS, combinations, five_scores
+from slatewise.operators.mining import SEASON_WORDS, hit_dates, rated
 from slatewise.operators.night import CATALOG, STATS
 
 COUNTED = ("points", "assists", "rebounds", "steals", "blocks", "turnovers")
@@ -41,6 +41,13 @@ class Filter:
         return out.select(*stat.columns)
 
 
+def versus(stat: DataFrame, game: DataFrame, opponent: int) -> DataFrame:
+    """(player_id, game_id, points) of every line in a game that ``opponent`` played against any team that the line's player ever played for."""
+    teams = stat.select("player_id", F.col("team_id").alias("other")).distinct()
+    against = game.where((F.col("home_team_id") == opponent) | (F.col("away_team_id") == opponent)).select("game_id", F.when(F.col("home_team_id") == opponent, F.col("away_team_id")).otherwise(F.col("home_team_id")).alias("other"))
+    return stat.select("player_id", "game_id", "points").join(against, "game_id").join(teams, ["player_id", "other"], "left_semi").select("player_id", "game_id", "points")
+
+
 def sides_of(game: DataFrame) -> DataFrame:
     """(game_id, date, season, team_id, margin) of final games, two rows each."""
     return game.where("status = 'Final'").select("game_id", "date", "season", F.expr("stack(2, home_team_id, home_score - away_score, away_team_id, away_score - home_score) as (team_id, margin)"))
@@ -117,33 +124,52 @@ def completeness(game: DataFrame, stat: DataFrame, n: int = 20) -> DataFrame:
     return game.where("status = 'Final'").join(stat, "game_id", "left_anti").select("season", "date", "game_id").orderBy("date", "game_id").limit(n)
 
 
-def reranked(events: DataFrame, legs: int = LEGS, least: int = 3, first: int = 1995, last: int = 1999, reference_date: str = "2001-01-01", n: int = 25) -> DataFrame:
-    """The ``n`` best night patterns by their hits in the seasons ``first`` to ``last``: scores, longest gap, the older stability score.
+def reranked(patterns: DataFrame, seasons: list[int], first: int = 1995, last: int = 1999, reference_date: str = "2001-01-01", n: int = 25, legs: int | None = None) -> DataFrame:
+    """The ``n`` best of the stored night ``patterns`` (combo, legs, bits) by their hits in the seasons ``first`` to ``last``, of ``legs``
+    keys if that is given: scores, longest gap, the older stability score and the first three hits.
+
+    What scores don't need is worked out for the best ones alone."""
+    at = [i for i, s in enumerate(seasons) if first <= s <= last]
+    inside = [seasons[i] for i in at]
+    words = F.flatten(F.array(*[F.slice("bits", SEASON_WORDS * i + 1, SEASON_WORDS) for i in at])) if at else F.array().cast("array<bigint>")
+    own = patterns if legs is None else patterns.where(F.col("legs") == legs)
+    best = rated(own.select("combo", "legs", words.alias("bits")), inside, reference_date, filtered=False).orderBy(F.desc("overall"), "combo").limit(n)
+    dates = best.withColumn("dates", hit_dates(inside))
+    gaps = F.transform(F.sequence(F.lit(1), F.size("dates") - 1), lambda i: F.datediff(F.element_at("dates", i + 1), F.element_at("dates", i)))
+    mean = F.col("hits") / F.col("n_seasons")
+    sd = F.sqrt(F.aggregate(F.filter("per", lambda h: h > 0), F.lit(0.0), lambda a, h: a + (h - mean) * (h - mean)) / F.col("n_seasons"))
+    d = dates.withColumns({"longest_gap": F.when(F.size("dates") > 1, F.array_max(gaps)), "sd": sd})
+    older = 10 * F.col("n_seasons") + 10 / (1 + F.col("sd")) - 15 * F.col("most") / F.col("hits") + F.coalesce(F.least(F.col("longest_gap") / 30, F.lit(5.0)), F.lit(0.0)) - F.col("legs")
+    return d.select("combo", "legs", "hits", "n_seasons", F.round(mean, 2).alias("avg_hits"), F.round(F.col("most") / F.col("hits"), 3).alias("cluster_share"), "longest_gap", F.round(older, 4).alias("older_score"), "stability", "balance", "rarity", "recency", "overall", F.concat_ws(",", F.transform(F.slice("dates", 1, 3), lambda x: x.cast("string"))).alias("first_hits"))
+
+
+def pattern_dates(patterns: DataFrame, seasons: list[int]) -> DataFrame:
+    """(combo, legs, date, season) of every hit of the night ``patterns`` (combo, legs, bits)."""
+    d = patterns.select("combo", "legs", F.explode(hit_dates(seasons)).alias("date"))
+    return d.withColumn("season", (F.year("date") - F.when(F.month("date") < 10, 1).otherwise(0)).cast("int"))
+
 
-    Gaps are differences of following hits, so hits of one pattern are in order once."""
-    inside = F.col("season").between(first, last)
-    hits = combinations(events, "date", legs, least).where(inside)
-    seasons = events.where(inside).agg(F.count_distinct("season").alias("x")).select("x").scalar()
-    gap = F.datediff("date", F.lag("date").over(Window.partitionBy("combo").orderBy("date")))
-    per = hits.withColumn("gap", gap).groupBy("combo", "season").agg(F.count("*").alias("h"), F.max("date").alias("d"), F.max("gap").alias("gap"))
-    p = per.groupBy("combo").agg(F.sum("h").alias("hits"), F.count("*").alias("n_seasons"), F.max("h").alias("most"), F.max("d").alias("last"), F.max("gap").alias("longest_gap"), F.stddev_pop("h").alias("sd"))
-    size = F.size(F.split("combo", r"\+"))
-    older = 10 * F.col("n_seasons") + 10 / (1 + F.col("sd")) - 15 * F.col("most") / F.col("hits") + F.coalesce(F.least(F.col("longest_gap") / 30, F.lit(5.0)), F.lit(0.0)) - size
-    p = p.select("combo", size.alias("legs"), "hits", "n_seasons", F.round(F.col("hits") / F.col("n_seasons"), 2).alias("avg_hits"), F.round(F.col("most") / F.col("hits"), 3).alias("cluster_share"), "longest_gap", F.round(older, 4).alias("older_score"), *five_scores(seasons, reference_date))
-    return p.orderBy(F.desc("overall"), "combo").limit(n)
+def pattern_hits(dates: DataFrame, meta: DataFrame) -> DataFrame:
+    """(combo, date, season, game_count, team_ids, metas): each hit with the date's games, the teams of all its events, and what each names.
 
+    ``dates``: see pattern_dates. ``meta``: see night.event_meta. A hit meets its events by date and key; lists don't repeat."""
+    named = dates.select("combo", "date", "season", F.explode(F.split("combo", r"\+")).alias("event_key")).join(meta.drop("season"), ["date", "event_key"])
+    each = F.struct("event_key", *[F.col(f"{k}_ids") for k in ("team", "player", "game")])
+    return named.groupBy("combo", "date", "season").agg(F.max("game_count").alias("game_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("team_ids")))).alias("team_ids"), F.array_sort(F.collect_list(each)).alias("metas"))
 
-def first_hits(hits: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` dates of each pattern."""
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy("combo").orderBy("date"))).where(F.col("place") <= n)
 
+def explained(dates: DataFrame, combo: str) -> DataFrame:
+    """(season, hits, first, last, place) of a pattern, its seasons in order."""
+    own = dates.where(F.col("combo") == combo)
+    return own.groupBy("season").agg(F.count("*").alias("hits"), F.min("date").alias("first"), F.max("date").alias("last"))
 
-def subset_redundancy(events: DataFrame, legs: int = LEGS, least: int = 3) -> DataFrame:
-    """Patterns beside each of their parts of fewer keys, and how much the extra keys narrow the hits.
+
+def subset_redundancy(patterns: DataFrame) -> DataFrame:
+    """Stored ``patterns`` (combo, legs, hits) beside each stored one of a part of their keys, and how much the extra keys narrow the hits.
 
     A part holds wherever the whole does, so its containment is always whole; the pairs come from the keys
-    alone: every pattern names its parts, which meet their counts on equality."""
-    counts = combinations(events, "date", legs, least).groupBy("combo").agg(F.count("*").alias("hits"))
+    alone: every pattern names its parts, which meet the stored ones on equality."""
+    counts = patterns.select("combo", "hits")
     keys = F.split("combo", r"\+")
     part = lambda bits: F.array_join(F.filter(keys, lambda _, i: F.bit_get(bits, i) == 1), "+")
     parts = counts.where(F.size(keys) > 1).select("combo", "hits", F.explode(F.transform(F.sequence(F.lit(1), F.expr("shiftleft(1, size(split(combo, '[+]'))) - 2")), part)).alias("part"))
@@ -151,13 +177,11 @@ def subset_redundancy(events: DataFrame, legs: int = LEGS, least: int = 3) -> Da
     return parts.join(simple, "part").select("combo", "hits", "part", "part_hits", F.round(1 - F.col("hits") / F.col("part_hits"), 6).alias("hit_reduction"), F.lit("FULLY_REDUNDANT").alias("verdict"))
 
 
-def near_duplicates(events: DataFrame, legs: int = LEGS, least: int = 3, threshold: float = 0.9) -> DataFrame:
-    """Pairs of patterns of as many keys whose hit dates have a Jaccard likeness of ``threshold``.
+def near_duplicates(dates: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Pairs of patterns of as many keys whose hit dates (see pattern_dates) have a Jaccard likeness of ``threshold``.
 
-    Patterns of equal dates meet as one set, by their sorted dates; of different sets, one whose size
-    is within the threshold of another's shares its first dates in order, so only those are joined on."""
-    hits = combinations(events, "date", legs, least)
-    sets = hits.groupBy("combo").agg(F.array_sort(F.collect_set("date")).alias("dates")).withColumns({"n": F.size("dates"), "legs": F.size(F.split("combo", r"\+"))})
+    Of two such sets of dates in order the first few of one hold one of the other's, so only those are joined on."""
+    sets = dates.groupBy("combo", "legs").agg(F.array_sort(F.collect_set("date")).alias("dates")).withColumn("n", F.size("dates"))
     prefix = sets.select("combo", "legs", "n", F.explode(F.slice("dates", 1, F.expr(f"cast(n - ceil({threshold} * n) + 1 as int)"))).alias("d"))
     met = prefix.alias("a").join(prefix.alias("b"), ["d", "legs"]).where(f"a.combo < b.combo and least(a.n, b.n) >= {threshold} * greatest(a.n, b.n)").select("legs", F.col("a.combo").alias("a"), F.col("b.combo").alias("b")).distinct()
     both = met.join(sets.select(F.col("combo").alias("a"), F.col("dates").alias("x")), "a").join(sets.select(F.col("combo").alias("b"), F.col("dates").alias("y")), "b")
@@ -170,12 +194,6 @@ def support(patterns: DataFrame, nights: int | Column, n: int = 10) -> DataFrame
     return patterns.orderBy(F.desc("overall"), "combo").limit(n).select("combo", "hits", "overall", F.round(F.col("hits") / nights, 6).alias("support"))
 
 
-def recent_performance(hits: DataFrame, before: str, days: int = 30) -> DataFrame:
-    """Per pattern (combo, outcome, date, hit): hits and games in the ``days`` before a date."""
-    day = F.lit(before).cast("date")
-    return hits.where((F.col("date") >= F.date_sub(day, days)) & (F.col("date") < day)).groupBy("combo", "outcome").agg(F.sum("hit").alias("hits"), F.count("*").alias("games"))
-
-
 def stored_and_live(stored: DataFrame, live: DataFrame) -> DataFrame:
     """(date, event_key, stored, live, mismatch) of events on either side."""
     s, x = stored.select("date", "event_key").distinct().withColumn("s", F.lit(True)), live.select("date", "event_key").distinct().withColumn("l", F.lit(True))
@@ -186,3 +204,46 @@ def stored_and_live(stored: DataFrame, live: DataFrame) -> DataFrame:
 def totals(lines: DataFrame) -> DataFrame:
     """Sums of every stat and the games of each player in ``lines``."""
     return lines.groupBy("player_id").agg(*[F.sum(s).alias(s) for s in STATS], F.count_distinct("game_id").alias("games"))
+
+
+def listed(patterns: DataFrame, text: str | None = None, legs: int | None = None, n: int = 500) -> DataFrame:
+    """The ``n`` best of ``patterns`` whose name holds ``text`` in any case and that have ``legs`` keys."""
+    own = patterns if text is None else patterns.where(F.lower("combo").contains(text.lower()))
+    return (own if legs is None else own.where(F.col("legs") == legs)).orderBy(F.desc("overall"), "combo").limit(n)
+
+
+def latest_of(rows: DataFrame, by: list[str], n: int = 50) -> DataFrame:
+    """The ``n`` latest rows (date) of each key, with their place."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("date")))).where(F.col("place") <= n)
+
+
+def recent_dates(game: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` latest dates with final games."""
+    return game.where("status = 'Final'").select("date").distinct().orderBy(F.desc("date")).limit(n)
+
+
+def watch_check(watched: DataFrame, events: DataFrame, dates: DataFrame, stat: DataFrame) -> DataFrame:
+    """(combo, date, hit, has_stats): whether all keys of each watched pattern (combo, enabled) hold on each of ``dates``; dates without lines say so.
+
+    ``watched`` and ``dates`` are a person's list and a few dates; every pattern meets every date."""
+    keys = watched.where("enabled").select("combo").distinct().withColumn("event_key", F.explode(F.split("combo", r"\+")))
+    every = keys.withColumn("date", F.explode(F.lit([r[0] for r in dates.collect()]).cast("array<date>")))
+    held = every.join(events.select("date", "event_key", F.lit(1).alias("held")), ["date", "event_key"], "left")
+    lined = stat.join(F.broadcast(dates), "date", "left_semi").select("date").distinct().withColumn("has_stats", F.lit(True))
+    return held.groupBy("combo", "date").agg((F.count("held") == F.count("*")).alias("hit")).join(lined, "date", "left").fillna(False, ["has_stats"])
+
+
+def watch_add(watched: DataFrame, combos: DataFrame) -> DataFrame:
+    """The watchlist with ``combos`` (combo) on it and enabled, also those that were taken off."""
+    new = combos.select("combo").distinct()
+    return watched.join(new, "combo", "left_anti").select("combo", "enabled").unionByName(new.withColumn("enabled", F.lit(True)))
+
+
+def watch_remove(watched: DataFrame, combos: DataFrame) -> DataFrame:
+    return watched.join(combos.select("combo").distinct(), "combo", "left_anti")
+
+
+def label(city, name, key) -> Column:
+    """City and name as far as they are not empty, else # and the id."""
+    text = F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in (city, name)])
+    return F.when(text != "", text).otherwise(F.concat(F.lit("#"), key.cast("string")))

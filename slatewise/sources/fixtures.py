@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from types import SimpleNamespace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slatewise.sources.kept import keep, shared_dir
+
 BASE = ("region", "nation", "customer", "orders", "lineitem")
 
 #: Common table expressions that Spark and DuckDB read alike: only floors and integer arithmetic.
@@ -33,12 +35,42 @@ def with_ctes(select: str, extra: dict[str, str] | None = None) -> str:
     return "with " + ", ".join(f"{n} as materialized ({q})" for n, q in parts.items()) + " " + select
 
 
-def frames(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    """The fixture tables as DataFrames: team, game, stat, odds, line."""
-    for t in BASE:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    out: dict[str, DataFrame] = {}
-    for name, query in CTES.items():
-        out[name] = spark.sql(query)
-        out[name].createOrReplaceTempView(name)
-    return SimpleNamespace(**{n.removeprefix("fx_"): f for n, f in out.items()})
+class Tables:
+    """The fixture tables of one folder, and what is derived from them, each written once and read back.
+
+    Queries over the same tables share them, so that no plan holds more than its own work."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self.kept: dict = {}
+
+    def once(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """The table ``name``, from ``build`` (of these tables) where it isn't there yet."""
+        if name not in self.kept:
+            self.kept[name] = keep(build(self), name)
+        return self.kept[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        view = f"fx_{name}"
+        if view not in CTES:
+            raise AttributeError(name)
+        return self.once(name, lambda _: self._fixture(view))
+
+    def _fixture(self, view: str) -> DataFrame:
+        for t in BASE:
+            self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        for other in CTES:
+            if other != view and other in CTES[view]:
+                getattr(self, other.removeprefix("fx_")).createOrReplaceTempView(other)
+        return self.spark.sql(CTES[view])
+
+
+_known: dict[tuple[str, str, str], Tables] = {}
+
+
+def frames(spark: SparkSession, sf_dir: str) -> Tables:
+    """The fixture tables of ``sf_dir``: team, game, stat, odds, line; the same object as long as the application runs."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir)
+    if key not in _known:
+        _known[key] = Tables(spark, sf_dir)
+    return _known[key]

@@ -16,7 +16,9 @@ BOX_LINE = (
 BOX = f"gameId string, date string, season string, homeTeamId long, awayTeamId long, homeScore int, awayScore int, status string, gameTimeUTC string, playerStats array<struct<{BOX_LINE}>>"
 OUTCOME = "name:string,description:string,price:int,point:double"
 ODDS = f"id string, commence_time string, home_team string, away_team string, bookmakers array<struct<key:string,markets:array<struct<key:string,outcomes:array<struct<{OUTCOME}>>>>>>"
-BOARD = "date string, games array<struct<gameId:string,gameStatusText:string>>, teams array<struct<gameId:string,teamId:long,score:int,wins:int,losses:int,teamTricode:string>>, broadcasts array<struct<gameId:string,name:string>>"
+BOARD = "date string, games array<struct<gameId:string,gameStatusText:string>>, teams array<struct<gameId:string,teamId:long,score:int,wins:int,losses:int,teamTricode:string>>, broadcasts array<struct<gameId:string,name:string>>, leaders array<struct<gameId:string,teamId:long,personId:long,points:int,rebounds:int,assists:int>>"
+SIDE = "struct<teamId:long,score:int,wins:int,losses:int>"
+SCHEDULE = f"leagueSchedule struct<gameDates:array<struct<gameDate:string,games:array<struct<gameId:string,gameDateTimeUTC:string,gameStatusText:string,homeTeam:{SIDE},awayTeam:{SIDE}>>>>>"
 
 
 def read(spark: SparkSession, path: str, schema: str, corrupt: str | None = None) -> DataFrame:
@@ -55,10 +57,24 @@ def odds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scoreboards(spark: SparkSession, path: str) -> DataFrame:
-    """One row per game of scoreboard files: the first team row of a game is the road side, the second the home side; lists of broadcasts."""
+    """One row per game of scoreboard files: the first team row of a game is the road side, the second the home side, each with score, wins and losses; lists of broadcasts and leaders."""
     raw = read(spark, path, BOARD)
-    teams = raw.select("date", F.posexplode("teams").alias("at", "t")).groupBy("date", F.col("t.gameId").alias("gameId")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("t.teamId").alias("team_id"), F.col("t.score").alias("score")))).alias("s"))
+    teams = raw.select("date", F.posexplode("teams").alias("at", "t")).groupBy("date", F.col("t.gameId").alias("gameId")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("t.teamId").alias("team_id"), F.col("t.score").alias("score"), F.col("t.wins").alias("wins"), F.col("t.losses").alias("losses")))).alias("s"))
     shown = raw.select("date", F.inline("broadcasts")).groupBy("date", "gameId").agg(F.array_sort(F.collect_list("name")).alias("broadcasts"))
-    side = lambda i, name: [F.get("s", F.lit(i))["team_id"].alias(f"{name}_team_id"), F.get("s", F.lit(i))["score"].alias(f"{name}_score")]
-    own = raw.select("date", F.inline("games")).join(teams, ["date", "gameId"], "left").join(shown, ["date", "gameId"], "left")
-    return own.select("date", "gameId", F.col("gameStatusText").alias("status"), *side(0, "away"), *side(1, "home"), "broadcasts")
+    led = raw.select("date", F.inline("leaders")).groupBy("date", "gameId").agg(F.array_sort(F.collect_list(F.struct("teamId", "personId", "points", "rebounds", "assists"))).alias("leaders"))
+    side = lambda i, name: [F.get("s", F.lit(i))[c].alias(f"{name}_{c}") for c in ("team_id", "score")] + [F.coalesce(F.get("s", F.lit(i))[c], F.lit(0)).alias(f"{name}_{c}") for c in ("wins", "losses")]
+    own = raw.select("date", F.inline("games")).join(teams, ["date", "gameId"], "left").join(shown, ["date", "gameId"], "left").join(led, ["date", "gameId"], "left")
+    return own.select("date", "gameId", F.col("gameStatusText").alias("status"), *side(0, "away"), *side(1, "home"), "broadcasts", "leaders")
+
+
+def assembled(board: DataFrame, box: DataFrame) -> DataFrame:
+    """Box scores (see box_scores) with the records, broadcasts and leaders of their game's scoreboard row; a box score without one keeps 0 wins and losses."""
+    b = board.select("gameId", *[f"{s}_{c}" for s in ("home", "away") for c in ("wins", "losses")], "broadcasts", "leaders").dropDuplicates(["gameId"])
+    return box.join(b, "gameId", "left").fillna(0, [f"{s}_{c}" for s in ("home", "away") for c in ("wins", "losses")])
+
+
+def schedules(spark: SparkSession, path: str) -> DataFrame:
+    """One row per game of a provider's schedule payload: dates that hold games."""
+    raw = read(spark, path, SCHEDULE)
+    games = raw.select(F.explode("leagueSchedule.gameDates").alias("d")).select("d.gameDate", F.inline("d.games"))
+    return games.select("gameId", "gameDate", "gameDateTimeUTC", F.col("gameStatusText").alias("status"), *[F.col(f"{s}Team.{c}").alias(f"{s}_{n}") for s in ("home", "away") for c, n in (("teamId", "team_id"), ("score", "score"), ("wins", "wins"), ("losses", "losses"))])

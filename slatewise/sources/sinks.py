@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slatewise.operators.ingest import first_of
+from slatewise.sources.kept import keep
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -19,9 +23,27 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
 
 
-def replace_partitions(df: DataFrame, path: str, by: str) -> None:
-    """Only the partitions that ``df`` has are written anew; the commit is atomic per job."""
+def replace_partitions(df: DataFrame, path: str, by: str, touched: list | None = None) -> None:
+    """Only the partitions that ``df`` has are written anew; the commit is atomic per job. Partitions of the values ``touched`` that it has no rows for go."""
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if touched:
+        held = {r[0] for r in df.select(by).distinct().collect()}
+        _drop_partitions(df.sparkSession, df.select(by).schema, path, by, [v for v in touched if v not in held])
+
+
+def _in(by: str, values: list) -> Column:
+    some = F.col(by).isin([v for v in values if v is not None])
+    return some | F.col(by).isNull() if None in values else some
+
+
+def _drop_partitions(spark: SparkSession, schema: StructType, path: str, by: str, values: list) -> None:
+    """Delete the folders of partitions; a table's partitions are few enough to be listed."""
+    if not values:
+        return
+    folders = spark.read.schema(schema).parquet(path).where(_in(by, values)).select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).distinct().collect()
+    for (folder,) in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -33,20 +55,43 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], by: str, order: str | None = None) -> None:
-    """Merge ``new`` into the table at ``path``, partitioned by ``by``: touched partitions are read, merged and replaced.
+def replace_keys(new: DataFrame, gone: DataFrame, path: str, keys: list[str], by: str) -> list:
+    """``new`` in place of all rows of the table at ``path`` whose ``keys`` are among those of ``gone``, partitioned by ``by``. Returns the values of ``by`` of all partitions that changed.
 
-    The merged rows are written beside the table first, since a job can't replace what it reads."""
+    Partitions are found by the new rows and by the old rows of those keys, wherever these lie; they are read with the types
+    of the new rows, merged and replaced. The merged rows are written beside the table first, since a job can't replace
+    what it reads. Done again after a failure it gives the same table. One writer at a time."""
     spark = new.sparkSession
-    one = new.dropDuplicates(keys) if order is None else first_of(new, keys, F.desc(order)).drop(order)
     if not exists(spark, path):
-        replace_partitions(one, path, by)
-        return
-    touched = [r[0] for r in one.select(by).distinct().collect()]
-    old = spark.read.parquet(path).where(F.col(by).isin(touched)).select(*one.columns)
-    staged = path.rstrip("/") + "-staged"
-    merged(old, one, keys).write.mode("overwrite").parquet(staged)
-    replace_partitions(spark.read.schema(one.schema).parquet(staged), path, by)
+        replace_partitions(new, path, by)
+        return [r[0] for r in new.select(by).distinct().collect()]
+    table = spark.read.schema(new.schema).parquet(path)
+    ids = gone.select(*keys).distinct()
+    touched = [r[0] for r in new.select(by).union(table.join(ids, keys, "left_semi").select(by)).distinct().collect()]
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    table.where(_in(by, touched)).join(ids, keys, "left_anti").unionByName(new).write.parquet(staged)
+    replace_partitions(spark.read.schema(new.schema).parquet(staged), path, by, touched)
+    return touched
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], by: str, order: str | None = None) -> list:
+    """Merge ``new`` into the table at ``path``, partitioned by ``by``; of several new rows of a key that of the last ``order`` counts. Also where a key's partition
+    changes there is one row of it afterwards. See replace_keys."""
+    one = new.dropDuplicates(keys) if order is None else first_of(new, keys, F.desc(order)).drop(order)
+    return replace_keys(one, one, path, keys, by)
+
+
+def reload(path: str, **tables: DataFrame) -> None:
+    """Truncate and load tables under ``path``: each is written beside and then in place of what was there."""
+    for name, df in tables.items():
+        staged = keep(df, f"reload-{name}")
+        staged.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def append_run(path: str, run_id: str, summary: DataFrame, best: DataFrame) -> None:
+    """A backtest's summary and its best results appended under its id; a run that is already there is written anew."""
+    for name, df in (("runs", summary), ("results", best)):
+        replace_partitions(df.withColumn("run_id", F.lit(run_id)), f"{path}/{name}", "run_id")
 
 
 def best_results(done: DataFrame) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from slatewise.operators.ingest import box_games, box_lines
 from slatewise.sources.landing import BOX
-from slatewise.sources.sinks import exists, replace_partitions, upsert
+from slatewise.sources.sinks import replace_keys, replace_partitions, upsert
 
 
 def land(spark: SparkSession, folder: str, table: str, checkpoint: str, rebuild: Callable[[DataFrame], DataFrame] | None = None, derived: str | None = None, files: int = 1000) -> StreamingQuery:
     """Take up files of ``folder`` that the ``checkpoint`` does not know, at most ``files`` in a batch, and stop.
 
     Games and lines go to ``table``/games and ``table``/lines by date; of a game that arrives again the
-    later file counts, with all its lines. ``rebuild`` turns the lines of the touched dates into rows of ``derived`` by date.
+    later file counts, with all its lines, also where its date moved. ``rebuild`` turns the lines of the touched dates into rows of ``derived`` by date.
     Taking a batch up again after a failure gives the same tables."""
     raw = spark.readStream.schema(BOX).option("multiLine", True).option("maxFilesPerTrigger", files).json(folder)
     stamped = raw.select("*", F.col("_metadata.file_modification_time").alias("landed"), F.col("_metadata.file_path").alias("file"))
@@ -27,14 +27,9 @@ def land(spark: SparkSession, folder: str, table: str, checkpoint: str, rebuild:
         games = box_games(own).where("date is not null")
         upsert(games, f"{table}/games", ["source_id"], "date")
         lines = box_lines(own).join(games.select("source_id", "date"), "source_id")
-        dates = [r[0] for r in games.select("date").distinct().collect()]
         path = f"{table}/lines"
-        if exists(spark, path):
-            old = spark.read.parquet(path).where(F.col("date").isin(dates)).join(games.select("source_id"), "source_id", "left_anti").select(*lines.columns)
-            lines.unionByName(old).write.mode("overwrite").parquet(f"{path}-staged")
-            lines = spark.read.schema(lines.schema).parquet(f"{path}-staged")
-        replace_partitions(lines, path, "date")
+        dates = replace_keys(lines, games, path, ["source_id"], "date")
         if rebuild is not None:
-            replace_partitions(rebuild(spark.read.parquet(path).where(F.col("date").isin(dates))), derived, "date")
+            replace_partitions(rebuild(spark.read.schema(lines.schema).parquet(path).where(F.col("date").isin(dates))), derived, "date", dates)
 
     return stamped.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
