@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatewise.sources.kept import keep, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named and all run in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="slatewise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["WORD", "in_arrow", "keep", "per_task", "rows_of", "sent", "shared_dir", "table"]
 
 #: An Arrow batch of texts ends at so many bytes: workers hold little more than one, however long texts are.
 BATCH = "4m"
@@ -82,8 +62,3 @@ def per_task(df: DataFrame) -> int:
 
 
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def n_words(text: str) -> Column:
-    """White-space separated words of a text column; null counts as empty."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")

@@ -7,34 +7,53 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import n_words, shared_dir
+from slatewise.llm.common import WORD, keep, sent
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a category: its share of the tokens to this power, scaled to 1.
 TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
-ROUNDS = 6
-#: A cell's tokens are weighted up or down by this factor at most.
-MAX_RATIO = 2.0
-#: Raking that has to settle ends where a whole round scales no category by more than this; or where, for STALLED
-#: rounds, the largest scaling hasn't come 0.1 % nearer to none: then the targets contradict each other.
+#: Raking ends where a whole round scales no category by more than this; or where, for STALLED rounds, the largest scaling
+#: hasn't come 0.1 % nearer to none: then the targets contradict each other.
 TOLERANCE, STALLED = 1e-6, 5
+#: Rounds that the SQL has at most; those after the settled one change nothing.
+SQL_ROUNDS = 40
 UNKNOWN = "(none)"
+#: Topics are told by so many terms: the most widespread plain words that at most this share of all documents have, but LEAST_DOCS of them.
+TERMS, COMMON, LEAST_DOCS = 256, 0.05, 2
+TERM = "[a-z]{5,20}"
+#: Terms fall into so many clusters by their hash, terms of all languages in each: the topics.
+CLUSTERS = 8
 
 
-def surface_topic(text: str = "text") -> Column:
-    """The form of a text as its topic: table, markup, list, shout, brief or prose; null counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    many = lambda mark, n: F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit(""))) >= n * len(mark)
-    return (
-        F.when(many(" | ", 3), "table").when(many("***", 2) | many("%%%", 2) | many("</", 2), "markup").when(many("\n- ", 3), "list")
-        .when(many("!!", 3), "shout").when(F.length(t) < 200, "brief").otherwise("prose")
-    )
+def words_of(text: str = "text") -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
+def topic_terms(docs: DataFrame) -> list[str]:
+    """The TERMS terms by which topics of ``docs`` (text) are told, the most widespread first, ties by name.
+
+    All documents count: each names its different words, and a word's documents are summed in each task first."""
+    words = docs.select(F.explode(F.array_distinct(words_of())).alias("w")).where(F.col("w").rlike(f"^{TERM}$"))
+    df = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    most = docs.count() * COMMON
+    return [r.w for r in df.where(F.col("n") <= most).orderBy(F.desc("n"), "w").limit(TERMS).collect()]
+
+
+def topic(terms: list[str], words: Column) -> Column:
+    """The cluster of ``terms`` that a text's words fall into most often, of equal ones the first; UNKNOWN where none is a term."""
+    if not terms:
+        return F.lit(UNKNOWN)
+    cluster = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % CLUSTERS
+    found = F.transform(F.filter(words, lambda w: w.isin(*terms)), cluster)
+    times = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(CLUSTERS - 1).cast("long")), lambda c: F.size(F.filter(found, lambda w: w == c)))
+    return F.when(F.array_max(times) > 0, F.concat(F.lit("cluster"), (F.array_position(times, F.array_max(times)) - 1).cast("string"))).otherwise(F.lit(UNKNOWN))
+
+
+def with_cells(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, source, lang, topic and tokens (words, one at least) of each row; null categories become UNKNOWN."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in ("source", "lang")]
-    return docs.select("doc_id", *named, surface_topic().alias("topic"), F.greatest(n_words("text"), F.lit(1)).alias("tokens"))
+    words = docs.select("doc_id", *named, words_of().alias("words"))
+    return words.select("doc_id", "source", "lang", topic(terms, F.col("words")).alias("topic"), F.greatest(F.size("words"), F.lit(1)).cast("long").alias("tokens"))
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -45,40 +64,22 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
     return own.select(dimension, (F.pow(F.col("own").cast("double"), F.lit(power)) / whole * total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """``cells`` (categories, tokens) with the weight of each cell's tokens after raking and ``ratio`` = weight / tokens.
-
-    A round scales the cells of every category to its target, one dimension after the other, and then
-    holds the ratio within [1/max_ratio, max_ratio]. The targets stand beside the cells from the start;
-    marginals are pre-aggregated sums joined back by category, never a window over a category's cells.
-    Every scaling is cut by a checkpoint, so that no plan holds more than one. A category without a
-    target keeps its weight."""
-    shared_dir(cells.sparkSession)
-    held = beside_targets(cells, targets)
-    for _ in range(rounds):
-        for i, d in enumerate(targets):
-            own = held.groupBy(d).agg(F.sum("weight").alias("own"))
-            weight = F.coalesce(F.col("weight") * (F.col(f"target_{d}") / F.col("own")), F.col("weight"))
-            if i == len(targets) - 1:
-                weight = F.least(F.greatest(weight, F.col("tokens") / F.lit(max_ratio)), F.col("tokens") * F.lit(max_ratio))
-            held = held.join(own, d).withColumn("weight", weight).drop("own").checkpoint()
-    return held.drop(*[f"target_{d}" for d in targets]).withColumn("ratio", F.col("weight") / F.col("tokens"))
-
-
 def beside_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     held = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, target in targets.items():
         held = held.join(target.withColumnRenamed("target", f"target_{d}"), d, "left")
-    return held.checkpoint()
+    return keep(held, "cells")
 
 
-def rake_settled(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` with weight and ratio as from ``rake``, raked without bounds until all marginals meet their targets.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (categories, tokens) with the weight of each cell's tokens and ``ratio`` = weight / tokens, raked until all marginals meet their targets.
 
-    The cells carry the largest scaling of the round, so that a round costs one small sum more. Targets that
+    A round scales the cells of every category to its target, one dimension after the other. The targets stand
+    beside the cells from the start; marginals are pre-aggregated sums joined back by category, never a window over
+    a category's cells. A round ends in a kept table, so that no plan holds more than one. The cells carry the
+    largest scaling of the round. A category without a target keeps its weight. Targets that
     no weights can meet together (where some cells are missing) leave an error, which is logged: the last
-    dimension then meets its targets and the others come as near as their last scaling says."""
-    shared_dir(cells.sparkSession)
+    dimension then meets its targets and the others come as near as their last scaling says (see errors)."""
     held = beside_targets(cells, targets)
     least, stalled = float("inf"), 0
     while stalled < STALLED:
@@ -86,7 +87,8 @@ def rake_settled(cells: DataFrame, targets: dict[str, DataFrame], tolerance: flo
         for d in targets:
             own = held.groupBy(d).agg(F.sum("weight").alias("own"))
             factor = F.coalesce(F.col(f"target_{d}") / F.col("own"), F.lit(1.0))
-            held = held.join(own, d).withColumns({"weight": F.col("weight") * factor, "moved": F.greatest("moved", F.abs(factor - 1))}).drop("own").checkpoint()
+            held = held.join(own, d).withColumns({"weight": F.col("weight") * factor, "moved": F.greatest("moved", F.abs(factor - 1))}).drop("own")
+        held = keep(held, "raked")
         moved = held.agg(F.max("moved")).first()[0] or 0.0
         if moved <= tolerance:
             break
@@ -97,55 +99,58 @@ def rake_settled(cells: DataFrame, targets: dict[str, DataFrame], tolerance: flo
     return held.drop("moved", *[f"target_{d}" for d in targets]).withColumn("ratio", F.col("weight") / F.col("tokens"))
 
 
+def errors(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, category, weight, target, error): how far each marginal of ``raked`` is from its target, as a share of it."""
+    out = None
+    for d, target in targets.items():
+        own = raked.groupBy(d).agg(F.sum("weight").alias("weight")).join(target, d).select(F.lit(d).alias("dimension"), F.col(d).alias("category"), "weight", "target", (F.col("weight") / F.col("target") - 1).alias("error"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def uniform(doc_id: str, seed: str) -> Column:
     """A number in [0, 1) that the id and the seed settle; rows of one id share it."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, seed: str = "mix", rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER, settle: bool = False) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", temper: dict[str, float] = TEMPER) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability and sampled for each row of ``docs`` (doc_id, text, source, lang).
 
-    Token weights are raked to tempered marginals of source, language and topic. A document's
-    probability is its cell's ratio over the largest of all, so that sampled tokens keep the raked
+    Token weights are raked to tempered marginals of source, language and topic, which is a text's most frequent one of the
+    corpus's topic terms. A document's probability is its cell's ratio over the largest of all, so that sampled tokens keep the raked
     proportions; it is sampled where its id's uniform number lies below. Null texts count one token,
-    null categories are one of their own, an empty table gives no rows, rows of one id fare alike.
-    ``settle`` rakes until the marginals meet their targets, without bounds; else there are ``rounds`` rounds
-    within ``max_ratio``, as the SQL has them, which leave rare categories under theirs."""
-    counted = with_cells(docs)
-    share = calibrated(counted, rounds, max_ratio, temper, settle)
-    return counted.join(share, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", "probability", (uniform("doc_id", seed) < F.col("probability")).alias("sampled"))
-
-
-def calibrated(counted: DataFrame, rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER, settle: bool = False) -> DataFrame:
-    """(source, lang, topic, probability) of the cells of ``counted`` (see with_cells)."""
-    shared_dir(counted.sparkSession)
-    cells = counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).checkpoint()
-    targets = {d: tempered_targets(cells, d, temper[d]).checkpoint() for d in DIMENSIONS}
-    raked = rake_settled(cells, targets) if settle else rake(cells, targets, rounds, max_ratio)
+    null categories are one of their own, an empty table gives no rows, rows of one id fare alike."""
+    counted = keep(with_cells(docs, topic_terms(docs)), "counted")
+    return counted.join(sent(calibrated(counted, temper)), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", "probability", (uniform("doc_id", seed) < F.col("probability")).alias("sampled"))
+
+
+def calibrated(counted: DataFrame, temper: dict[str, float] = TEMPER) -> DataFrame:
+    """A kept table (source, lang, topic, probability) of the cells of ``counted`` (see with_cells)."""
+    cells = keep(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "tokens")
+    raked = rake(cells, {d: tempered_targets(cells, d, temper[d]) for d in DIMENSIONS})
     top = raked.agg(F.max("ratio").alias("top")).select("top").scalar()
-    return raked.select(*DIMENSIONS, (F.col("ratio") / top if settle else F.round(F.col("ratio") / top, 6)).alias("probability"))
+    return keep(raked.select(*DIMENSIONS, F.round(F.col("ratio") / top, 6).alias("probability")), "probabilities")
 
 
 def sample(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The sampled rows of ``docs``, all columns (see mix, settled)."""
-    share = calibrated(with_cells(docs), settle=True)
-    share = share.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_probability"))
+    """The sampled rows of ``docs``, all columns (see mix)."""
+    terms = topic_terms(docs)
+    share = calibrated(with_cells(docs, terms))
+    share = sent(share.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_probability")))
     named = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in ("source", "lang")]
-    on = [a == F.col(f"_{c}") for a, c in zip([*named, surface_topic()], DIMENSIONS, strict=True)]
+    on = [a == F.col(f"_{c}") for a, c in zip([*named, topic(terms, words_of())], DIMENSIONS, strict=True)]
     return docs.join(share, on).where(uniform("doc_id", seed) < F.col("_probability")).select(*docs.columns)
 
 
-def mix_sql(seed: str = "mix", rounds: int = ROUNDS, max_ratio: float = MAX_RATIO, temper: dict[str, float] = TEMPER, docs: str = "documents") -> tuple[list[str], str]:
+def mix_sql(seed: str = "mix", rounds: int = SQL_ROUNDS, temper: dict[str, float] = TEMPER, docs: str = "documents") -> tuple[list[str], str]:
     """(common table expressions, select) of the same rows in DuckDB."""
-    many = lambda mark, n: f"length(coalesce(text,'')) - length(replace(coalesce(text,''), '{mark}', '')) >= {n * len(mark)}"
-    topic = (
-        f"case when {many(' | ', 3)} then 'table' when {many('***', 2)} or {many('%%%', 2)} or {many('</', 2)} then 'markup' "
-        f"when length(coalesce(text,'')) - length(replace(coalesce(text,''), chr(10) || '- ', '')) >= 9 then 'list' when {many('!!', 3)} then 'shout' when length(coalesce(text,'')) < 200 then 'brief' else 'prose' end"
-    )
     parts = [
-        f"counted as (select doc_id, coalesce(source, '{UNKNOWN}') source, coalesce(lang, '{UNKNOWN}') lang, {topic} topic, greatest(len(regexp_extract_all(coalesce(text,''), '[^\\x20\\x09-\\x0D]+')), 1)::bigint tokens from {docs})",
-        "cells as (select source, lang, topic, sum(tokens)::double tokens, sum(tokens)::double weight from counted group by all)",
+        f"worded as materialized (select doc_id, source, lang, regexp_extract_all(coalesce(text,''), '{WORD}') w from {docs})",
+        f"terms as materialized (select coalesce(list(t order by n desc, t), []) a from (select t, count(*) n from (select unnest(list_distinct(w)) t from worded) where regexp_full_match(t, '{TERM}') group by t having count(*) >= {LEAST_DOCS} and count(*) <= {COMMON} * (select count(*) from {docs}) order by n desc, t limit {TERMS}))",
+        f"hit as materialized (select doc_id, source, lang, w, list_transform(list_filter(w, lambda x: list_contains(a, x)), lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % {CLUSTERS}) c from worded, terms)",
+        f"counted as materialized (select doc_id, coalesce(source, '{UNKNOWN}') source, coalesce(lang, '{UNKNOWN}') lang, case when len(c) > 0 then 'cluster' || (list_position(times, list_max(times)) - 1) else '{UNKNOWN}' end topic, greatest(len(w), 1)::bigint tokens from (select *, list_transform(range({CLUSTERS}), lambda t: len(list_filter(c, lambda x: x = t))) times from hit))",
+        "cells as (select source, lang, topic, sum(tokens)::double tokens, sum(tokens)::double weight, 0e0 moved, false settled from counted group by all)",
     ]
     for d in DIMENSIONS:
         parts.append(f"own_{d} as (select {d}, sum(tokens) own from cells group by all)")
@@ -154,11 +159,10 @@ def mix_sql(seed: str = "mix", rounds: int = ROUNDS, max_ratio: float = MAX_RATI
     for r in range(rounds):
         for d in DIMENSIONS:
             now = f"w{r}_{d}"
-            parts.append(f"{now} as materialized (select c.source, c.lang, c.topic, tokens, weight * (target / sum(weight) over (partition by c.{d})) weight from {before} c join target_{d} t on t.{d} = c.{d})")
+            parts.append(f"{now} as materialized (select source, lang, topic, tokens, weight * f weight, greatest(moved, abs(f - 1)) moved, settled from (select c.*, case when settled then 1e0 else target / sum(weight) over (partition by c.{d}) end f from {before} c join target_{d} t on t.{d} = c.{d}))")
             before = now
-        now = f"w{r}"
-        parts.append(f"{now} as materialized (select source, lang, topic, tokens, least(greatest(weight, tokens / {max_ratio}), tokens * {max_ratio}) weight from {before})")
-        before = now
+        parts.append(f"w{r} as materialized (select source, lang, topic, tokens, weight, 0e0 moved, settled or max(moved) over () <= {TOLERANCE!r} settled from {before})")
+        before = f"w{r}"
     parts.append(f"share as (select source, lang, topic, round(weight / tokens / (select max(weight / tokens) from {before}), 6) probability from {before})")
     u = f"(('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / {float(1 << 52)!r})"
     return parts, f"select doc_id, source, lang, topic, tokens, probability, {u} < probability sampled from counted join share using (source, lang, topic)"

@@ -20,9 +20,9 @@ WORDS = 5
 NEED = (75, 100)
 #: So many of the most frequent shingles are told apart by frequency; the others count as equally rare.
 #: They, and the bits below, only set the order and spare postings: results don't depend on them.
-FREQUENT, LEAST_FREQUENT = 1_000_000, 6
-#: Bits that say which shingles more than one set has: a broadcast of 16 MB at any size.
-SHARED_BITS = 27
+FREQUENT, LEAST_FREQUENT = 200_000, 6
+#: Bits that say which shingles more than one set has: about as many as there are shingles, a broadcast of 16 MB at most.
+LEAST_BITS, MOST_BITS = 16, 27
 #: Shingles counted by one task of the frequency count.
 COUNTED = 1_000_000
 #: Ids of sets to read again are broadcast up to this many, 8 bytes each; beyond, all sets are read.
@@ -78,9 +78,9 @@ def _values(planes: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").reshape(-1))
 
 
-def frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+def frequencies(docs: DataFrame, total: int, shared_bits: int) -> tuple[DataFrame, DataFrame]:
     """Kept tables of the documents' shingle frequencies, counted over all sets by key (the first KEY_BITS
-    of the hash): the frequent keys (key, df), and the SHARED_BITS bits of keys with df >= 2 (place, bits).
+    of the hash): the frequent keys (key, df), and 2^``shared_bits`` bits of keys with df >= 2 (place, bits).
 
     Tasks count their own shingles and send rising keys, packed by ranges of the key, so that one range
     has about COUNTED of them at any size; a key arrives once from each packet."""
@@ -117,7 +117,7 @@ def frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
             keys, df = keys[df > 1], df[df > 1]
             if not len(keys):
                 continue
-            bit = (keys >> np.uint64(KEY_BITS - SHARED_BITS)).astype(np.int64)
+            bit = (keys >> np.uint64(KEY_BITS - shared_bits)).astype(np.int64)
             base = int(bit[0]) // 8
             bits = np.zeros(int(bit[-1]) // 8 - base + 1, dtype=np.uint8)
             np.bitwise_or.at(bits, bit // 8 - base, np.uint8(1) << (bit % 8).astype(np.uint8))
@@ -130,23 +130,24 @@ def frequencies(docs: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     return counted.where("key is not null").select("key", "df"), counted.where("place is not null").select("place", "bits")
 
 
-def _order(frequent: DataFrame, shared: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _order(frequent: DataFrame, shared: DataFrame, shared_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = frequent.orderBy(F.desc("df"), "key").limit(FREQUENT).toArrow()
     keys, df = top["key"].to_numpy().astype(np.uint64), top["df"].to_numpy()
     order = np.argsort(keys)
-    bits = np.zeros(1 << (SHARED_BITS - 3), dtype=np.uint8)
+    bits = np.zeros(1 << (shared_bits - 3), dtype=np.uint8)
     for place, part in shared.toLocalIterator():
         got = np.frombuffer(part, dtype=np.uint8)
         bits[place : place + len(got)] |= got
     return keys[order], df[order].astype(np.int32), bits
 
 
-def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFrame:
-    """(token, sid, n, place, shared): the prefix shingles of each set in rare-first order that other sets have too.
+def postings(docs: DataFrame, total: int) -> DataFrame:
+    """A kept table (token, sid, n, place, shared), one row per token and set: the prefix shingles of each set in rare-first order that other sets have too.
     First come shingles of no other set, which need no posting, then those of few, then the frequent ones. ``shared`` is the part of the prefix, in thousandths, that has postings.
 
     Any set that links to one of n shingles shares a shingle of the first n - ceil(3n/4) + 1 of both."""
-    order_of = docs.sparkSession.sparkContext.broadcast(_order(frequent, shared))
+    shared_bits = min(max((max(total, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    order_of = docs.sparkSession.sparkContext.broadcast(_order(*frequencies(docs, total, shared_bits), shared_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, df, bits = order_of.value
@@ -164,7 +165,7 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
             n = len(tokens)
             prefix = n - -(-n * NEED[0] // NEED[1]) + 1
             key = tokens >> np.uint64(64 - KEY_BITS)
-            bit = (key >> np.uint64(KEY_BITS - SHARED_BITS)).astype(np.int64)
+            bit = (key >> np.uint64(KEY_BITS - shared_bits)).astype(np.int64)
             often = ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.int32)  # 0: no other set has it
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -180,7 +181,9 @@ def postings(docs: DataFrame, frequent: DataFrame, shared: DataFrame) -> DataFra
         if rows:
             yield flush()
 
-    return in_arrow(docs.select("text"), run, "token long, sid binary, n int, place int, shared int")
+    posted = keep(in_arrow(docs.select("text"), run, "token long, sid binary, n int, place int, shared int").dropDuplicates(["token", "sid"]), "postings")
+    order_of.destroy()
+    return posted
 
 
 #: Length and positional filter of a posting: the largest set that what follows the shared shingle still allows to link.
@@ -232,7 +235,7 @@ def _near_pairs(met: DataFrame, which: str) -> DataFrame:
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the sets that ``wanted`` (sid) lists, once or a few times each; all, where it is too long to send."""
+    """A kept table (sid, tokens) of the sets that ``wanted`` (sid) lists, once or a few times each; all, where it is too long to send."""
     n = wanted.count()
     names = np.empty(0, dtype=np.int64)
     if n <= SENT_SETS:
@@ -257,7 +260,9 @@ def read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "tokens"])
 
-    return in_arrow(docs.select("text"), run, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    read = keep(in_arrow(docs.select("text"), run, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
+    asked.destroy()
+    return read
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> bool:
@@ -293,7 +298,7 @@ def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """A kept table of the ``pairs`` whose sets link; the sets are read from the documents again."""
     pairs = keep(pairs, "pairs")
     sides = keep(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sides")
-    return keep(verified(pairs, keep(read_sets(docs, sides), "tokens")), "linked")
+    return keep(verified(pairs, read_sets(docs, sides)), "linked")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -315,8 +320,7 @@ def near_components(docs: DataFrame) -> DataFrame:
 def set_labels(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, label) of the sets of ``sets`` that link to another: the component of each (see near_components)."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    posted = keep(postings(docs, *frequencies(docs, total)).dropDuplicates(["token", "sid"]), "postings")
-    links, lists = None, unsettled(posted, None)
+    links, lists = None, unsettled(postings(docs, total), None)
     for seed in range(PIVOT_ROUNDS):
         found = linked(docs, pivot_pairs(lists, seed))
         links = found if links is None else links.unionByName(found)

@@ -56,7 +56,7 @@ def learn(docs: DataFrame, target: DataFrame) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, n_grams and log_weight (the mean log ratio of its n-grams; 0 without any) of each row of ``docs``."""
+    """doc_id, n_grams and log_weight (the log ratio of both models' likelihoods: the sum over its n-grams; 0 without any) of each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             n, w = [], []
             for got in hashed_ngrams(batch.column(1)):
                 n.append(len(got))
-                w.append(float(sent.value[got].mean()) if len(got) else 0.0)
+                w.append(float(sent.value[got].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_grams long, log_weight double")
@@ -76,13 +76,14 @@ def gumbel(doc_id: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.02, share: float | None = None, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, length_power: float = 0.0, temperature: float = 1.0, share: float | None = None, seed: int = 7) -> DataFrame:
     """doc_id, n_grams, log_weight, key and selected for each row of ``docs`` (doc_id, text).
 
     Target text: documents that ``labels`` (doc_id, quality) call good. A document's
-    importance is the mean log ratio of its n-grams over ``temperature``, so that long texts don't win by
-    length alone; Gumbel noise is added and the k highest keys are selected, k being ``share`` of the rows,
-    by default the labels' share of good documents. Ties go to smaller ids (null last), then any.
+    importance is the ratio of its likelihoods under both models; Gumbel noise is added to its logarithm and the k
+    highest keys are selected, k being ``share`` of the rows, by default the labels' share of good documents: a sample
+    without replacement in proportion to the importance. ``length_power`` 1 takes the mean log ratio of the n-grams in place
+    of their sum, so that long texts don't weigh by length; ``temperature`` divides it, lower ones sharpen. Ties go to smaller ids (null last), then any.
     Without labels all ratios are 0 and share is 1; null and empty texts have weight 0. Repeated rows
     compete each."""
     good = F.when(F.col("quality") == 1, 1.0).otherwise(0.0)
@@ -92,7 +93,7 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.02, shar
         share = 1.0 if share is None else share
     target = keep(marked.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id"), "target")
     scored = score(docs, learn(docs, target))
-    keyed = scored.withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", seed))
+    keyed = scored.withColumn("key", F.col("log_weight") / F.pow(F.greatest("n_grams", F.lit(1)), F.lit(length_power)) / temperature + gumbel("doc_id", seed))
     placed = ranked(keyed, [F.desc("key"), F.asc_nulls_last("doc_id")])
     k = round(share * placed.count())
     return placed.select("doc_id", "n_grams", "log_weight", "key", (F.col("rank") < k).alias("selected"))

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slatewise.llm import queries, topk, urls, warc
@@ -77,6 +78,37 @@ def test_urls(spark, pages):
     assert {g.verdict for g in urls.judge(pages, labels.limit(0)).collect() if g.rule is None} == {"allow"}
 
 
+def test_posterior_decides_pages(spark):
+    """On the tables, with one host's labelled pages bad and every fourth of the others': verdicts without a rule are those of
+    the hosts' bounds against the pooled rate, and that host's pages are blocked. (The tables' own labels are of documents; hosts don't differ by them.)"""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = urls.split_url(F.col("url"))[0]
+    rows = pages.select("page_id", host.alias("host")).collect()
+    ruled = {r.page_id for r in urls.judge(pages, spark.createDataFrame([], "page_id long, bad int")).where("rule is not null").collect()}
+    worst = Counter(r.host for r in rows if r.page_id not in ruled).most_common(1)[0][0]
+    bad = {r.page_id: int(r.host == worst or r.page_id % 4 == 0) for r in rows if r.page_id % 5 < 4}
+    got = urls.judge(pages, spark.createDataFrame(list(bad.items()), "page_id long, bad int")).where("rule is null").collect()
+    pooled = sum(bad.values()) / len(bad)
+    assert {g.verdict for g in got if g.host == worst} == {"block"} and "allow" in {g.verdict for g in got}
+    assert all((g.verdict == "block") == (g.bound > pooled) for g in got if abs(g.bound - pooled) > 1e-6)
+    n, k = Counter(), Counter()
+    for r in rows:
+        if r.page_id in bad:
+            n[r.host] += 1
+            k[r.host] += bad[r.page_id]
+    assert all((g.n, g.k) == (n[g.host], k[g.host]) for g in got)
+
+
+def test_registered(spark):
+    hosts = {
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"), "h.com:8080": ("h.com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "user:pw@shop.example.org.": ("example.org", "org"),
+        "[::1]:80": ("[::1]", "[::1]"), "me.github.io": ("me.github.io", "github.io"), "x.me.github.io": ("me.github.io", "github.io"), "b.s3.amazonaws.com": ("b.s3.amazonaws.com", "s3.amazonaws.com"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.br": ("a.com.br", "com.br"),
+    }
+    frame = spark.createDataFrame([(h,) for h in hosts], "h string")
+    domain, suffix = urls.registered(F.col("h"))
+    assert {r.h: (r.d, r.s) for r in frame.select("h", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
 def test_reputation(spark):
     """The ladder against plain arithmetic; a bad host among good ones is found."""
     rng = np.random.default_rng(2)
@@ -110,7 +142,8 @@ def test_reputation(spark):
         mean = (md * mean + dk[d]) / (md + dn[d])
         mean = (mh * mean + k[h]) / (mh + n[h])
         assert math.isclose(r["mean"], mean) and math.isclose(r.bound, mean - math.sqrt(mean * (1 - mean) / (mh + n[h] + 1)))
-    blocked = {h for h, r in got.items() if r.bound > 0.5}
+    assert all(math.isclose(r.pooled, p) for r in got.values())
+    blocked = {h for h, r in got.items() if r.bound > p}
     assert {"bad.com", "new.bad.com"} <= blocked and not blocked & {"a.good.com", "b.good.com", "c.co.uk", "unseen.net"}
 
 
