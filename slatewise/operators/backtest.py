@@ -103,7 +103,8 @@ def _steps(value: Column, bounds: list[tuple[float, int]], test: str = ">=") ->
 
 
 def grade(train_rate: Column, rate: Column, z: Column, p: Column, width: Column, p_train: Column, roi: Column, drawdown: Column, sharpe: Column, n_bets: Column, ev: Column) -> dict[str, Column]:
-    """Four scores of 0 to 25, their total and the letter. Bounds and points are fixed values."""
+    """Four scores of 0 to 25, their total and the letter. Bounds and points are fixed values; money is held against them to nine digits."""
+    roi, drawdown, sharpe = F.round(roi, 9), F.round(drawdown, 9), F.round(sharpe, 9)
     edge = F.least(F.greatest((rate - BREAK_EVEN) / 0.15 * 25, F.lit(0.0)), F.lit(25.0))
     sure = _steps(z, [(1.96, 10), (1.65, 7), (1.28, 4)]) + _steps(p, [(0.01, 8), (0.05, 5), (0.10, 2)], "<") + _steps(width, [(0.10, 7), (0.15, 5), (0.20, 3)], "<")
     lost = (train_rate - rate) / train_rate
@@ -180,6 +181,11 @@ def quick(by_season: DataFrame, min_n: int = 3) -> DataFrame:
     return own.groupBy("combo", "outcome").agg(F.count("*").alias("seasons"), F.avg(rate).alias("mean_rate"), (F.max(rate) - F.min(rate)).alias("spread"), variation("h").alias("variation"), (F.min(rate) > BREAK_EVEN).alias("stable"))
 
 
+def report(done: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` first tested patterns by grade, then return on investment."""
+    return done.orderBy("grade", F.desc(F.round("roi", 9)), *FOLD).limit(n)
+
+
 def robust(done: DataFrame) -> DataFrame:
     """Of the patterns that made a profit in every fold, the fold with the highest z."""
     folds = done.agg(F.count_distinct("test_season").alias("n")).select("n").scalar()

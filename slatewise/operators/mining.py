@@ -18,8 +18,8 @@ CONDITION_KEYS = tuple(sorted(CONDITIONS))
 DIGIT = 7
 #: Patterns that are stored: of nights, of games.
 STORED, STORED_GAMES = 5000, 2000
-#: Days of a season, and the 64-bit words that have a bit for each.
-SEASON_WORDS = 6
+#: A season's nights have a bit each in so many 64-bit words, from the first of August before it (448 days: late ends fit).
+SEASON_WORDS, SEASON_START = 7, 8
 
 
 # ---- combinations of numbered keys, made within rows
@@ -72,13 +72,14 @@ def calendar(events: DataFrame) -> list[int]:
 
 
 def _slot(seasons: list[int]) -> Column:
-    """The bit of a row's ``date``: SEASON_WORDS words for each season, by days from the first of October."""
-    first = F.make_date(F.col("season"), F.lit(10), F.lit(1))
-    return (F.array_position(F.array(*[F.lit(s) for s in seasons]), F.col("season")) - 1).cast("int") * (64 * SEASON_WORDS) + F.datediff("date", first)
+    """The bit of a row's ``date``: SEASON_WORDS words for each season, by days from its start. A night outside its season is an error."""
+    off = F.datediff("date", F.make_date(F.col("season"), F.lit(SEASON_START), F.lit(1)))
+    day = F.when(off.between(0, 64 * SEASON_WORDS - 1), off).otherwise(F.raise_error(F.concat(F.lit("a night outside its season: "), F.col("date").cast("string"))).cast("int"))
+    return (F.array_position(F.array(*[F.lit(s) for s in seasons]), F.col("season")) - 1).cast("int") * (64 * SEASON_WORDS) + day
 
 
 def slot_date(slot: Column, seasons: list[int]) -> Column:
-    first = F.make_date(F.get(F.array(*[F.lit(s) for s in seasons]), F.floor(slot / (64 * SEASON_WORDS)).cast("int")), F.lit(10), F.lit(1))
+    first = F.make_date(F.get(F.array(*[F.lit(s) for s in seasons]), F.floor(slot / (64 * SEASON_WORDS)).cast("int")), F.lit(SEASON_START), F.lit(1))
     return F.date_add(first, (slot % (64 * SEASON_WORDS)).cast("int"))
 
 

@@ -97,6 +97,11 @@ def events_of(measures: DataFrame, infra: bool = False) -> DataFrame:
     return measures.select("date", "season", F.explode(hits).alias("event_key"))
 
 
+def summary(measures: DataFrame, events: DataFrame) -> DataFrame:
+    """Per date its games, scored games and lines, and how many events of the catalog hold."""
+    return measures.select("date", "season", "n_games", "n_scored", "n_stats").join(events.groupBy("date").agg(F.count("*").alias("n_events")), "date", "left").fillna(0, ["n_events"])
+
+
 #: What the reports that come with an event name: the teams, players or games that made it hold. An event of another kind names nobody.
 WITNESS_TEAMS = {"ANY_TEAM_130_PLUS": ("side", "score >= 130"), "TWO_TEAMS_130_PLUS": ("side", "score >= 130"), "TEAM_POINTS_GE_140": ("side", "score >= 140"), "AT_LEAST_4_TEAMS_120_PLUS": ("side", "score >= 120"), "AT_LEAST_4_TEAMS_UNDER_100": ("side", "score < 100"),
     "ANY_TEAM_TURNOVERS_GE_22": ("team", "turnovers >= 22"), **{f"TEAM_WITH_{n}_REBOUNDS": ("team", f"rebounds >= {n}") for n in (58, 60, 62)}, "TEAM_ASSISTS_GE_35": ("team", "assists >= 35"), "TEAM_BLOCKS_GE_12": ("team", "blocks >= 12"), "TEAM_STEALS_GE_15": ("team", "steals >= 15"),

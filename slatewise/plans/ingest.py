@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import parsing, teams
-from slatewise.operators import ingest
+from slatewise.operators import ingest, night
 from slatewise.plans.queries import register
 from slatewise.sources import landing, sinks
 from slatewise.sources.fixtures import with_ctes
@@ -167,6 +167,15 @@ def upserted(fx):
 
 
 register("snk01_upsert", lambda fx: upserted(fx).select("game_id", "date", "status"), with_ctes("select game_id, cast(case when game_id % 4 = 0 then date + 7 else date end as date) date, case when game_id % 2 = 0 then 'Corrected' else status end status from fx_game"))
+def rewritten(fx):
+    """Team nights by season; then the nights of 1996 are written anew, twice the points."""
+    path, nights = table_of(fx, "nights"), night.team_night(fx.stat).select("date", "season", "team_id", "points")
+    sinks.replace_partitions(nights, path, "season")
+    sinks.replace_partitions(nights.where("season = 1996").withColumn("points", F.col("points") * 2), path, "season")
+    return fx.spark.read.schema(nights.schema).parquet(path)
+
+
+register("snk04_rewrite", rewritten, with_ctes("select date, season, team_id, points * case when season = 1996 then 2 else 1 end points from team_night", night.events_sql()))
 register("snk02_inserted", lambda fx: sinks.inserted(fx.stat.where("game_id % 3 = 0"), fx.stat, ["game_id", "player_id"]).select("game_id", "player_id"), with_ctes("select game_id, player_id from fx_stat where game_id % 3 <> 0"))
 register("snk06_orphans", lambda fx: ingest.split_orphans(fx.stat, fx.game.where("game_id % 5 > 0"))[1].groupBy("reason", "season").agg(F.count("*").alias("lines")), with_ctes("select 'NO_GAME_MATCH' reason, season, count(*) as lines from fx_stat where game_id % 5 = 0 group by season"))
 

@@ -90,7 +90,7 @@ register("ag04_team_totals", lambda fx: fx.stat.groupBy("team_id").agg(*[F.sum(s
 register("ag05_player_highs", lambda fx: fx.stat.groupBy("player_id").agg(F.count("*").alias("games"), *[F.count_if(F.col("points") >= n).alias(f"games_{n}") for n in (30, 40, 50)], *[F.count_if(F.expr(f"{night.TENS} >= {n}")).alias(a) for n, a in ((2, "double_doubles"), (3, "triple_doubles"))], F.round(F.avg("points"), 4).alias("ppg")),
          with_ctes(f"select player_id, count(*) games, {', '.join(f'count(case when points >= {n} then 1 end) games_{n}' for n in (30, 40, 50))}, count(case when {night.TENS} >= 2 then 1 end) double_doubles, count(case when {night.TENS} >= 3 then 1 end) triple_doubles, round(avg(points), 4) ppg from fx_stat group by player_id"))
 register("ag07_games_without_stats", lambda fx: fx.game.where("status = 'Final'").join(fx.stat, "game_id", "left_anti").groupBy("season").agg(F.count("*").alias("games")), with_ctes("select season, count(*) games from fx_game g where status = 'Final' and not exists (select 1 from fx_stat s where s.game_id = g.game_id) group by season"))
-register("ag10_night_summary", lambda fx: night_measures(fx).select("date", "season", "n_games", "n_scored", "n_stats"), with_ctes("select date, season, n_games, n_scored, n_stats from measures", NIGHT_SQL))
+register("ag10_night_summary", lambda fx: night.summary(night_measures(fx), night_events(fx)), with_ctes("select m.date, m.season, n_games, n_scored, n_stats, coalesce(n, 0) n_events from measures m left join (select date, count(*) n from night_events group by date) e on e.date = m.date", NIGHT_SQL))
 ROUNDED = ("ppg", "oppg", "reb_pg", "ast_pg", "pace")
 register("wn_context", lambda fx: fx.once("context", lambda fx: asof.game_context(fx.game, fx.stat)).select("game_id", "season", *[(F.round(f"{s}_{c}", 6) if c in ROUNDED else F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s in ("home", "away") for c in asof.COLUMNS]),
          with_ctes("select game_id, season, " + ", ".join(f"round({s}_{c}, 6) {s}_{c}" if c in ROUNDED else f"{s}_{c}" for s in ("home", "away") for c in asof.COLUMNS) + " from context", asof.CONTEXT_SQL))

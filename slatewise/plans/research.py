@@ -10,9 +10,9 @@ from slatewise.plans.queries import COUNTS, GAME_SQL, NIGHT_PATTERNS, NIGHT_SQL,
 from slatewise.sources import sinks
 from slatewise.sources.fixtures import with_ctes
 
-#: Six digits, after nine: what differs in the last bits doesn't tip a half.
-r6 = lambda *names: [F.round(F.round(n, 9), 6).alias(n) for n in names]
-sql6 = lambda *names: ", ".join(f"round(round({n}, 9), 6) {n}" for n in names)
+#: Six digits; what differs in the last bits doesn't tip a half that a value lies on.
+r6 = lambda *names: [F.round(F.col(n) + 1e-11, 6).alias(n) for n in names]
+sql6 = lambda *names: ", ".join(f"round({n} + 1e-11, 6) {n}" for n in names)
 
 # ---- profiles and coverage
 _per_game = "select team_id, game_id, " + ", ".join(f"sum({c}) {c}" for c in reports.COUNTED) + " from fx_stat group by team_id, game_id"
@@ -40,7 +40,7 @@ register("ag13_split_status", lambda fx: reports.split_status(fx.stat), with_cte
 register("ag07_first_missing", lambda fx: reports.completeness(fx.game, fx.stat), with_ctes("select season, date, game_id from fx_game g where status = 'Final' and not exists (select 1 from fx_stat s where s.game_id = g.game_id) order by date, game_id limit 20"))
 register("fl01_filtered_totals", lambda fx: reports.totals(reports.Filter(season=1996, side="home", date_from="1996-11-01", least_minutes=20).lines(fx.stat, fx.game)), with_ctes(f"select player_id, {', '.join(f'sum({s}) {s}' for s in night.STATS)}, count(distinct s.game_id) games from fx_stat s join fx_game g on g.game_id = s.game_id where s.season = 1996 and s.date >= date '1996-11-01' and s.team_id = g.home_team_id and secs >= 1200 group by player_id"))
 register("wn13_snapshot", lambda fx: asof.snapshot(fx.game, "1999-01-01").select("team_id", "gp", "wins", "losses", *r6("ppg", "oppg"), "form"), with_ctes(
-    "select team_id, count(*) gp, count(case when won then 1 end) wins, count(case when not won then 1 end) losses, round(avg(scored), 6) ppg, round(avg(allowed), 6) oppg, (case when max(case when place = 1 and won then 1 else 0 end) = 1 then 1 else -1 end) * count(case when place <= 10 and won = first_won then 1 end) form from "
+    "select team_id, count(*) gp, count(case when won then 1 end) wins, count(case when not won then 1 end) losses, round(avg(scored) + 1e-11, 6) ppg, round(avg(allowed) + 1e-11, 6) oppg, (case when max(case when place = 1 and won then 1 else 0 end) = 1 then 1 else -1 end) * count(case when place <= 10 and won = first_won then 1 end) form from "
     "(select *, first_value(won) over (partition by team_id order by place) first_won from (select *, scored > allowed won, row_number() over (partition by team_id order by date desc, game_id desc) place from (select game_id, date, home_team_id team_id, home_score scored, away_score allowed from fx_game where status = 'Final' and home_score > 0 union all select game_id, date, away_team_id, away_score, home_score from fx_game where status = 'Final' and home_score > 0) where date < date '1999-01-01') where place <= 82) group by team_id having count(*) >= 5"))
 
 # ---- stored night patterns
@@ -85,7 +85,7 @@ KEPT = GAME_SQL | COUNTS | {
     "scored": f"""select {q._name(mining.CONDITION_KEYS)} as \"name\", combo, outcome, "sample", hits, n_seasons, hits / "sample" hit_rate, hits / "sample" - 0.524e0 edge, round((hits / "sample" - 0.524e0) * sqrt("sample"), 9) "value",
         round(least(0.4e0 * "sample" / (select max("sample") from kept) + 0.3e0 * n_seasons / (select count(distinct season) from game_events) + 0.3e0 * (1 - most / "sample") + coalesce(0.05e0 * (1 - date_diff('day', last, {_day}) / 90), 0), 1.0), 9) confidence from kept left join latest using (combo, outcome)""".replace('\"name\"', '"name"'),
 }
-register("pm14_scored", lambda fx: q.scored(fx).select(_combo(), "outcome", "sample", "hits", "n_seasons", *r6("hit_rate", "edge", "confidence", "value")), with_ctes("select \"name\" combo, outcome, \"sample\", hits, n_seasons, " + sql6("hit_rate", "edge", "confidence") + ", round(\"value\", 6) \"value\" from scored", KEPT))
+register("pm14_scored", lambda fx: q.scored(fx).select(_combo(), "outcome", "sample", "hits", "n_seasons", *r6("hit_rate", "edge", "confidence", "value")), with_ctes("select \"name\" combo, outcome, \"sample\", hits, n_seasons, " + sql6("hit_rate", "edge", "confidence") + ", round(\"value\" + 1e-11, 6) \"value\" from scored", KEPT))
 _pool = lambda src, at: f"select f.game_id, f.date, f.season, p.* exclude (combo) from (select e.game_id, {at}.date, {at}.season, t.combo from {src} e join (select combo, unnest(string_split(\"name\", '+')) k, len(string_split(\"name\", '+')) legs from (select distinct combo, \"name\" from best_patterns)) t on t.k = e.event_key{' join fx_game g on g.game_id = e.game_id' if at == 'g' else ''} group by all having count(*) = any_value(t.legs)) f join best_patterns p on p.combo = f.combo"
 MET = KEPT | games.SLATE_SQL | {
     "best_patterns": 'select * from scored order by confidence desc, "value" desc, "name", outcome limit 2000',
@@ -96,7 +96,7 @@ _any = "split_part(outcome, ':', 1) in (" + ", ".join(f"'{o}'" for o in predict.
 _bet = "case when outcome like '%COVERED%' or outcome like '%SPREAD%' then 'spread' when outcome like '%OVER_HIT%' or outcome like '%UNDER_HIT%' or outcome like '%TOTAL_%' then 'total' when regexp_matches(outcome, '_WIN') then 'moneyline' when regexp_matches(outcome, 'SCORER|REBOUNDER|ASSIST|DOUBLE|TRIPLE|PLAYER_') then 'player_prop' else 'other' end"
 for _name, _player in (("pr01_predictions", False), ("pr02_player_predictions", True)):
     register(_name, lambda fx, player=_player: predict.predictions(q.slate_profiles(fx), q.best(fx), 10, player).select("game_id", "date", "combo", "outcome", *r6("hit_rate", "confidence", "value"), "sample", "place"), with_ctes(
-        f'select * from (select game_id, date, "name" combo, outcome, {sql6("hit_rate", "confidence")}, round("value", 6) "value", "sample", row_number() over (partition by game_id order by m.confidence desc, m."value" desc, m."name", outcome) place from met m {"where " + _any if _player else ""}) where place <= 10', MET))
+        f'select * from (select game_id, date, "name" combo, outcome, {sql6("hit_rate", "confidence")}, round("value" + 1e-11, 6) "value", "sample", row_number() over (partition by game_id order by m.confidence desc, m."value" desc, m."name", outcome) place from met m {"where " + _any if _player else ""}) where place <= 10', MET))
 register("pr02_notable_players", lambda fx: predict.notable_players(fx.once("slate_players", lambda fx: (q.slate_wide(fx), fx.kept["slate_players"])[1])), with_ctes(
     'select * from (select *, row_number() over (partition by game_id order by "rank", player_id) place from (select game_id, player_id, least(coalesce(rank_ppg, 1073741824), coalesce(rank_rpg, 1073741824), coalesce(rank_apg, 1073741824)) "rank", case least(coalesce(rank_ppg, 1073741824), coalesce(rank_rpg, 1073741824), coalesce(rank_apg, 1073741824)) when rank_ppg then \'ppg\' when rank_rpg then \'rpg\' else \'apg\' end "by" from sl_players) where "rank" <= 20) where place <= 6', SLATE))
 _kelly = "least(greatest((100e0 / 110 * hit_rate - (1 - hit_rate)) / (100e0 / 110), 0), 0.25e0)"
@@ -166,6 +166,10 @@ register("prj3_explained", lambda fx: q.game_events(fx).where("kind = 'outcome'"
     f"select game_id, outcome, case {_parts} when regexp_matches(outcome, '^(OVER|UNDER)_HIT') then (home_score + away_score) || ' total (line: ' || total_over::int || ')' when outcome like '%COVERED%' then 'margin ' || {_sign('(home_score - away_score)')} || ' (spread: ' || {_sign('spread_home')} || ')' end explanation from outcomes join wide using (game_id)", GAME_SQL | COUNTS))
 
 
+register("j09_latest_context", lambda fx: predict.latest_before(fx.once("players", lambda fx: (q.game_wide(fx), fx.kept["players"])[1]).join(fx.game.select("game_id", "date"), "game_id"), ["player_id"], "1998-01-01").select("player_id", "game_id", "date", "gp", *r6("ppg")), with_ctes(
+    f"select player_id, game_id, date, gp, {sql6('ppg')} from (select p.*, g.date, row_number() over (partition by p.player_id order by g.date desc, p.game_id desc) n from pctx p join fx_game g on g.game_id = p.game_id where g.date < date '1998-01-01') where n = 1", GAME_SQL))
+
+
 def tipped(fx):
     """Games with a tip-off: none for one in ten, on the day after for another, else on the evening of their date; stored twice where the id ends in 7."""
     tip = F.expr("case when game_id % 10 = 0 then null when game_id % 10 = 1 then timestampadd(day, 1, cast(date as timestamp)) + interval 23 hours else cast(date as timestamp) + interval 23 hours end")
@@ -208,7 +212,7 @@ FOLDS = GAME_SQL | COUNTS | SEASONS | {
     "t4": """select *, p < 0.05 and test_rate > 0.524 significant, p_train > 0.05 or test_rate >= train_rate consistent, least(greatest((test_rate - 0.524e0) / 0.15e0 * 25, 0), 25) edge_score,
         least((case when z >= 1.96 then 10 when z >= 1.65 then 7 when z >= 1.28 then 4 else 0 end) + (case when p < 0.01 then 8 when p < 0.05 then 5 when p < 0.1 then 2 else 0 end) + (case when width < 0.1 then 7 when width < 0.15 then 5 when width < 0.2 then 3 else 0 end), 25) significance_score,
         least((case when test_rate >= train_rate then 15 when lost < 0.05 then 12 when lost < 0.1 then 9 when lost < 0.15 then 6 when lost < 0.25 then 3 else 0 end) + (case when p_train > 0.05 or test_rate >= train_rate then 10 else 0 end), 25) consistency_score,
-        least((case when roi >= 0.1 then 10 when roi >= 0.05 then 8 when roi > 0 then 5 when roi > -0.05 then 2 else 0 end) + (case when max_drawdown < 0.1 then 5 when max_drawdown < 0.2 then 3 when max_drawdown < 0.3 then 1 else 0 end) + (case when sharpe is not null then case when sharpe >= 1.5 then 5 when sharpe >= 1 then 4 when sharpe >= 0.5 then 2 else 0 end when bets >= 30 and roi > 0 then 2 else 0 end) + (case when ev > 0.05 then 5 when ev > 0.02 then 3 when ev > 0 then 1 else 0 end), 25) pnl_score from t3""",
+        least((case when round(roi, 9) >= 0.1 then 10 when round(roi, 9) >= 0.05 then 8 when round(roi, 9) > 0 then 5 when round(roi, 9) > -0.05 then 2 else 0 end) + (case when round(max_drawdown, 9) < 0.1 then 5 when round(max_drawdown, 9) < 0.2 then 3 when round(max_drawdown, 9) < 0.3 then 1 else 0 end) + (case when sharpe is not null then case when round(sharpe, 9) >= 1.5 then 5 when round(sharpe, 9) >= 1 then 4 when round(sharpe, 9) >= 0.5 then 2 else 0 end when bets >= 30 and round(roi, 9) > 0 then 2 else 0 end) + (case when ev > 0.05 then 5 when ev > 0.02 then 3 when ev > 0 then 1 else 0 end), 25) pnl_score from t3""",
     "done": "select *, edge_score + significance_score + consistency_score + pnl_score total_score from t4",
 }
 
@@ -237,21 +241,22 @@ _select = f"select {_fold}, train_n, train_hits, test_n, test_hits, significant,
 _shown = lambda d: d.select(*backtest.FOLD, "train_n", "train_hits", "test_n", "test_hits", "significant", "consistent", "grade", *r6(*_TESTED))
 register("bt02_walk_forward", lambda fx: _shown(done(fx)), with_ctes(_select, FOLDS))
 register("bt02_walk_forward_flat", lambda fx: _shown(done(fx, "flat")), with_ctes(_select, FLAT))
-register("bt03_robust", lambda fx: backtest.robust(done(fx)).select("combo", "outcome", "folds", "test_season", *r6("z")), with_ctes("select combo, outcome, folds, test_season, round(z, 6) z from (select combo, outcome, count(*) folds, min(roi) least_roi, max(z) z, arg_max(test_season, round(z, 9) - test_season * 1e-12) test_season from done group by combo, outcome) where folds = (select count(distinct test_season) from done) and least_roi > 0", FOLDS))
+register("bt03_robust", lambda fx: backtest.robust(done(fx)).select("combo", "outcome", "folds", "test_season", *r6("z")), with_ctes("select combo, outcome, folds, test_season, round(z + 1e-11, 6) z from (select combo, outcome, count(*) folds, min(roi) least_roi, max(z) z, arg_max(test_season, round(z, 9) - test_season * 1e-12) test_season from done group by combo, outcome) where folds = (select count(distinct test_season) from done) and least_roi > 0", FOLDS))
 register("bt04_folds", lambda fx: backtest.fold_summary(done(fx)).select("test_season", "tested", "passed", "degraded", *r6("hit_rate", "edge"), F.round("net", 4).alias("net"), *r6("fold_roi")), with_ctes(
-    "select test_season, count(*) tested, count(case when significant or roi > 0 then 1 end) passed, count(case when test_rate < 0.85e0 * train_rate then 1 end) degraded, round(sum(test_hits) / sum(test_n), 6) hit_rate, round(sum(test_hits) / sum(test_n) - 0.524e0, 6) edge, round(sum(net), 4) net, round(sum(net) / (sum(bets) * 200e0), 6) fold_roi from done group by test_season", FOLDS))
+    "select test_season, count(*) tested, count(case when significant or roi > 0 then 1 end) passed, count(case when test_rate < 0.85e0 * train_rate then 1 end) degraded, round(sum(test_hits) / sum(test_n) + 1e-11, 6) hit_rate, round(sum(test_hits) / sum(test_n) - 0.524e0 + 1e-11, 6) edge, round(sum(net), 4) net, round(sum(net) / (sum(bets) * 200e0) + 1e-11, 6) fold_roi from done group by test_season", FOLDS))
 _results = ("wagered", "net", "roi", "peak", "final", "max_drawdown", "sharpe")
 register("bt06_ledger_flat", lambda fx: backtest.results(book(fx, "flat"), backtest.FOLD).select(*backtest.FOLD, "bets", "wins", *r6(*_results)), with_ctes(
-    f"select {_fold}, count(*) bets, cast(sum(hit) as bigint) wins, round(round(sum(wager), 9), 6) wagered, round(round(sum(profit), 9), 6) net, round(round(sum(profit) / sum(wager), 9), 6) roi, round(round(max(peak), 9), 6) peak, round(round(10000 + sum(profit), 9), 6) final, round(round(max((peak - bankroll) / peak), 9), 6) max_drawdown, round(round(case when count(*) >= 30 and stddev_pop(ret) > 1e-12 then avg(ret) / stddev_pop(ret) end, 9), 6) sharpe from book group by {_fold}", FLAT))
+    f"select {_fold}, count(*) bets, cast(sum(hit) as bigint) wins, round(sum(wager) + 1e-11, 6) wagered, round(sum(profit) + 1e-11, 6) net, round(sum(profit) / sum(wager) + 1e-11, 6) roi, round(max(peak) + 1e-11, 6) peak, round(10000 + sum(profit) + 1e-11, 6) final, round(max((peak - bankroll) / peak) + 1e-11, 6) max_drawdown, round(case when count(*) >= 30 and stddev_pop(ret) > 1e-12 then avg(ret) / stddev_pop(ret) end + 1e-11, 6) sharpe from book group by {_fold}", FLAT))
 register("bt07_combined", lambda fx: backtest.combined(book(fx, "halfKelly"), "test_season").select("test_season", "bets", "wins", *[F.round(c, 4).alias(c) for c in ("net", "peak", "final")], *r6("roi", "max_drawdown")), with_ctes(
-    "select test_season, cast(sum(bets) as bigint) bets, cast(sum(wins) as bigint) wins, round(sum(profit), 4) net, round(max(peak), 4) peak, round(10000 + sum(profit), 4) final, round(sum(profit) / sum(wagered), 6) roi, round(max((peak - bankroll) / peak), 6) max_drawdown from (select *, greatest(10000, max(bankroll) over (partition by test_season order by date)) peak from "
+    "select test_season, cast(sum(bets) as bigint) bets, cast(sum(wins) as bigint) wins, round(sum(profit), 4) net, round(max(peak), 4) peak, round(10000 + sum(profit), 4) final, round(sum(profit) / sum(wagered) + 1e-11, 6) roi, round(max((peak - bankroll) / peak) + 1e-11, 6) max_drawdown from (select *, greatest(10000, max(bankroll) over (partition by test_season order by date)) peak from "
     "(select *, 10000 + sum(profit) over (partition by test_season order by date) bankroll from (select test_season, date, count(*) bets, sum(hit) wins, sum(wager) wagered, sum(profit) profit from book group by test_season, date))) group by test_season", FOLDS))
+register("tk04_by_grade", lambda fx: backtest.report(done(fx)).select(*backtest.FOLD, "grade", *r6("roi")), with_ctes(f"select {_fold}, grade, {sql6('roi')} from (select *, {_letter} from done) order by grade, round(roi, 9) desc, {_fold} limit 100", FOLDS))
 _implied = lambda o: f"(case when {o} > 0 then 100e0 / ({o} + 100) else abs({o}) / (abs({o}) + 100e0) end)"
 _odds = "case when game_id % 7 = 0 then null else cast(-125 + game_id % 31 as int) end"
 register("bt08_closing", lambda fx: backtest.closing_value(bets(fx).withColumn("odds", F.expr(_odds)), ["test_season"]).withColumn("value", F.round("value", 9)), with_ctes(
     f"select test_season, round(avg(v), 9) \"value\", count(case when v > 0 then 1 end) \"above\", count(case when v < 0 then 1 end) \"below\" from (select *, {_implied('-110')} - {_implied(f'coalesce({_odds}, -110)')} v from bets) group by test_season", FOLDS))
 register("snk08_best_results", lambda fx: sinks.best_results(done(fx)).select("combo", "outcome", "test_season", "grade", "grade_score", *r6("z")), with_ctes(
-    f"select combo, outcome, test_season, grade, case grade when 'A' then 90 when 'B' then 75 when 'C' then 60 when 'D' then 45 else 30 end grade_score, round(z, 6) z from (select *, {_letter}, row_number() over (partition by combo, outcome order by z desc, test_season) n from done) where n = 1", FOLDS))
+    f"select combo, outcome, test_season, grade, case grade when 'A' then 90 when 'B' then 75 when 'C' then 60 when 'D' then 45 else 30 end grade_score, round(z + 1e-11, 6) z from (select *, {_letter}, row_number() over (partition by combo, outcome order by z desc, test_season) n from done) where n = 1", FOLDS))
 
 # ---- stored game patterns tested on seasons
 #: Their hits by season: one season out at a time, and the last season alone with the rate of all.
@@ -278,4 +283,4 @@ _order_ctes = lambda parts: {k: parts[k] for k in [*(k for k in parts if k not i
 _last = ("seasons", "by_season", "hundred", "cand", "bets", "staked", "book", "money", "seen", "t1", "t2", "t3", "t4", "done")
 register("bt05_leave_one_out", lambda fx: _shown(backtest.leave_one_out(season_table(fx), q.best_hits(fx))), with_ctes(_select, _order_ctes(OUT)))
 register("bt05_stored", lambda fx: _shown(backtest.stored_test(q.best(fx), season_table(fx), q.best_hits(fx), mining.calendar(q.game_events(fx))[-1])), with_ctes(_select, _order_ctes(LAST)))
-register("bt05_quick", lambda fx: backtest.quick(season_table(fx)).select("combo", "outcome", "seasons", *r6("mean_rate", "spread", "variation"), "stable"), with_ctes("select combo, outcome, count(*) seasons, round(avg(h / n), 6) mean_rate, round(max(h / n) - min(h / n), 6) spread, round(case when count(*) < 2 or avg(h) = 0 then 0 else stddev_pop(h) / avg(h) end, 6) variation, min(h / n) > 0.524 stable from by_season where n >= 3 group by combo, outcome", _order_ctes(OUT)))
+register("bt05_quick", lambda fx: backtest.quick(season_table(fx)).select("combo", "outcome", "seasons", *r6("mean_rate", "spread", "variation"), "stable"), with_ctes("select combo, outcome, count(*) seasons, round(avg(h / n) + 1e-11, 6) mean_rate, round(max(h / n) - min(h / n) + 1e-11, 6) spread, round(case when count(*) < 2 or avg(h) = 0 then 0 else stddev_pop(h) / avg(h) end + 1e-11, 6) variation, min(h / n) > 0.524 stable from by_season where n >= 3 group by combo, outcome", _order_ctes(OUT)))

@@ -46,10 +46,17 @@ def test_values(spark):
 
 
 def test_matches_need_every_condition(spark):
-    own = spark.createDataFrame([(1, ["a", "b", "c"], 1), (2, ["a", "c"], 0), (3, [], 0)], "game_id int, keys array<string>, bits long")
-    patterns = spark.createDataFrame([("a+c", "HOME_COVERED:game"), ("b", "HOME_COVERED:game"), ("a+d", "HOME_COVERED:game")], "combo string, outcome string")
+    keys = mining.CONDITION_KEYS
+    code = {"a": 0, "b": 59, "c": 60, "d": 86}
+    mask = lambda names, low: sum(1 << (code[n] if low else code[n] - 60) for n in names if (code[n] < 60) == low)
+    own = spark.createDataFrame([(g, s, sorted(code[n] for n in names), mask(names, True), mask(names, False), bits) for g, s, names, bits in ((1, 2000, "abc", 1), (2, 2001, "ac", 0), (3, 2000, "", 0))], "game_id int, season int, codes array<int>, low long, high long, bits long")
+    combo = lambda names: sum((code[n] + 1) << (mining.DIGIT * (len(names) - 1 - i)) for i, n in enumerate(names))
+    patterns = spark.createDataFrame([(combo("ac"), 0, 2000), (combo("b"), 0, 2000), (combo("ad"), 0, 2000), (combo("c"), 1, 2001)], "combo long, o int, test_season int")
     got = mining.matches(own, patterns).withColumn("hit", mining.hit_bit())
-    assert sorted((r.game_id, r.combo, r.hit) for r in got.collect()) == [(1, "a+c", 1), (1, "b", 1), (2, "a+c", 0)]
+    assert sorted((r.game_id, r.combo, r.hit) for r in got.collect()) == sorted([(1, combo("ac"), 1), (1, combo("b"), 1), (2, combo("ac"), 0), (1, combo("c"), 0), (2, combo("c"), 0)])
+    own_season = mining.matches(own, patterns, {"season": "test_season"})
+    assert sorted((r.game_id, r.combo) for r in own_season.collect()) == sorted([(1, combo("ac")), (1, combo("b")), (2, combo("c"))])
+    assert [r[0] for r in patterns.where("o = 1").select(mining.combo_name(keys)).collect()] == [keys[60]]
 
 
 def test_grade_summary(spark):

@@ -53,11 +53,17 @@ def test_odds_and_boards(spark, tmp_path):
     rows = landing.odds(spark, write(tmp_path / "o/2024.json", [event])).withColumn("game_id", F.lit(7))
     r = ingest.consensus(ingest.market_pivot(rows, ["game_id", "book"])).first()
     assert (r.book, r.spread_home, r.spread_away, r.total_over, r.ml_away, r.ml_home) == ("consensus", -3.5, 3.5, None, 150, None)
-    board = {"date": "2024-01-01", "games": [{"gameId": "1", "gameStatusText": "Final/OT"}, {"gameId": "2", "gameStatusText": "7:00 pm"}], "teams": [{"gameId": "1", "teamId": 5, "score": 90}, {"gameId": "1", "teamId": 6, "score": 95}], "broadcasts": [{"gameId": "1", "name": "X"}]}
+    board = {"date": "2024-01-01", "games": [{"gameId": "1", "gameStatusText": "Final/OT"}, {"gameId": "2", "gameStatusText": "7:00 pm"}], "teams": [{"gameId": "1", "teamId": 5, "score": 90}, {"gameId": "1", "teamId": 6, "score": 95}], "broadcasts": [{"gameId": "1", "name": "X"}], "leaders": [{"gameId": "1", "teamId": 5, "personId": 9, "points": 30}]}
+    board["teams"][1] |= {"wins": 7, "losses": 2}
     b = landing.scoreboards(spark, write(tmp_path / "b/1.json", board))
     got = {r.gameId: r for r in b.collect()}
     assert (got["1"].away_team_id, got["1"].home_team_id, got["1"].home_score, got["1"].broadcasts) == (5, 6, 95, ["X"]) and got["2"].home_team_id is None
     assert [r.gameId for r in ingest.completed(b).collect()] == ["1"]
+    assert (got["1"].home_wins, got["1"].home_losses, got["1"].away_wins, [x.personId for x in got["1"].leaders]) == (7, 2, 0, [9])
+    boxes = landing.box_scores(spark, write(tmp_path / "x/1.json", {"gameId": "1", "playerStats": []})).unionByName(landing.box_scores(spark, write(tmp_path / "y/3.json", {"gameId": "3"})))
+    assert {r.gameId: (r.home_wins, r.broadcasts) for r in landing.assembled(b, boxes).collect()} == {"1": (7, ["X"]), "3": (0, None)}
+    plan = {"leagueSchedule": {"gameDates": [{"gameDate": "10/01/2024", "games": [{"gameId": "4", "gameDateTimeUTC": "2024-10-01T23:00:00Z", "gameStatusText": "7:00 pm", "homeTeam": {"teamId": 5, "wins": 1}, "awayTeam": {"teamId": 6}}]}]}}
+    assert [(r.gameId, r.home_team_id, r.home_wins, r.away_team_id) for r in landing.schedules(spark, write(tmp_path / "s.json", plan)).collect()] == [("4", 5, 1, 6)]
 
 
 def test_players_by_name(spark):
@@ -76,6 +82,30 @@ def test_sinks(spark, tmp_path):
     assert [r.k for r in sinks.inserted(rows((1, "a", "d", 1)), rows((1, "x", "d", 1), (4, "y", "d", 1), (4, "y", "d", 1)), ["k"]).collect()] == [4]
 
 
+def test_upsert_follows_a_key(spark, tmp_path):
+    """A key whose partition value changes has one row; an emptied partition goes; dates as text stay text; a null value is a partition."""
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, day string")
+    read = lambda: sorted((r.k, r.v, r.day) for r in spark.read.schema("k int, v string, day string").parquet(path).collect())
+    sinks.upsert(rows((1, "a", "2024-01-01"), (2, "b", "2024-01-02"), (3, "c", None)), path, ["k"], "day")
+    assert sorted(sinks.upsert(rows((1, "x", "2024-01-02")), path, ["k"], "day")) == ["2024-01-01", "2024-01-02"]
+    assert read() == [(1, "x", "2024-01-02"), (2, "b", "2024-01-02"), (3, "c", None)]
+    assert not (tmp_path / "t" / "day=2024-01-01").exists()
+    sinks.upsert(rows((3, "y", "2024-01-03"), (1, "z", None)), path, ["k"], "day")
+    assert read() == [(1, "z", None), (2, "b", "2024-01-02"), (3, "y", "2024-01-03")]
+
+
+def test_reload_and_runs(spark, tmp_path):
+    path = str(tmp_path / "p")
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
+    sinks.reload(path, patterns=one(1, 2), hits=one(3))
+    sinks.reload(path, patterns=spark.read.parquet(f"{path}/patterns").where("k > 1"), hits=one(4))
+    assert [r.k for r in spark.read.parquet(f"{path}/patterns").collect()] == [2] and [r.k for r in spark.read.parquet(f"{path}/hits").collect()] == [4]
+    for run, v in (("a", 1), ("b", 2), ("a", 3)):
+        sinks.append_run(path, run, one(v), one(v))
+    assert sorted((r.run_id, r.k) for r in spark.read.parquet(f"{path}/runs").collect()) == [("a", 3), ("b", 2)]
+
+
 def box(i, points, date="2024-01-01"):
     return {"gameId": f"002{i}", "date": date, "season": "2023-24", "homeTeamId": 1, "awayTeamId": 2, "homeScore": 100, "awayScore": 99, "playerStats": [{"personId": 1, "teamId": 1, "minutes": "30:00", "points": points}]}
 
@@ -92,3 +122,8 @@ def test_stream_takes_new_files_once_and_corrections(spark, tmp_path):
     assert sorted((r.source_id, r.points) for r in spark.read.parquet(f"{table}/lines").collect()) == [("0021", 11), ("0022", 20)]
     assert sorted((str(r.date), r.points) for r in spark.read.parquet(derived).collect()) == [("2024-01-01", 11), ("2024-01-02", 20)]
     assert spark.read.parquet(f"{table}/games").count() == 2
+    write(folder / "d.json", box(1, 12, "2024-01-05"))  # a late correction moves the date
+    run()
+    assert sorted((r.source_id, str(r.date)) for r in spark.read.parquet(f"{table}/games").collect()) == [("0021", "2024-01-05"), ("0022", "2024-01-02")]
+    assert sorted((r.source_id, r.points) for r in spark.read.parquet(f"{table}/lines").collect()) == [("0021", 12), ("0022", 20)]
+    assert sorted((str(r.date), r.points) for r in spark.read.parquet(derived).collect()) == [("2024-01-02", 20), ("2024-01-05", 12)]

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from slatewise import registry
 from slatewise.operators import games, mining, night
-
-#: Too slow for every run; compared by hand (see README).
-SLOW = ("pm08_near_duplicates", "pm13_", "pm14_", "pr0", "bt0", "pm09_")
-CHEAP = [n for n in registry.QUERIES if not n.startswith(SLOW)]
+from slatewise.plans import queries as q
+from slatewise.sources.fixtures import frames
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def con(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", registry.QUERIES)
 def test_sql(spark, sf_dir, con, name):
     got, want = registry.QUERIES[name](spark, sf_dir), con.execute(registry.SQL[name])
     columns = [d[0] for d in want.description]
@@ -32,6 +30,29 @@ def test_sql(spark, sf_dir, con, name):
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
 
 
+def test_every_query_has_sql():
+    assert set(registry.SQL) == set(registry.QUERIES)
+
+
+def test_rare_events(spark, sf_dir):
+    """Conditions and outcomes that never hold on the tables, at their bounds."""
+    wide = q.game_wide(frames(spark, sf_dir))
+    row = dict.fromkeys(wide.columns) | {"game_id": 1, "season": 1999, "home_ppg": 104.9, "away_ppg": 104.0, "home_rank_off": 26, "away_rank_off": 25, "home_rank_def": 30, "away_rank_def": 25, "spread_home": -10.5, "total_over": 0.0, "game_secs": 30001, "home_score": 1, "away_score": 1}
+    got = lambda **other: {r.event_key for r in games.game_events(spark.createDataFrame([row | other], wide.schema)).collect()}
+    assert {"BOTH_LOW_SCORING:game", "BOTTOM_5_OFF:home", "BOTTOM_5_DEF:home", "SPREAD_OVER_10:game", "OVERTIME:game"} <= got()
+    assert not {"BOTTOM_5_OFF:away", "BOTTOM_5_DEF:away"} & got()
+    assert not {"BOTH_LOW_SCORING:game", "SPREAD_OVER_10:game", "OVERTIME:game"} & got(home_ppg=105.0, spread_home=10.0, game_secs=30000)
+
+
+def test_plans_stay_small(spark, sf_dir):
+    """No query of mining, predictions or tests scans more than 40 times, however often its parts are used."""
+    fx = frames(spark, sf_dir)
+    for name in ("gc_go_all", "pm01_night_patterns", "pm13_game_patterns", "pm14_scored", "pr03_picks", "pr04_feed", "bt02_walk_forward", "bt05_leave_one_out"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") <= 40, name
+    assert fx is frames(spark, sf_dir)
+
+
 def test_catalog_sizes():
     assert len(night.CATALOG) == 60 and len(games.SIDE) + len(games.GAME) == 53 and len(games.CONDITIONS) == 87 and len(games.OUTCOMES) == 45
 
