@@ -39,21 +39,26 @@ def topic_terms(docs: DataFrame) -> list[str]:
     return [r.w for r in df.where(F.col("n") <= most).orderBy(F.desc("n"), "w").limit(TERMS).collect()]
 
 
-def topic(terms: list[str], words: Column) -> Column:
-    """The cluster of ``terms`` that a text's words fall into most often, of equal ones the first; UNKNOWN where none is a term."""
-    if not terms:
-        return F.lit(UNKNOWN)
+def with_topic(docs: DataFrame, terms: list[str], name: str = "topic") -> DataFrame:
+    """``docs`` (text) with _words and the cluster that most of a text's different ``terms`` fall into, of equal ones the first; UNKNOWN where it has none.
+
+    Each step is a column that the next one names more than once, so that none is worked out again within another."""
+    of = lambda c: lambda w: w == c
     cluster = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % CLUSTERS
-    found = F.transform(F.filter(words, lambda w: w.isin(*terms)), cluster)
-    times = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(CLUSTERS - 1).cast("long")), lambda c: F.size(F.filter(found, lambda w: w == c)))
-    return F.when(F.array_max(times) > 0, F.concat(F.lit("cluster"), (F.array_position(times, F.array_max(times)) - 1).cast("string"))).otherwise(F.lit(UNKNOWN))
+    worded = docs.withColumn("_words", words_of())
+    if not terms:
+        return worded.withColumn(name, F.lit(UNKNOWN))
+    found = worded.withColumn("_found", F.transform(F.array_intersect(F.array(*[F.lit(t) for t in terms]), "_words"), cluster))
+    times = found.withColumn("_times", F.array(*[F.size(F.filter("_found", of(c))) for c in range(CLUSTERS)])).drop("_found")
+    most = F.array_max("_times")
+    return times.withColumn(name, F.when(most > 0, F.concat(F.lit("cluster"), (F.array_position("_times", most) - 1).cast("string"))).otherwise(F.lit(UNKNOWN))).drop("_times")
 
 
 def with_cells(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, source, lang, topic and tokens (words, one at least) of each row; null categories become UNKNOWN."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in ("source", "lang")]
-    words = docs.select("doc_id", *named, words_of().alias("words"))
-    return words.select("doc_id", "source", "lang", topic(terms, F.col("words")).alias("topic"), F.greatest(F.size("words"), F.lit(1)).cast("long").alias("tokens"))
+    told = with_topic(docs.select("doc_id", *named, "text"), terms)
+    return told.select("doc_id", "source", "lang", "topic", F.greatest(F.size("_words"), F.lit(1)).cast("long").alias("tokens"))
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -117,8 +122,8 @@ def uniform(doc_id: str, seed: str) -> Column:
 def mix(docs: DataFrame, seed: str = "mix", temper: dict[str, float] = TEMPER) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability and sampled for each row of ``docs`` (doc_id, text, source, lang).
 
-    Token weights are raked to tempered marginals of source, language and topic, which is a text's most frequent one of the
-    corpus's topic terms. A document's probability is its cell's ratio over the largest of all, so that sampled tokens keep the raked
+    Token weights are raked to tempered marginals of source, language and topic, which is the cluster that most of a text's
+    topic terms fall into. A document's probability is its cell's ratio over the largest of all, so that sampled tokens keep the raked
     proportions; it is sampled where its id's uniform number lies below. Null texts count one token,
     null categories are one of their own, an empty table gives no rows, rows of one id fare alike."""
     counted = keep(with_cells(docs, topic_terms(docs)), "counted")
@@ -138,9 +143,10 @@ def sample(docs: DataFrame, seed: str = "mix") -> DataFrame:
     terms = topic_terms(docs)
     share = calibrated(with_cells(docs, terms))
     share = sent(share.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_probability")))
+    told = with_topic(docs, terms, "_own").drop("_words")
     named = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in ("source", "lang")]
-    on = [a == F.col(f"_{c}") for a, c in zip([*named, topic(terms, words_of())], DIMENSIONS, strict=True)]
-    return docs.join(share, on).where(uniform("doc_id", seed) < F.col("_probability")).select(*docs.columns)
+    on = [a == F.col(f"_{c}") for a, c in zip([*named, F.col("_own")], DIMENSIONS, strict=True)]
+    return told.join(share, on).where(uniform("doc_id", seed) < F.col("_probability")).select(*docs.columns)
 
 
 def mix_sql(seed: str = "mix", rounds: int = SQL_ROUNDS, temper: dict[str, float] = TEMPER, docs: str = "documents") -> tuple[list[str], str]:
@@ -148,7 +154,7 @@ def mix_sql(seed: str = "mix", rounds: int = SQL_ROUNDS, temper: dict[str, float
     parts = [
         f"worded as materialized (select doc_id, source, lang, regexp_extract_all(coalesce(text,''), '{WORD}') w from {docs})",
         f"terms as materialized (select coalesce(list(t order by n desc, t), []) a from (select t, count(*) n from (select unnest(list_distinct(w)) t from worded) where regexp_full_match(t, '{TERM}') group by t having count(*) >= {LEAST_DOCS} and count(*) <= {COMMON} * (select count(*) from {docs}) order by n desc, t limit {TERMS}))",
-        f"hit as materialized (select doc_id, source, lang, w, list_transform(list_filter(w, lambda x: list_contains(a, x)), lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % {CLUSTERS}) c from worded, terms)",
+        f"hit as materialized (select doc_id, source, lang, w, list_transform(list_filter(a, lambda x: list_contains(w, x)), lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % {CLUSTERS}) c from worded, terms)",
         f"counted as materialized (select doc_id, coalesce(source, '{UNKNOWN}') source, coalesce(lang, '{UNKNOWN}') lang, case when len(c) > 0 then 'cluster' || (list_position(times, list_max(times)) - 1) else '{UNKNOWN}' end topic, greatest(len(w), 1)::bigint tokens from (select *, list_transform(range({CLUSTERS}), lambda t: len(list_filter(c, lambda x: x = t))) times from hit))",
         "cells as (select source, lang, topic, sum(tokens)::double tokens, sum(tokens)::double weight, 0e0 moved, false settled from counted group by all)",
     ]
