@@ -10,42 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.llm.common import in_arrow, keep
+from slatewise.llm.vectors import LONG, best, blocks, by_score, dense, largest, score_columns, usable, whole
 
 #: Queries of one block, candidates of one block: a block of scores is their product.
 QUERIES, CANDIDATES = 512, 8192
 #: Bytes of queries that one round over the candidates answers: the bound of each broadcast.
 SENT_QUERIES = 16 << 20
-#: Doubles of at least this size are whole numbers.
-WHOLE = float(1 << 52)
-LONG = (1 << 63) - 1
-#: More bits than the product of any two scaled doubles has, summed.
-WIDE_BITS = 2176
+SCALE = 1024
 
 FOUND = "ask long, query_id long, vec_id long, own boolean, score long, wide binary"
 
 
-def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
-    """(id, terms array<double>) with the whole numbers floor(scale * x); rows with a null id, a null vector or a null or
-    non-finite component are left out. ``scale`` is a power of two. A component that doesn't stay finite when scaled keeps its
-    sign's largest double."""
+def integer_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, terms array<double>); rows with a null id, a null vector or a null or non-finite component are left out.
+    Tasks make whole numbers of the components (see vectors.whole), so that no finite one overflows."""
     x = F.col(vec_col)
-    usable = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    scaled = F.transform(x, lambda c: c.cast("double") * F.lit(float(scale)))
-    whole = F.transform(scaled, lambda c: F.when(F.abs(c) < F.lit(WHOLE), F.floor(c).cast("double")).otherwise(c))
-    return df.where(F.col(id_col).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("terms"))
-
-
-def dense(terms: pa.Array, width: int | None = None) -> np.ndarray:
-    """The vectors of a list column as rows, short ones filled up with zeros."""
-    offsets = terms.offsets.to_numpy()
-    flat = terms.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    n = np.diff(offsets)
-    width = int(n.max(initial=0)) if width is None else width
-    out = np.zeros((len(n), width))
-    col = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], n)
-    inside = col < width
-    out[np.repeat(np.arange(len(n)), n)[inside], col[inside]] = flat[inside]
-    return out
+    return df.where(F.col(id_col).isNotNull() & usable(x)).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("terms"))
 
 
 def accumulate(weights: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int, kind: type) -> np.ndarray:
@@ -60,37 +40,17 @@ def accumulate(weights: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]
     return scores
 
 
-def _exact(values: np.ndarray) -> np.ndarray:
-    """Whole doubles as Python integers."""
-    return np.array([int(v) for v in values.ravel()], dtype=object).reshape(values.shape)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    at = np.arange(len(scores))
-    if len(scores) > k and scores.dtype != object:
-        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    if scores.dtype == object:
-        return np.array(sorted(at.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
-
-
-def _wide(score: int) -> bytes | None:
-    """A score beyond 64 bits as bytes that sort as it does; null within."""
-    return None if -LONG <= score < LONG else (score + (1 << WIDE_BITS - 1)).to_bytes(WIDE_BITS // 8, "big")
-
-
-def search(candidates: DataFrame, queries: DataFrame, k: int = 10, sent: int = SENT_QUERIES) -> DataFrame:
-    """For each row of ``queries`` (id, terms) the k candidates (id, terms) of highest inner product.
+def search(candidates: DataFrame, queries: DataFrame, k: int = 10, sent: int = SENT_QUERIES, scale: int = SCALE) -> DataFrame:
+    """For each row of ``queries`` (id, terms) the k candidates (id, terms) of highest inner product of floor(scale * x).
 
     Queries and candidates meet in blocks: a round sends at most ``sent`` bytes of queries, and every block
     of candidates, scanned once a round, meets every block of them. There the query's terms scatter their weighted
     postings into a dense score array; a block of candidates gives a few rows for each query, which a window merges.
     With more than one round each ends in a kept table, so that the driver holds one round's queries and no plan grows.
-    Sums are of 64-bit integers, and of Python's where a block's components are too large for those. A score
-    beyond 64 bits ranks by its true value and is given as the nearest 64-bit number. A query's own row (its id and
-    vector) is left out once: of repeated rows the others stay, and each of repeated queries asks. Missing
-    components count as zero; an empty side gives no rows."""
+    Sums are of 64-bit integers, and of Python's where a block's components are too large for those: all finite
+    doubles are exact. A score beyond 64 bits ranks by its true value and is given as the nearest 64-bit number. A
+    query's own row (its id and vector) is left out once: of repeated rows the others stay, and each of repeated
+    queries asks. Missing components count as zero; an empty side gives no rows."""
     spark = candidates.sparkSession
     width = queries.agg(F.max(F.size("terms"))).first()[0]
     asked = queries.select("id", "terms")
@@ -102,57 +62,42 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, sent: int = S
     for r in range(rounds):
         rows = asked.where(F.col("round") == r).select("id", "terms").toArrow()
         own = spark.sparkContext.broadcast((r << 40, rows["id"].to_numpy(), dense(rows["terms"].combine_chunks(), width or 0)))
-        part = in_arrow(candidates.select("id", "terms"), lambda batches, own=own: _answer(batches, *own.value, k), FOUND)
+        part = in_arrow(candidates.select("terms", "id"), lambda batches, own=own: _answer(batches, *own.value, k, scale), FOUND)
         if rounds > 1:
             part = keep(part, "round")
             own.destroy()
         found = part if found is None else found.unionByName(part)
     itself = Window.partitionBy("ask").orderBy(F.desc("own"), F.desc("score"))
-    best = Window.partitionBy("ask").orderBy(F.desc("score"), F.when(F.col("score") > 0, F.col("wide")).desc_nulls_last(), F.when(F.col("score") < 0, F.col("wide")).desc_nulls_first(), F.asc("vec_id"))
+    first = Window.partitionBy("ask").orderBy(*by_score(), F.asc("vec_id"))
     other = found.withColumn("n", F.row_number().over(itself)).where("not (own and n = 1)")
-    return other.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return other.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _answer(batches: Iterator[pa.RecordBatch], first: int, own: np.ndarray, weights: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch], first: int, own: np.ndarray, weights: np.ndarray, k: int, scale: int) -> Iterator[pa.RecordBatch]:
     """The k + 1 best candidates of one task for each query: one of them may be the query's own row."""
     kept: list[tuple | None] = [None] * len(own)
-    most = float(np.abs(weights).max(initial=0.0)) * weights.shape[1]
-    native = weights.astype(np.int64) if most < LONG // 2 else None
-    ids, vectors, n = [], [], 0
-
-    def block() -> None:
-        names, values = np.concatenate(ids), np.concatenate(vectors)
-        small = native is not None and float(np.abs(values).max(initial=0.0)) * most < LONG // 2
-        whole = native if small else _exact(weights)
-        held = values.astype(np.int64) if small else _exact(values)
-        postings = [(at := np.flatnonzero(column), column[at]) for column in np.ascontiguousarray(held.T)]
+    asked = whole(weights, scale)
+    most = largest(asked) * weights.shape[1]
+    for values, names in blocks(batches, CANDIDATES, weights.shape[1]):
+        held = whole(values, scale)
+        small = asked.dtype != object and held.dtype != object and largest(held) * most < LONG // 2
+        kind = np.int64 if small else object
+        terms = asked.astype(kind)
+        postings = [(at := np.flatnonzero(column), column[at]) for column in np.ascontiguousarray(held.T.astype(kind))]
         for at in range(0, len(own), QUERIES):
             for q in range(at, min(at + QUERIES, len(own))):
-                scores = accumulate(whole[q], postings, len(names), np.int64 if small else object)
+                scores = accumulate(terms[q], postings, len(names), kind)
                 mine = np.zeros(len(names), dtype=bool)
                 same = np.flatnonzero(names == own[q])
                 mine[same] = (values[same] == weights[q]).all(axis=1)
-                i = _best(names, scores, k + 1)
+                i = best(names, scores, k + 1)
                 new = names[i], scores[i], mine[i]
                 if kept[q] is not None:
                     new = tuple(np.concatenate(x) for x in zip(kept[q], new, strict=True))
-                    i = _best(new[0], new[1], k + 1)
+                    i = best(new[0], new[1], k + 1)
                     new = tuple(x[i] for x in new)
                 kept[q] = new
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, CANDIDATES):
-            part = batch.slice(at, CANDIDATES)
-            if n + part.num_rows > CANDIDATES:
-                block()
-                ids, vectors, n = [], [], 0
-            ids.append(part.column("id").to_numpy())
-            vectors.append(dense(part.column("terms"), weights.shape[1]))
-            n += part.num_rows
-    if n:
-        block()
     for q, held in enumerate(kept):
         if held is not None:
-            scores = [int(s) for s in held[1]]
-            m = len(scores)
-            yield pa.RecordBatch.from_arrays([pa.array([first + q] * m, pa.int64()), pa.array([int(own[q])] * m, pa.int64()), pa.array(held[0]), pa.array(held[2]), pa.array([min(max(s, -LONG - 1), LONG) for s in scores], pa.int64()), pa.array([_wide(s) for s in scores], pa.binary())], names=[c.split()[0] for c in FOUND.split(", ")])
+            m = len(held[0])
+            yield pa.RecordBatch.from_arrays([pa.array([first + q] * m, pa.int64()), pa.array([int(own[q])] * m, pa.int64()), pa.array(held[0]), pa.array(held[2]), *score_columns(held[1])], names=[c.split()[0] for c in FOUND.split(", ")])
