@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm import fingerprints, language, mixing, negatives, ngram_join, packing, prefix_trie, resample, secrets, topk, urls, warc
+from slatewise.llm import fingerprints, language, mixing, negatives, ngram_join, packing, prefix_trie, resample, retrieval_packing, secrets, topk, urls, warc
 from slatewise.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_importance_resampling, op2_secret_scan, op3_warc_transactions, op4_host_reputation, op5_best_fit_packing,
         op6_canonical_digest, op7_exact_topk, op8_mixing, op9_language_id, op10_ngram_jaccard,
-        op12_hard_negatives, op13_prefix_trie,
+        op11_retrieval_packing, op12_hard_negatives, op13_prefix_trie,
     )
 }
 
