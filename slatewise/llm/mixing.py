@@ -26,7 +26,8 @@ CLUSTERS = 8
 
 
 def words_of(text: str = "text") -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    """The words of a text, those of WORD: it is split at single blanks once all white space is one."""
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", " " * 5), " "), "")
 
 
 def topic_terms(docs: DataFrame) -> list[str]:
@@ -139,14 +140,16 @@ def calibrated(counted: DataFrame, temper: dict[str, float] = TEMPER) -> DataFra
 
 
 def sample(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The sampled rows of ``docs``, all columns (see mix)."""
-    terms = topic_terms(docs)
-    share = calibrated(with_cells(docs, terms))
-    share = sent(share.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], F.col("probability").alias("_probability")))
-    told = with_topic(docs, terms, "_own").drop("_words")
-    named = [F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in ("source", "lang")]
-    on = [a == F.col(f"_{c}") for a, c in zip([*named, F.col("_own")], DIMENSIONS, strict=True)]
-    return told.join(share, on).where(uniform("doc_id", seed) < F.col("_probability")).select(*docs.columns)
+    """The sampled rows of ``docs``, all columns (see mix).
+
+    Rows are written once beside their cell, so that each text is split twice in all, for the terms and for its topic, and
+    no filter on the cell works it out again."""
+    own = {f"_own_{c}": F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in ("source", "lang")}
+    told = with_topic(docs, topic_terms(docs), "_own_topic").withColumns(own | {"_own_tokens": F.greatest(F.size("_words"), F.lit(1)).cast("long")}).drop("_words")
+    told = keep(told, "told")
+    share = calibrated(told.select(*[F.col(f"_own_{c}").alias(c) for c in DIMENSIONS], F.col("_own_tokens").alias("tokens")))
+    share = sent(share.select(*[F.col(c).alias(f"_own_{c}") for c in DIMENSIONS], F.col("probability").alias("_own_probability")))
+    return told.join(share, [f"_own_{c}" for c in DIMENSIONS]).where(uniform("doc_id", seed) < F.col("_own_probability")).select(*docs.columns)
 
 
 def mix_sql(seed: str = "mix", rounds: int = SQL_ROUNDS, temper: dict[str, float] = TEMPER, docs: str = "documents") -> tuple[list[str], str]:

@@ -1,4 +1,4 @@
-"""Secret scans: base findings, and weak candidates that complementary parts nearby make credible."""
+"""Secret scans: base findings, and weak candidates that complementary parts of their scope make credible."""
 
 from __future__ import annotations
 
@@ -24,10 +24,6 @@ WEAK_SECRET = re.compile(r"""\b(?:pass|pwd|passphrase|credentials?|private_?key|
 HOST = re.compile(r"""\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,}""", re.IGNORECASE | re.ASCII)
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9.-]+[^\s\"'<>]*")
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
-#: Code points between a candidate and its counterpart, at most: scopes up to this long link anywhere, longer ones (a whole
-#: text on one line) only what lies this near.
-REACH = 1000
-
 PARTS = "array<struct<kind: int, role: int, start: long, end: long, scope: long, weak: boolean>>"
 #: Roles of KINDS: 0 names an account, 1 is a secret, 2 an endpoint.
 ROLE = (1, 0, 1, 0, 1, 2)
@@ -106,24 +102,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), find, f"doc_id long, text_hash long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, parts {PARTS}")
 
 
-def linked_spans(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Weak candidates of ``parts`` (row, kind, role, start, end, scope, weak) with a counterpart in reach.
+def linked_spans(parts: DataFrame, reach: int | None = None) -> DataFrame:
+    """Weak candidates of ``parts`` (row, kind, role, start, end, scope, weak) with a counterpart in their scope.
 
-    An identifier or an endpoint needs a secret, a weak secret needs one of both, in the same scope and
-    at most ``reach`` code points away. The interval join is an equi-join: positions fall in cells of
-    ``reach``; a cell keeps the first start and the last end of each role, which decide for it and its
-    neighbours whether any part is near enough. So a group's pairs are never made."""
+    An identifier or an endpoint needs a secret, a weak secret needs one of both, anywhere in the same scope: the scope's
+    interval, with the roles that lie in it, meets the candidates in it, and a group's pairs are never made. With a
+    ``reach`` the counterpart must also lie at most so many code points away. Then positions fall in cells of ``reach``;
+    a cell keeps the first start and the last end of each role, which decide for it and its neighbours whether any part is near enough."""
+    need = F.when(F.col("role") == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))
+    if reach is None:
+        scopes = parts.groupBy("row", "scope").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("role"))).alias("roles"))
+        asks = F.when(F.col("role") == 1, 0b101).otherwise(0b010)
+        return parts.where("weak").join(scopes, ["row", "scope"]).where(F.col("roles").bitwiseAND(asks) != 0).select("row", "kind", "start", "end").distinct()
     cell = lambda c: F.floor(F.col(c) / F.lit(reach))
     cells = parts.select("row", "scope", "role", "start", "end", F.explode(F.sequence(cell("start"), cell("end"))).alias("cell"))
     near = cells.groupBy("row", "scope", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    need = F.when(F.col("role") == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))
     weak = parts.where("weak").withColumn("role", F.explode(need)).withColumn("cell", F.explode(F.sequence(cell("start") - 1, cell("end") + 1)))
     close = (F.col("first") - F.col("end") <= reach) & (F.col("start") - F.col("last") <= reach)
     inner = F.col("cell").between(cell("start"), cell("end"))
     return weak.join(near, ["row", "scope", "cell", "role"]).where(close | inner).select("row", "kind", "start", "end").distinct()
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), n_linked, text_hash for each row.
 
     Base findings always stay. A weak candidate is reported only where a complementary part co-occurs

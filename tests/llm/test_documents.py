@@ -53,11 +53,11 @@ def test_secrets_link(spark):
     texts = {
         1: "user: bob99 pwd: hunter2 host: db.example.net", 2: "pwd: hunter2 alone", 3: f"login=bob99{far} pwd=hunter2", 4: "user: bob99\n\npwd: hunter2",
         5: "token = abcdef1234 see https://api.example.net/x", 6: "see https://api.example.net/x and https://b.example.net", 7: "token=abc AKIA12345 x",
-        8: "user: bob99\r\n\r\npwd: hunter2", 9: "user: bob99\n \t\npwd: hunter2", 10: "user: bob99\r\npwd: hunter2", 11: f"login=bob99{pad}\nx\npwd=hunter2", 12: "user: bob99\r\rpwd: hunter2",
+        13: "user: bob99\n" + "some=config\n" * 120 + "pwd: hunter2", 8: "user: bob99\r\n\r\npwd: hunter2", 9: "user: bob99\n \t\npwd: hunter2", 10: "user: bob99\r\npwd: hunter2", 11: f"login=bob99{pad}\nx\npwd=hunter2", 12: "user: bob99\r\rpwd: hunter2",
     }
     frame = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
     got = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in rows_of(secrets.scan_secrets(frame))}
-    assert got == {1: ["identifier", "weak_secret", "endpoint"], 2: [], 3: [], 4: [], 5: ["assign", "endpoint"], 6: [], 7: ["weak_secret", "identifier"], 8: [], 9: [], 10: ["identifier", "weak_secret"], 11: ["identifier", "weak_secret"], 12: []}
+    assert got == {1: ["identifier", "weak_secret", "endpoint"], 2: [], 3: ["identifier", "weak_secret"], 4: [], 5: ["assign", "endpoint"], 6: [], 7: ["weak_secret", "identifier"], 8: [], 9: [], 10: ["identifier", "weak_secret"], 11: ["identifier", "weak_secret"], 12: [], 13: ["identifier", "weak_secret"]}
     spans = {r["doc_id"]: r["spans"] for r in rows_of(secrets.scan_secrets(frame))}
     assert secrets.redact(texts[1], spans[1]) == "<SECRET> <SECRET> <SECRET>"
     assert secrets.redact(None, "assign:0:1") is None
@@ -67,7 +67,7 @@ def brute_link(parts, reach):
     out = set()
     for row, kind, role, s, e, scope, weak in parts:
         need = (0, 2) if role == 1 else (1,)
-        if weak and any(r2 == row and o in need and c2 == scope and s2 - e <= reach and s - e2 <= reach for r2, _, o, s2, e2, c2, _ in parts):
+        if weak and any(r2 == row and o in need and c2 == scope and (reach is None or s2 - e <= reach and s - e2 <= reach) for r2, _, o, s2, e2, c2, _ in parts):
             out.add((row, kind, s, e))
     return out
 
@@ -76,10 +76,28 @@ def test_interval_join(spark):
     rng = np.random.default_rng(5)
     parts = [(int(rng.integers(3)), int(rng.integers(6)), int(rng.integers(3)), s := int(rng.integers(900)), s + int(rng.integers(1, 90)), int(rng.integers(2)), bool(rng.integers(2))) for _ in range(300)]
     frame = spark.createDataFrame(parts, "row long, kind int, role int, start long, end long, scope long, weak boolean")
-    for reach in (5, 40):
+    for reach in (5, 40, None):
         assert {tuple(r) for r in secrets.linked_spans(frame, reach).collect()} == brute_link(parts, reach)
 
 
+def test_secrets_of_whole_scopes(spark, docs):
+    """Every text of the table: base spans, and each weak one whose scope, block of lines by block, has what it lacks."""
+    got = {}
+    for r in rows_of(secrets.scan_secrets(docs)):
+        got.setdefault(r["doc_id"], []).append(r["spans"])
+    for r in docs.collect():
+        text = r.text or ""
+        base = secrets.base_spans(text)
+        parts = [(s, k, e, False) for k, s, e in base] + [(s, k, e, True) for k, s, e in secrets.weak_spans(text, base)]
+        block, lines = [], 0
+        for line in text.splitlines(keepends=True):
+            lines += line.isspace()
+            block += [lines] * len(line)
+        roles = {(block[s], secrets.ROLE[k]) for s, k, e, _ in parts}
+        want = sorted({(s, k, e) for s, k, e, weak in parts if not weak or any((block[s], o) in roles for o in ((0, 2) if secrets.ROLE[k] == 1 else (1,)))})
+        assert ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want) in got[r.doc_id], r.doc_id
+
+
 def canonical(text):
     return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold()).split()).encode()
 
