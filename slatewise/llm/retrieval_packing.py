@@ -181,19 +181,31 @@ def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
         yield out
 
 
-def _keys(idf: np.ndarray, average: float, kind: str) -> Callable:
-    """Adds the two tokens of most weight of each rest: documents next to each other in that order share what tells them from others."""
+def ranks(idf: np.ndarray) -> np.ndarray:
+    """The place of each token in the order of falling ``idf``, then of its number; those that weigh nothing share the last place."""
+    order = np.lexsort((np.arange(len(idf)), -idf))
+    out = np.empty(len(idf), dtype=np.int32)
+    out[order] = np.arange(len(idf))
+    out[idf <= 0] = len(idf)
+    return out
+
+
+def rarest(items: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second rank among each item's tokens; the last place where there is none."""
+    starts = np.concatenate([[0], np.cumsum([len(i) for i in items])[:-1]]).astype(np.int64)
+    place = rank[np.concatenate(items)]
+    first = np.minimum.reduceat(place, starts)
+    place[place == np.repeat(first, [len(i) for i in items])] = len(rank)
+    return first, np.minimum.reduceat(place, starts)
+
+
+def _keys(rank: np.ndarray, kind: str) -> Callable:
+    """Adds the ranks of the two tokens of each rest that tell most: documents next to each other in that order share what tells them from others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1024):
-            items = [np.frombuffer(i.as_buffer(), dtype=kind) for i in batch.column(4)]
-            index = Index(items, idf, average)
-            top = np.full((len(items), 2), -1)
-            for i in range(len(items)):
-                terms, weights = index.of(i)
-                best = np.lexsort((terms, -weights))[:2]
-                top[i, : len(best)] = terms[best]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top[:, 0], pa.int32()), pa.array(top[:, 1], pa.int32())], names=[*batch.schema.names, "first", "second"])
+            first, second = rarest([np.frombuffer(i.as_buffer(), dtype=kind) for i in batch.column(4)], rank)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=[*batch.schema.names, "first", "second"])
 
     return run
 
@@ -243,7 +255,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: every piece of every document and its place.
 
     A document is its ids and one SEPARATOR. Its full windows are sequences of their own; its rest is packed with its neighbours.
-    The index is sharded: rests are dealt by ranges of their two tokens of most weight, then of their number, so that those
+    The index is sharded: rests are dealt by ranges of their two tokens of highest idf, then of their number, so that those
     alike share a shard and a token that a third of them have takes many; SHARD of them have an index, with the idf of
     all documents, and fill windows (see windows). What a task has left, less than a window, meets others' in further
     rounds; the last incomplete window is cut at powers of two, so nothing is padded. Null texts are empty; repeated rows
@@ -258,7 +270,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     order = ("first", "second", "item")
     rests = tokens.where("ids is not null").select("doc_id", "doc_tokens", "start", "length", "ids", "item")
-    rests = in_arrow(rests, lambda batches: _keys(shared.value, average, kind)(batches), "doc_id long, doc_tokens long, start long, length long, ids binary, item long, first int, second int")
+    rests = in_arrow(rests, lambda batches: _keys(ranks(shared.value), kind)(batches), "doc_id long, doc_tokens long, start long, length long, ids binary, item long, first int, second int")
     out, level, tasks = heads, 0, max(per_task(docs), -(-n // TASK))
     while True:
         dealt = rests.repartitionByRange(tasks, *order).sortWithinPartitions(*order)

@@ -94,6 +94,14 @@ def test_scores():
         index = rp.Index(items, idf, average)
 
 
+def test_rarest():
+    idf = np.array([0.0, 2.0, 5.0, 2.0, 0.0, 1.0])
+    rank = rp.ranks(idf)
+    assert rank.tolist() == [6, 1, 0, 2, 6, 3]
+    first, second = rp.rarest([np.array([5, 2, 2, 0]), np.array([0]), np.array([3, 1]), np.array([5, 5])], rank)
+    assert first.tolist() == [0, 6, 1, 3] and second.tolist() == [3, 6, 2, 6]
+
+
 def test_greedy_filling():
     """Each window is the one of a plain greedy run over the same scores."""
     rng = np.random.default_rng(6)
