@@ -102,13 +102,13 @@ def _steps(value: Column, bounds: list[tuple[float, int]], test: str = ">=") ->
     return out
 
 
-def grade(train_rate: Column, rate: Column, z: Column, p: Column, width: Column, p_train: Column, roi: Column, drawdown: Column, sharpe: Column, n_bets: Column, ev: Column) -> dict[str, Column]:
+def grade(train_rate: Column, rate: Column, z: Column, p: Column, width: Column, consistent: Column, roi: Column, drawdown: Column, sharpe: Column, n_bets: Column, ev: Column) -> dict[str, Column]:
     """Four scores of 0 to 25, their total and the letter. Bounds and points are fixed values; money is held against them to nine digits."""
     roi, drawdown, sharpe = F.round(roi, 9), F.round(drawdown, 9), F.round(sharpe, 9)
     edge = F.least(F.greatest((rate - BREAK_EVEN) / 0.15 * 25, F.lit(0.0)), F.lit(25.0))
     sure = _steps(z, [(1.96, 10), (1.65, 7), (1.28, 4)]) + _steps(p, [(0.01, 8), (0.05, 5), (0.10, 2)], "<") + _steps(width, [(0.10, 7), (0.15, 5), (0.20, 3)], "<")
     lost = (train_rate - rate) / train_rate
-    steady = F.when(rate >= train_rate, 15).otherwise(_steps(lost, [(0.05, 12), (0.10, 9), (0.15, 6), (0.25, 3)], "<")) + F.when((p_train > 0.05) | (rate >= train_rate), 10).otherwise(0)
+    steady = F.when(rate >= train_rate, 15).otherwise(_steps(lost, [(0.05, 12), (0.10, 9), (0.15, 6), (0.25, 3)], "<")) + F.when(consistent, 10).otherwise(0)
     money = F.when(roi >= 0.10, 10).when(roi >= 0.05, 8).when(roi > 0, 5).when(roi > -0.05, 2).otherwise(0) + _steps(drawdown, [(0.10, 5), (0.20, 3), (0.30, 1)], "<")
     money = money + F.when(sharpe.isNotNull(), _steps(sharpe, [(1.5, 5), (1.0, 4), (0.5, 2)])).when((n_bets >= 30) & (roi > 0), 2).otherwise(0) + F.when(ev > 0.05, 5).when(ev > 0.02, 3).when(ev > 0, 1).otherwise(0)
     parts = {"edge_score": edge, "significance_score": F.least(sure, F.lit(25)), "consistency_score": F.least(steady, F.lit(25)), "pnl_score": F.least(money, F.lit(25))}
@@ -144,8 +144,9 @@ def tested(found: DataFrame, placed: DataFrame, book: DataFrame, min_test: int =
     rate = F.col("rate") if "rate" in found.columns else train[0] / train[1]
     t = t.withColumns({"train_rate": rate, "test_rate": h / n, "z": z_score(h, n), "z_train": two_z(h, n, *train), "low": low, "high": high, "chi": chi, "chi_p": chi_p})
     t = t.withColumns({"p": p_value(F.col("z")), "p_train": p_value(F.col("z_train")), "ev": F.col("train_rate") * (decimal_odds(F.lit(ODDS)) - 1) - (1 - F.col("train_rate"))})
-    t = t.withColumns({"significant": (F.col("p") < 0.05) & (F.col("test_rate") > BREAK_EVEN), "consistent": (F.col("p_train") > 0.05) | (F.col("test_rate") >= F.col("train_rate"))})
-    marks = grade(*[F.col(c) for c in ("train_rate", "test_rate", "z", "p")], F.col("high") - F.col("low"), *[F.col(c) for c in ("p_train", "roi", "max_drawdown", "sharpe", "bets", "ev")])
+    trained = F.coalesce(F.try_divide(*train), F.lit(0.0))  # not ``rate``: consistency is with the games of the training
+    t = t.withColumns({"significant": (F.col("p") < 0.05) & (F.col("test_rate") > BREAK_EVEN), "consistent": (F.col("p_train") > 0.05) | (F.col("test_rate") >= trained)})
+    marks = grade(*[F.col(c) for c in ("train_rate", "test_rate", "z", "p")], F.col("high") - F.col("low"), *[F.col(c) for c in ("consistent", "roi", "max_drawdown", "sharpe", "bets", "ev")])
     return t.withColumns({k: v for k, v in marks.items()}).withColumn("summary", grade_summary())
 
 

@@ -45,9 +45,14 @@ def split_orphans(lines: DataFrame, game: DataFrame) -> tuple[DataFrame, DataFra
     return lines.join(game.select("game_id"), "game_id", "left_semi"), lines.join(game.select("game_id"), "game_id", "left_anti").withColumn("reason", F.lit("NO_GAME_MATCH"))
 
 
+def game_date(date: Column, time: Column) -> Column:
+    """A box score's date: its own, else the Eastern date of its tip-off."""
+    return F.coalesce(date_only(date), eastern_date(time.try_cast("timestamp")))
+
+
 def box_games(box: DataFrame) -> DataFrame:
     """A game row per box score, with its season, its kind of season and defaults for what is missing."""
-    date = F.coalesce(date_only(F.col("date")), eastern_date(F.col("gameTimeUTC").try_cast("timestamp")))
+    date = game_date(F.col("date"), F.col("gameTimeUTC"))
     return box.select(
         F.col("gameId").alias("source_id"), date.alias("date"), F.coalesce(season_of_label(F.col("season")), season_of(date)).alias("season"), season_type(F.col("gameId")).alias("season_type"), "homeTeamId", "awayTeamId",
         F.coalesce("homeScore", F.lit(0)).alias("home_score"), F.coalesce("awayScore", F.lit(0)).alias("away_score"), F.coalesce("status", F.lit("Final")).alias("status"),

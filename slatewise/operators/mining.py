@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions.significance import BREAK_EVEN
+from slatewise.operators import vertical
 from slatewise.operators.games import CONDITIONS, OUTCOMES
 from slatewise.sources.kept import keep
 
@@ -16,6 +17,8 @@ OUTCOME_KEYS = tuple(f"{k}:game" for k in OUTCOMES)
 CONDITION_KEYS = tuple(sorted(CONDITIONS))
 #: A combination of numbered keys is one number: a digit of this base for each key, from 1, the first key first.
 DIGIT = 7
+#: Games that a condition pattern must have.
+LEAST = 15
 #: Patterns that are stored: of nights, of games.
 STORED, STORED_GAMES = 5000, 2000
 #: A season's nights have a bit each in so many 64-bit words, from the first of August before it (448 days: late ends fit).
@@ -162,7 +165,7 @@ def stored(patterns: DataFrame, n: int = STORED) -> DataFrame:
     return patterns.orderBy(F.desc("overall"), "combo").limit(n)
 
 
-# ---- game patterns: games grow with the data, so rows make their combinations and counts are shuffled
+# ---- game patterns: games grow with the data, so blocks of them have bitmaps and counts are summed over blocks
 def profiles(events: DataFrame, game: DataFrame) -> DataFrame:
     """One row per game: game_id, season, date, its rising condition ``codes``, the same as masks ``low`` and ``high``, and its outcomes as ``bits`` in the order of OUTCOME_KEYS."""
     number = F.create_map(*[F.lit(x) for i, k in enumerate(OUTCOME_KEYS) for x in (k, i)])
@@ -180,9 +183,10 @@ def _bit(i: int) -> Column:
     return F.call_function("shiftright", F.col("bits"), F.lit(i)).bitwiseAND(F.lit(1).cast("long"))
 
 
-def pattern_counts(own: DataFrame, legs: int = LEGS) -> DataFrame:
-    """(combo, season, sample, h0, h1, ...): how often each combination of the conditions of ``own`` (see profiles) came, and each outcome with it."""
-    return spread(own.select("season", "bits", "codes"), legs).groupBy("combo", "season").agg(F.count("*").alias("sample"), *[F.sum(_bit(i)).alias(f"h{i}") for i in range(len(OUTCOME_KEYS))])
+def pattern_counts(own: DataFrame, legs: int = LEGS, least: int = LEAST) -> DataFrame:
+    """(combo, season, sample, h0, h1, ...) of each combination of the conditions of ``own`` (see profiles) that ``least`` games have:
+    how often it came in a season, and each outcome with it (see vertical)."""
+    return vertical.pattern_counts(own, len(CONDITION_KEYS), len(OUTCOME_KEYS), legs, least, DIGIT)
 
 
 def pattern_totals(counts: DataFrame, by: list[str], least: int, min_rate: float) -> DataFrame:
@@ -195,7 +199,7 @@ def pattern_totals(counts: DataFrame, by: list[str], least: int, min_rate: float
     return sums.select(*by, "sample", F.inline(F.array_compact(each)))
 
 
-def kept_patterns(counts: DataFrame, least: int = 15, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
+def kept_patterns(counts: DataFrame, least: int = LEAST, min_rate: float = 0.58, max_share: float = 0.85) -> DataFrame:
     """(combo, o, outcome, sample, hits, n_seasons, most) of condition patterns whose outcome beats the break-even rate."""
     p, rate = pattern_totals(counts, ["combo"], least, min_rate), F.col("hits") / F.col("sample")
     return p.where((rate - BREAK_EVEN >= 0.02) & (F.col("most") / F.col("sample") <= max_share))

@@ -7,6 +7,8 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.sources.kept import keep
+
 STATS = ("secs", "points", "assists", "rebounds", "steals", "blocks", "turnovers")
 TENS = "(case when points >= 10 then 1 else 0 end + case when rebounds >= 10 then 1 else 0 end + case when assists >= 10 then 1 else 0 end + case when steals >= 10 then 1 else 0 end + case when blocks >= 10 then 1 else 0 end)"
 TOTAL, MARGIN = "(home_score + away_score)", "(home_score - away_score)"
@@ -102,6 +104,23 @@ def summary(measures: DataFrame, events: DataFrame) -> DataFrame:
     return measures.select("date", "season", "n_games", "n_scored", "n_stats").join(events.groupBy("date").agg(F.count("*").alias("n_events")), "date", "left").fillna(0, ["n_events"])
 
 
+#: The logic of catalog and measures; it rises when either changes, and nights of an older one are taken up anew.
+LOGIC_VERSION = 1
+
+
+def nights(fx: SimpleNamespace) -> dict[str, DataFrame]:
+    """What is stored of the dates of ``fx`` (game, stat, line), each table by date: team nights, night events and summaries with the version of the logic."""
+    measures = keep(night_measures(fx), "night_measures")
+    events = keep(events_of(measures), "night_events")
+    return {"team_nights": team_night(fx.stat), "night_events": events, "night_summary": summary(measures, events).withColumn("logic_version", F.lit(LOGIC_VERSION))}
+
+
+def outdated(stored: DataFrame, game: DataFrame, version: int = LOGIC_VERSION) -> DataFrame:
+    """Dates of ``game`` without a summary in ``stored`` (date, logic_version), or with one of an older version: those a rebuild takes up."""
+    current = stored.where(F.col("logic_version") >= version).select("date")
+    return game.select("date").distinct().join(current, "date", "left_anti")
+
+
 #: What the reports that come with an event name: the teams, players or games that made it hold. An event of another kind names nobody.
 WITNESS_TEAMS = {"ANY_TEAM_130_PLUS": ("side", "score >= 130"), "TWO_TEAMS_130_PLUS": ("side", "score >= 130"), "TEAM_POINTS_GE_140": ("side", "score >= 140"), "AT_LEAST_4_TEAMS_120_PLUS": ("side", "score >= 120"), "AT_LEAST_4_TEAMS_UNDER_100": ("side", "score < 100"),
     "ANY_TEAM_TURNOVERS_GE_22": ("team", "turnovers >= 22"), **{f"TEAM_WITH_{n}_REBOUNDS": ("team", f"rebounds >= {n}") for n in (58, 60, 62)}, "TEAM_ASSISTS_GE_35": ("team", "assists >= 35"), "TEAM_BLOCKS_GE_12": ("team", "blocks >= 12"), "TEAM_STEALS_GE_15": ("team", "steals >= 15"),

@@ -207,11 +207,11 @@ FOLDS = GAME_SQL | COUNTS | SEASONS | {
     "money": f"select {_fold}, count(*) bets, sum(wager) wagered, sum(profit) net, sum(profit) / sum(wager) roi, max((peak - bankroll) / peak) max_drawdown, case when count(*) >= 30 and stddev_pop(ret) > 1e-12 then avg(ret) / stddev_pop(ret) end sharpe from book group by {_fold}",
     "seen": f"select {_fold}, count(*) test_n, cast(sum(hit) as bigint) test_hits from bets group by {_fold} having count(*) >= 5",
     "t1": "select c.*, test_n, test_hits, coalesce(bets, 0) bets, coalesce(net, 0) net, coalesce(roi, 0) roi, coalesce(max_drawdown, 0) max_drawdown, sharpe, train_hits / train_n train_rate, test_hits / test_n test_rate, (test_hits / test_n - 0.524e0) / sqrt(0.524e0 * 0.476e0 / test_n) z, (train_hits + test_hits) / (train_n + test_n) pooled from cand c join seen s on s.combo = c.combo and s.outcome = c.outcome and s.test_season = c.test_season left join money m on m.combo = c.combo and m.outcome = c.outcome and m.test_season = c.test_season",
-    "t2": "select *, case when pooled > 0 and pooled < 1 then (test_rate - train_rate) / sqrt(pooled * (1 - pooled) * (1 / test_n + 1 / train_n)) else 0 end z_train, (test_hits - test_n * 0.524e0) ** 2 / (test_n * 0.524e0) + (test_hits - test_n * 0.524e0) ** 2 / (test_n * 0.476e0) chi, train_rate * 100e0 / 110 - (1 - train_rate) ev, 1.96e0 * sqrt(test_rate * (1 - test_rate) / test_n + 3.8416e0 / (4 * test_n * test_n)) / (1 + 3.8416e0 / test_n) half, (test_rate + 3.8416e0 / (2 * test_n)) / (1 + 3.8416e0 / test_n) mid from t1",
+    "t2": "select *, case when train_n > 0 and pooled > 0 and pooled < 1 then (test_rate - train_hits / train_n) / sqrt(pooled * (1 - pooled) * (1 / test_n + 1 / train_n)) else 0 end z_train, coalesce(train_hits / nullif(train_n, 0), 0) trained, (test_hits - test_n * 0.524e0) ** 2 / (test_n * 0.524e0) + (test_hits - test_n * 0.524e0) ** 2 / (test_n * 0.476e0) chi, train_rate * 100e0 / 110 - (1 - train_rate) ev, 1.96e0 * sqrt(test_rate * (1 - test_rate) / test_n + 3.8416e0 / (4 * test_n * test_n)) / (1 + 3.8416e0 / test_n) half, (test_rate + 3.8416e0 / (2 * test_n)) / (1 + 3.8416e0 / test_n) mid from t1",
     "t3": f"select *, {_p('z')} p, {_p('z_train')} p_train, least(mid + half, 1) - greatest(mid - half, 0) width, (train_rate - test_rate) / train_rate lost from t2",
-    "t4": """select *, p < 0.05 and test_rate > 0.524 significant, p_train > 0.05 or test_rate >= train_rate consistent, least(greatest((test_rate - 0.524e0) / 0.15e0 * 25, 0), 25) edge_score,
+    "t4": """select *, p < 0.05 and test_rate > 0.524 significant, p_train > 0.05 or test_rate >= trained consistent, least(greatest((test_rate - 0.524e0) / 0.15e0 * 25, 0), 25) edge_score,
         least((case when z >= 1.96 then 10 when z >= 1.65 then 7 when z >= 1.28 then 4 else 0 end) + (case when p < 0.01 then 8 when p < 0.05 then 5 when p < 0.1 then 2 else 0 end) + (case when width < 0.1 then 7 when width < 0.15 then 5 when width < 0.2 then 3 else 0 end), 25) significance_score,
-        least((case when test_rate >= train_rate then 15 when lost < 0.05 then 12 when lost < 0.1 then 9 when lost < 0.15 then 6 when lost < 0.25 then 3 else 0 end) + (case when p_train > 0.05 or test_rate >= train_rate then 10 else 0 end), 25) consistency_score,
+        least((case when test_rate >= train_rate then 15 when lost < 0.05 then 12 when lost < 0.1 then 9 when lost < 0.15 then 6 when lost < 0.25 then 3 else 0 end) + (case when p_train > 0.05 or test_rate >= trained then 10 else 0 end), 25) consistency_score,
         least((case when round(roi, 9) >= 0.1 then 10 when round(roi, 9) >= 0.05 then 8 when round(roi, 9) > 0 then 5 when round(roi, 9) > -0.05 then 2 else 0 end) + (case when round(max_drawdown, 9) < 0.1 then 5 when round(max_drawdown, 9) < 0.2 then 3 when round(max_drawdown, 9) < 0.3 then 1 else 0 end) + (case when sharpe is not null then case when round(sharpe, 9) >= 1.5 then 5 when round(sharpe, 9) >= 1 then 4 when round(sharpe, 9) >= 0.5 then 2 else 0 end when bets >= 30 and round(roi, 9) > 0 then 2 else 0 end) + (case when ev > 0.05 then 5 when ev > 0.02 then 3 when ev > 0 then 1 else 0 end), 25) pnl_score from t3""",
     "done": "select *, edge_score + significance_score + consistency_score + pnl_score total_score from t4",
 }

@@ -81,11 +81,42 @@ def upsert(new: DataFrame, path: str, keys: list[str], by: str, order: str | Non
     return replace_keys(one, one, path, keys, by)
 
 
-def reload(path: str, **tables: DataFrame) -> None:
-    """Truncate and load tables under ``path``: each is written beside and then in place of what was there."""
-    for name, df in tables.items():
-        staged = keep(df, f"reload-{name}")
-        staged.write.mode("overwrite").parquet(f"{path}/{name}")
+def replace_range(new: DataFrame, path: str, gone: Column, by: str) -> list:
+    """Delete the rows of the table at ``path`` for which ``gone`` (a condition: a season, dates, a team) holds and put ``new`` in their place.
+    Returns the values of ``by`` of the partitions that changed.
+
+    Partitions that hold such rows, or get new ones, are read, filtered and replaced in one commit; all others keep their
+    files. A condition on ``by`` reads no other partition. Where ``gone`` is null a row stays. One writer at a time."""
+    spark = new.sparkSession
+    if not exists(spark, path):
+        replace_partitions(new, path, by)
+        return [r[0] for r in new.select(by).distinct().collect()]
+    table = spark.read.schema(new.schema).parquet(path)
+    touched = [r[0] for r in new.select(by).union(table.where(gone).select(by)).distinct().collect()]
+    if touched:
+        staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+        table.where(_in(by, touched)).where(~F.coalesce(gone, F.lit(False))).unionByName(new).write.parquet(staged)
+        replace_partitions(spark.read.schema(new.schema).parquet(staged), path, by, touched)
+    return touched
+
+
+def merge_where(new: DataFrame, path: str, keys: list[str], by: str, better: Column, changes: dict[str, Column], insert: bool = False) -> list:
+    """Change stored rows that ``new`` betters. ``better`` and the columns of ``changes`` speak of ``old`` and ``new`` rows of one key, as
+    F.col("old.status"); what isn't in ``changes`` stays. With ``insert`` rows of new keys come in as they are (all columns then).
+    Returns the values of ``by`` of the partitions that changed.
+
+    Only partitions with a changed row are rewritten, in one commit; where none is, no file changes. Of several new rows
+    of a key one counts: those must not differ."""
+    spark = new.sparkSession
+    table = spark.read.parquet(path)
+    one = new.dropDuplicates(keys)
+    on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
+    changed = table.alias("old").join(one.alias("new"), on).where(F.coalesce(better, F.lit(False)))
+    changed = changed.select(*[changes[c].cast(table.schema[c].dataType).alias(c) if c in changes else F.col(f"old.{c}").alias(c) for c in table.columns])
+    if insert:
+        changed = changed.unionByName(one.join(table.select(*keys), keys, "left_anti").select(*table.columns))
+    changed = keep(changed, "changed")
+    return [] if changed.isEmpty() else replace_keys(changed, changed, path, keys, by)
 
 
 def append_run(path: str, run_id: str, summary: DataFrame, best: DataFrame) -> None:

@@ -95,12 +95,9 @@ def test_upsert_follows_a_key(spark, tmp_path):
     assert read() == [(1, "z", None), (2, "b", "2024-01-02"), (3, "y", "2024-01-03")]
 
 
-def test_reload_and_runs(spark, tmp_path):
+def test_runs(spark, tmp_path):
     path = str(tmp_path / "p")
     one = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
-    sinks.reload(path, patterns=one(1, 2), hits=one(3))
-    sinks.reload(path, patterns=spark.read.parquet(f"{path}/patterns").where("k > 1"), hits=one(4))
-    assert [r.k for r in spark.read.parquet(f"{path}/patterns").collect()] == [2] and [r.k for r in spark.read.parquet(f"{path}/hits").collect()] == [4]
     for run, v in (("a", 1), ("b", 2), ("a", 3)):
         sinks.append_run(path, run, one(v), one(v))
     assert sorted((r.run_id, r.k) for r in spark.read.parquet(f"{path}/runs").collect()) == [("a", 3), ("b", 2)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from slatewise import registry
+from slatewise.functions import significance
 from slatewise.operators import games, mining, night
 from slatewise.plans import queries as q
 from slatewise.sources.fixtures import frames
@@ -77,7 +78,7 @@ def test_night_bounds(spark):
 
 
 def test_significance(spark):
-    r = spark.range(1).select(mining.z_score(F.lit(60), F.lit(100)).alias("z"), mining.p_value(F.lit(1.96)).alias("p"), *[c.alias(n) for c, n in zip(mining.wilson(F.lit(60), F.lit(100)), "lh", strict=True)], mining.z_score(F.lit(0), F.lit(0)).alias("none")).first()
+    r = spark.range(1).select(significance.z_score(F.lit(60), F.lit(100)).alias("z"), significance.p_value(F.lit(1.96)).alias("p"), *[c.alias(n) for c, n in zip(significance.wilson(F.lit(60), F.lit(100)), "lh", strict=True)], significance.z_score(F.lit(0), F.lit(0)).alias("none")).first()
     assert abs(r.z - 1.5218) < 1e-3 and abs(r.p - 0.05) < 1e-3 and abs(r.l - 0.5020) < 1e-3 and abs(r.h - 0.6906) < 1e-3 and r.none == 0
 
 
