@@ -247,3 +247,18 @@ def label(city, name, key) -> Column:
     """City and name as far as they are not empty, else # and the id."""
     text = F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in (city, name)])
     return F.when(text != "", text).otherwise(F.concat(F.lit("#"), key.cast("string")))
+
+
+def game_card(game: DataFrame, team: DataFrame) -> DataFrame:
+    """A line per game of a night's report: date, game_id, both sides' labels and scores, the margin and who won (H, A or T)."""
+    named = lambda side: team.select(F.col("team_id").alias(f"{side}_team_id"), label(F.col("city"), F.col("name"), F.col("team_id")).alias(f"{side}_label"))
+    both = game.join(named("away"), "away_team_id", "left").join(named("home"), "home_team_id", "left")
+    told = lambda side: F.coalesce(f"{side}_label", F.concat(F.lit("#"), F.col(f"{side}_team_id").cast("string"))).alias(side)
+    ahead = F.col("home_score") - F.col("away_score")
+    return both.select("date", "game_id", told("away"), "away_score", told("home"), "home_score", F.abs(ahead).alias("margin"), F.when(ahead > 0, "H").when(ahead < 0, "A").otherwise("T").alias("winner"))
+
+
+def alignment(catalog: DataFrame, live: DataFrame) -> DataFrame:
+    """(event_key, issue): keys of ``live`` (event_key) that the ``catalog`` (event_key) lacks, NOT_IN_CATALOG, and keys of it that nothing live has, NEVER_LIVE."""
+    keys, seen = catalog.select("event_key").distinct(), live.select("event_key").distinct()
+    return seen.join(keys, "event_key", "left_anti").withColumn("issue", F.lit("NOT_IN_CATALOG")).unionByName(keys.join(seen, "event_key", "left_anti").withColumn("issue", F.lit("NEVER_LIVE")))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import parsing, teams
 from slatewise.operators import ingest, night
-from slatewise.plans.queries import register
-from slatewise.sources import landing, sinks
+from slatewise.plans.queries import SQL, register
+from slatewise.sources import landing, sinks, versions
 from slatewise.sources.fixtures import with_ctes
 from slatewise.sources.kept import shared_dir
 
@@ -176,6 +176,55 @@ def rewritten(fx):
 
 
 register("snk04_rewrite", rewritten, with_ctes("select date, season, team_id, points * case when season = 1996 then 2 else 1 end points from team_night", night.events_sql()))
+def one_team_rebuilt(fx):
+    """Team nights by season; then those of team 3 in 1996 go and come again from the lines, twice the points."""
+    path, nights = table_of(fx, "nights"), night.team_night(fx.stat).select("date", "season", "team_id", "points")
+    sinks.replace_partitions(nights, path, "season")
+    of_team = (F.col("season") == 1996) & (F.col("team_id") == 3)
+    sinks.replace_range(nights.where(of_team).withColumn("points", F.col("points") * 2), path, of_team, "season")
+    return fx.spark.read.schema(nights.schema).parquet(path)
+
+
+register("snk03_range", one_team_rebuilt, with_ctes("select date, season, team_id, points * case when season = 1996 and team_id = 3 then 2 else 1 end points from team_night", night.events_sql()))
+
+
+def reloaded(fx):
+    """Games and lines committed together; then both anew for one season, read from the version before."""
+    path = table_of(fx, "reloaded")
+    versions.commit(fx.spark, path, games=fx.game, lines=fx.stat)
+    games, lines = versions.read(fx.spark, path, "games", "lines")
+    versions.commit(fx.spark, path, games=games.where("season = 1996"), lines=lines.where("season = 1996"))
+    games, lines = versions.read(fx.spark, path, "games", "lines")
+    return games.join(lines.groupBy("game_id").agg(F.count("*").alias("lines")), "game_id", "left").select("game_id", "date", "lines")
+
+
+register("snk05_reloaded", reloaded, with_ctes("select g.game_id, g.date, n \"lines\" from fx_game g left join (select game_id, count(*) n from fx_stat group by game_id) using (game_id) where season = 1996"))
+
+
+def stored_scores(fx):
+    """Stored games by season take up box scores where they have none or aren't final; other rows, and seasons without such a game, stay."""
+    path = table_of(fx, "scores")
+    sinks.replace_partitions(fx.game, path, "season")
+    better = (F.coalesce("new.home_score", F.lit(0)) > 0) & ((F.coalesce("old.home_score", F.lit(0)) == 0) | (F.coalesce("old.status", F.lit("")) != "Final"))
+    sinks.merge_where(late_scores(fx), path, ["game_id"], "season", better, {c: F.col(f"new.{c}") for c in ("home_score", "away_score", "status")})
+    return fx.spark.read.schema(fx.game.schema).parquet(path)
+
+
+register("ing20_stored", lambda fx: stored_scores(fx).select("game_id", "home_score", "away_score", "status"), SQL["ing20_scores"])
+
+
+def stored_lines(fx):
+    """Stored lines by season get the splits they lack from the box scores of even games."""
+    path, splits = table_of(fx, "lines"), ("fga", "fg3m", "fg3a", "ftm", "fta", "oreb")
+    sinks.replace_partitions(fx.stat.withColumn("fga", F.expr("case when game_id % 3 = 0 then fga end")), path, "season")
+    lacks = F.lit(False)
+    for c in splits:
+        lacks = lacks | (F.col(f"old.{c}").isNull() & F.col(f"new.{c}").isNotNull())
+    sinks.merge_where(fx.stat.where("game_id % 2 = 0").select("game_id", "player_id", *splits), path, ["game_id", "player_id"], "season", lacks, {c: F.coalesce(f"old.{c}", f"new.{c}") for c in splits})
+    return fx.spark.read.schema(fx.stat.schema).parquet(path)
+
+
+register("ing19_stored", lambda fx: stored_lines(fx).select("game_id", "player_id", "fga", "fg3m", "points"), SQL["ing19_enriched_lines"])
 register("snk02_inserted", lambda fx: sinks.inserted(fx.stat.where("game_id % 3 = 0"), fx.stat, ["game_id", "player_id"]).select("game_id", "player_id"), with_ctes("select game_id, player_id from fx_stat where game_id % 3 <> 0"))
 register("snk06_orphans", lambda fx: ingest.split_orphans(fx.stat, fx.game.where("game_id % 5 > 0"))[1].groupBy("reason", "season").agg(F.count("*").alias("lines")), with_ctes("select 'NO_GAME_MATCH' reason, season, count(*) as lines from fx_stat where game_id % 5 = 0 group by season"))
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.operators import ingest, night
+from slatewise.operators import ingest, night, reports
 from slatewise.plans.ingest import boxes, table_of
-from slatewise.plans.queries import register
+from slatewise.plans.queries import NIGHT_SQL, night_events, register
 from slatewise.sources import landing
 from slatewise.sources.fixtures import Tables, with_ctes
 from slatewise.streaming import landing as stream
@@ -189,3 +189,18 @@ register("sm03_night_summary", lambda fx: landed_table(fx, "night_summary").sele
 register("sm03_team_nights", lambda fx: landed_table(fx, "team_nights").select("date", "team_id", *night.STATS), with_ctes(f"select date, team_id, {', '.join(night.STATS)} from team_night", NIGHTS))
 register("ing27_taken", lambda fx: landed_table(fx, "taken").select("records", F.lit(None).cast("string").alias("reason")).unionByName(landed_table(fx, "dead").select(F.lit(0).cast("long").alias("records"), "reason")).agg(F.sum("records").alias("records"), *[F.count_if(F.col("reason") == r).alias(n) for r, n in (("NOT_JSON", "broken"), ("EMPTY_FILE", "empty"))]), with_ctes("select count(*) + count(case when game_id % 10 = 0 then 1 end) + count(case when game_id % 20 = 0 then 1 end) records, 1 broken, 1 empty from landed_game", LANDED))
 register("dq02_progress", lambda fx: stream.progress(fx.spark, *landed(fx)).groupBy("issue").agg(F.count("*").alias("files")), with_ctes("select 'NOT_TAKEN' issue, count(distinct strftime(date, '%Y-%m')) files from fx_game where game_id % 30 = 0 and game_id in (select game_id from fx_stat)"))
+
+
+# ---- reports of a night
+_label = lambda side: f"(select coalesce(nullif(concat_ws(' ', nullif(trim(city), ''), nullif(trim(name), '')), ''), '#' || team_id) from fx_team where team_id = {side}_team_id) {side}"
+register("prj1_game_card", lambda fx: reports.game_card(fx.game, fx.team), with_ctes(f"select date, game_id, {_label('away')}, away_score, {_label('home')}, home_score, abs(home_score - away_score) margin, case when home_score > away_score then 'H' when home_score < away_score then 'A' else 'T' end winner from fx_game"))
+
+
+def catalog_keys(fx: Tables) -> DataFrame:
+    return fx.spark.createDataFrame([(k,) for k in night.CATALOG], "event_key string")
+
+
+_odd = "case when event_key = 'NO_TEAM_120_PLUS' then 'NO_TEAM_120' else event_key end"
+register("dq05_alignment", lambda fx: reports.alignment(catalog_keys(fx), night_events(fx)), with_ctes("select k event_key, 'NEVER_LIVE' issue from (values " + ", ".join(f"('{k}')" for k in night.CATALOG) + ") c(k) where k not in (select event_key from night_events)", NIGHT_SQL))
+_named = {"live": f"select distinct {_odd} e from night_events", "keys": "select k from (values " + ", ".join(f"('{k}')" for k in night.CATALOG) + ") c(k)"}
+register("dq05_renamed", lambda fx: reports.alignment(catalog_keys(fx), night_events(fx).select(F.expr(_odd).alias("event_key"))), with_ctes("select e event_key, 'NOT_IN_CATALOG' issue from live where e not in (select k from keys) union all select k, 'NEVER_LIVE' from keys where k not in (select e from live)", NIGHT_SQL | _named))
