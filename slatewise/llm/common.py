@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 
 from slatewise.sources.kept import keep, shared_dir
 
-__all__ = ["WORD", "in_arrow", "keep", "per_task", "rows_of", "sent", "shared_dir", "table"]
+__all__ = ["WORD", "in_arrow", "keep", "let_go", "per_task", "rows_of", "sent", "shared_dir", "table", "take_turn"]
 
 #: An Arrow batch of texts ends at so many bytes: workers hold little more than one, however long texts are.
 BATCH = "4m"
@@ -21,12 +24,42 @@ BATCH = "4m"
 SENT_BYTES = 16 << 20
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_turn = ""
+
+
+def let_go(name: str, clear: Callable[[], None]) -> None:
+    """``clear`` ends what module ``name`` keeps in a worker, where other modules' tasks come next."""
+    _kept[name] = clear
+
+
+def take_turn(name: str) -> None:
+    """Told by a task of module ``name`` as it begins: workers live on from operator to operator, and what another one kept goes back
+    to the system, so that a worker holds one operator's memory."""
+    global _turn
+    if _turn != name:
+        for other, clear in _kept.items():
+            if other != name:
+                clear()
+        _turn = name
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # of the C library of Linux
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow``, its batches ended by bytes as well as by rows where the session doesn't say otherwise."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(run, schema)
+    name = run.__module__
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(name)
+        yield from run(batches)
+
+    return df.mapInArrow(work, schema)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import in_arrow, keep, per_task, rows_of
+from slatewise.llm.common import in_arrow, keep, let_go, per_task, rows_of
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -91,6 +91,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+let_go(__name__, encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the token pieces of each document.
 
