@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +54,8 @@ def ledger(placed: DataFrame, by: list[str], sizing: str = "flat") -> DataFrame:
 
     ``sizing``: flat stakes a share of the first bankroll, or what is left where that is less; kelly and
     halfKelly stake a share of the current one, so that it is a product, here a sum of logarithms. Bets
-    that stake nothing are left out. Flat ledgers that run short are replayed bet by bet, the others are running sums."""
+    that stake nothing are left out. Flat ledgers that run short are replayed bet by bet in one
+    expression over their sorted bets, the others are running sums."""
     order = Window.partitionBy(*by).orderBy("date", "game_id")
     b = placed.withColumn("ret", _returns())
     if sizing != "flat":
@@ -67,19 +67,19 @@ def ledger(placed: DataFrame, by: list[str], sizing: str = "flat") -> DataFrame:
     b = b.withColumn("profit", stake * F.col("ret")).withColumn("bankroll", START + F.sum("profit").over(order))
     b = b.withColumn("short", F.max(F.col("bankroll") - F.col("profit") < stake).over(Window.partitionBy(*by)))
     full = b.where("not short").withColumn("wager", F.lit(stake)).drop("short", "ret")
-    columns = full.columns
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "game_id"])
-        bank, rows = START, []
-        for ret in pdf["ret"]:
-            wager = min(stake, bank)
-            bank += wager * ret
-            rows.append((wager, wager * ret, bank))
-        pdf[["wager", "profit", "bankroll"]] = rows
-        return pdf[columns]
-
-    short = b.where("short").groupBy(*by).applyInPandas(replay, full.schema).where("wager > 0")
+    rest = [c for c in placed.columns if c not in (*by, "date", "game_id")]
+    row = ["date", "game_id", *rest]
+    sorted_bets = b.where("short").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*row, "ret"))).alias("bets"))
+    kind = "array<struct<" + ",".join(f"{c}:{t}" for c, t in b.select(*row).dtypes) + ",wager:double,profit:double,bankroll:double>>"
+
+    def bet(so_far: Column, x: Column) -> Column:
+        wager = F.least(F.lit(stake), so_far["bank"])
+        bank = so_far["bank"] + wager * x["ret"]
+        done = F.struct(*[x[c].alias(c) for c in row], wager.alias("wager"), (wager * x["ret"]).alias("profit"), bank.alias("bankroll"))
+        return F.struct(bank.alias("bank"), F.concat(so_far["rows"], F.array(done)).cast(kind).alias("rows"))
+
+    start = F.struct(F.lit(START).alias("bank"), F.array().cast(kind).alias("rows"))
+    short = sorted_bets.select(*by, F.inline(F.aggregate("bets", start, bet, lambda s: s["rows"]))).where("wager > 0")
     return full.unionByName(short)
 
 

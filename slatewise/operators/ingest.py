@@ -255,8 +255,9 @@ def same_day(events: DataFrame, day: str = "day") -> DataFrame:
 
 
 def schedule_from_logs(logs: DataFrame) -> DataFrame:
-    """(game_id, date, team_id, is_home, points): one row per game of team logs (game_id, game_date, team_id, matchup, points), the first by team; at home where the match-up says "vs."."""
-    one = first_of(logs, ["game_id"], "team_id")
+    """(game_id, date, team_id, is_home, points): one row per game of team logs (game_id, game_date, team_id, matchup, points): the one that was fetched first, where
+    logs have ``fetched``, else that of the smaller team id; at home where the match-up says "vs."."""
+    one = first_of(logs, ["game_id"], *(["fetched"] if "fetched" in logs.columns else []), "team_id")
     return one.select("game_id", date_only(F.col("game_date")).alias("date"), "team_id", F.col("matchup").contains(" vs. ").alias("is_home"), F.coalesce("points", F.lit(0)).alias("points"))
 
 

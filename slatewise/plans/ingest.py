@@ -143,6 +143,11 @@ register("ing26_same_day", lambda fx: ingest.same_day(fx.game.select("game_id",
 register("ing30_schedule", lambda fx: ingest.schedule_from_logs(fx.game.select("game_id", F.concat(F.col("date").cast("string"), F.lit("T00:00:00")).alias("game_date"), F.expr("stack(2, home_team_id, home_score, 'AAA vs. BBB', away_team_id, away_score, 'BBB @ AAA') as (team_id, points, matchup)"))), with_ctes("select game_id, date, least(home_team_id, away_team_id) team_id, home_team_id < away_team_id is_home, case when home_team_id < away_team_id then home_score else away_score end points from fx_game"))
 
 
+_logs = "stack(2, home_team_id, home_score, 'AAA vs. BBB', away_team_id, away_score, 'BBB @ AAA') as (team_id, points, matchup)"
+register("ing30_fetched", lambda fx: ingest.schedule_from_logs(fx.game.select("game_id", F.concat(F.col("date").cast("string"), F.lit("T00:00:00")).alias("game_date"), F.expr(_logs)).withColumn("fetched", (F.col("game_id") + F.col("team_id")) % 3)), with_ctes(
+    "select game_id, date, team_id, is_home, points from (select *, row_number() over (partition by game_id order by (game_id + team_id) % 3, team_id) n from (select game_id, date, home_team_id team_id, true is_home, home_score points from fx_game union all select game_id, date, away_team_id, false, away_score from fx_game)) where n = 1"))
+
+
 def seeded_teams(fx):
     """The league's teams merged into the table of those that games have."""
     seed = fx.spark.createDataFrame([(t, n, c, y) for t, _, c, y, n in teams.TEAMS], "team_id int, name string, code string, city string")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.operators import ingest, night, reports
 from slatewise.plans.ingest import boxes, table_of
-from slatewise.plans.queries import NIGHT_SQL, night_events, register
-from slatewise.sources import landing
+from slatewise.plans.queries import NIGHT_SQL, night_events, night_measures, register
+from slatewise.sources import landing, sinks
 from slatewise.sources.fixtures import Tables, with_ctes
 from slatewise.streaming import landing as stream
 
@@ -191,6 +192,21 @@ register("ing27_taken", lambda fx: landed_table(fx, "taken").select("records", F
 register("dq02_progress", lambda fx: stream.progress(fx.spark, *landed(fx)).groupBy("issue").agg(F.count("*").alias("files")), with_ctes("select 'NOT_TAKEN' issue, count(distinct strftime(date, '%Y-%m')) files from fx_game where game_id % 30 = 0 and game_id in (select game_id from fx_stat)"))
 
 
+def taken_up(fx: Tables) -> DataFrame:
+    """Stored summaries, those up to 1996 by an older logic that knew no event; then only dates of an older logic are worked out anew."""
+    path, current = table_of(fx, "summaries"), night.summary(night_measures(fx), night_events(fx)).withColumn("logic_version", F.lit(night.LOGIC_VERSION))
+    old = F.col("season") <= 1996
+    sinks.replace_partitions(current.withColumns({"n_events": F.when(old, 0).otherwise(F.col("n_events")).cast("long"), "logic_version": F.when(old, 0).otherwise(F.col("logic_version"))}), path, "season")
+    read = lambda: fx.spark.read.schema(current.schema).parquet(path)
+    dates = night.outdated(read(), fx.game)
+    some = SimpleNamespace(**{n: getattr(fx, n).join(dates, "date", "left_semi") for n in ("game", "stat")}, line=fx.line)
+    sinks.replace_keys(new := night.nights(some)["night_summary"].select(*current.columns), new, path, ["date"], "season")
+    return read()
+
+
+register("ag10_taken_up", taken_up, with_ctes(f"select m.date, m.season, n_games, n_scored, n_stats, coalesce(n, 0) n_events, {night.LOGIC_VERSION} logic_version from measures m left join (select date, count(*) n from night_events group by date) e on e.date = m.date", NIGHT_SQL))
+
+
 # ---- reports of a night
 _label = lambda side: f"(select coalesce(nullif(concat_ws(' ', nullif(trim(city), ''), nullif(trim(name), '')), ''), '#' || team_id) from fx_team where team_id = {side}_team_id) {side}"
 register("prj1_game_card", lambda fx: reports.game_card(fx.game, fx.team), with_ctes(f"select date, game_id, {_label('away')}, away_score, {_label('home')}, home_score, abs(home_score - away_score) margin, case when home_score > away_score then 'H' when home_score < away_score then 'A' else 'T' end winner from fx_game"))
