@@ -151,7 +151,7 @@ def delivered(fx: Tables) -> tuple[str, str]:
     fields = [c for c in rows.columns if c not in ("month", "game_id")]
     scored = lambda df, n: df.withColumn("playerStats", F.transform("playerStats", lambda p: p.withField("points", p["points"] + n)))
     text = lambda df: df.select("month", item(*fields))
-    run = lambda: stream.land(fx.spark, folder, table, checkpoint, derive=night.nights, odds=fx.odds).awaitTermination()
+    run = lambda: stream.land(fx.spark, folder, table, checkpoint, derive=night.nights, odds=fx.odds, by="month").awaitTermination()
     odd = F.substring("month", 6, 2).cast("int") % 2 == 1
     older = dump(table_of(fx, "older"), text(scored(rows.where("game_id % 20 = 0"), -1)))
     late = dump(table_of(fx, "late"), text(rows.where(odd)), more=('[{"gameId": "1", "pl', ""))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from slatewise.operators.ingest import box_games, box_lines, game_date
 from slatewise.sources.kept import keep
 from slatewise.sources.landing import BOX
-from slatewise.sources.sinks import exists, replace_keys, replace_partitions
+from slatewise.sources.sinks import exists, replace_keys, replace_partitions, replace_range
 
 #: A file is forgotten when it is older than this before the newest one; files of any age that were never seen are taken up.
 RETENTION = "36500d"
@@ -39,11 +39,11 @@ def _struct(fields: str) -> str:
 
 def land(
     spark: SparkSession, folder: str, table: str, checkpoint: str, rebuild: Callable[[DataFrame], DataFrame] | None = None, derived: str | None = None, files: int = 1000,
-    derive: Callable[[SimpleNamespace], dict[str, DataFrame]] | None = None, odds: DataFrame | None = None,
+    derive: Callable[[SimpleNamespace], dict[str, DataFrame]] | None = None, odds: DataFrame | None = None, by: str = "date",
 ) -> StreamingQuery:
     """Take up files of ``folder`` that the ``checkpoint`` does not know, at most ``files`` in a batch, and stop.
 
-    Files hold a box score or an array of them. Under ``table``: games and lines by date; taken (batch, file, landed, records)
+    Files hold a box score or an array of them. Under ``table``: games and lines by date (or by ``month``: ``by``, fewer and larger files, of which a batch rewrites whole months); taken (batch, file, landed, records)
     names every file but those of no bytes (see progress); dead (batch, file, landed, game_id, reason) what could not be taken up; touched (batch, date). Of a game
     the version of the latest file counts, by the time the file was written and then its name, in whatever order they arrive:
     it brings all its lines, also where its date moves; an older version is taken up and changes nothing.
@@ -54,10 +54,10 @@ def land(
     after a failure at any place rebuilds the same dates and gives the same tables."""
     raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files).option("maxFileAge", RETENTION).load(folder)
     stamped = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"))
-    return stamped.writeStream.foreachBatch(lambda batch, number: take(batch, number, table, rebuild, derived, derive, odds)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stamped.writeStream.foreachBatch(lambda batch, number: take(batch, number, table, rebuild, derived, derive, odds, by)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def take(batch: DataFrame, number: int, table: str, rebuild=None, derived: str | None = None, derive=None, odds: DataFrame | None = None) -> None:
+def take(batch: DataFrame, number: int, table: str, rebuild=None, derived: str | None = None, derive=None, odds: DataFrame | None = None, by: str = "date") -> None:
     """One batch of files (value, file, landed); see land."""
     spark = batch.sparkSession
     told = keep(records(batch), "records")
@@ -71,7 +71,8 @@ def take(batch: DataFrame, number: int, table: str, rebuild=None, derived: str |
     fields = told.schema["box"].dataType.names
     own = told.where("reason is null").groupBy("box.gameId").agg(F.max_by(F.struct("box.*", "landed", "file"), last).alias("r")).select("r.*").select(*fields, "landed", "file")
     games = box_games(own).join(own.select(F.col("gameId").alias("source_id"), "landed", "file"), "source_id")
-    stored = spark.read.schema(GAMES).parquet(f"{table}/games") if exists(spark, f"{table}/games") else spark.createDataFrame([], GAMES)
+    there = exists(spark, f"{table}/games")
+    stored = spark.read.schema(GAMES if by == "date" else f"{GAMES}, {by} string").parquet(f"{table}/games") if there else spark.createDataFrame([], GAMES)
     known = stored.select("source_id", F.col("date").alias("old_date"), F.struct("landed", "file").alias("old"))
     newer = keep(games.join(known, "source_id", "left").where(F.col("old").isNull() | (last >= F.col("old"))), "newer")
 
@@ -85,16 +86,26 @@ def take(batch: DataFrame, number: int, table: str, rebuild=None, derived: str |
         return
     replace_partitions(dates.withColumn("batch", F.lit(number).cast("long")), before, "batch")
 
-    games = newer.select(*[f.strip().split()[0] for f in GAMES.split(",")])
-    lines = box_lines(own).join(games.select("source_id", "date", "season"), "source_id")
-    replace_keys(lines, games, f"{table}/lines", ["source_id"], "date")
-    replace_keys(games, games, f"{table}/games", ["source_id"], "date")
-    of_dates = lambda name, schema: spark.read.schema(schema).parquet(f"{table}/{name}").where(F.col("date").isin(touched))
+    dealt = lambda df: df if by == "date" else df.withColumn(by, F.date_format("date", "yyyy-MM"))
+    games = dealt(newer.select(*[f.strip().split()[0] for f in GAMES.split(",")]))
+    lines = dealt(box_lines(own).join(games.select("source_id", "date", "season"), "source_id"))
+    replace_keys(lines, games, f"{table}/lines", ["source_id"], by)
+    replace_keys(games, games, f"{table}/games", ["source_id"], by)
+    gone = F.col("date").isin(touched) if by == "date" else F.col("date").isin(touched) & F.col(by).isin(sorted({f"{d:%Y-%m}" for d in touched}))
+    of_dates = lambda name, schema: spark.read.schema(schema).parquet(f"{table}/{name}").where(gone)
+
+    def replace(df: DataFrame, path: str) -> None:
+        if by == "date":
+            replace_partitions(df, path, by, touched)
+        else:
+            replace_range(dealt(df), path, gone, by)
+
     if rebuild is not None:
-        replace_partitions(rebuild(of_dates("lines", lines.schema)), derived, "date", touched)
+        replace(rebuild(of_dates("lines", lines.schema)), derived)
     if derive is not None:
-        for name, df in derive(dependents(of_dates("games", games.schema), of_dates("lines", lines.schema), odds)).items():
-            replace_partitions(df, f"{table}/{name}", "date", touched)
+        plain = lambda df: df.drop(by) if by != "date" else df
+        for name, df in derive(dependents(plain(of_dates("games", games.schema)), plain(of_dates("lines", lines.schema)), odds)).items():
+            replace(df, f"{table}/{name}")
 
 
 def dependents(games: DataFrame, lines: DataFrame, odds: DataFrame | None = None) -> SimpleNamespace:
