@@ -15,7 +15,8 @@ from slatewise.sources import landing, sinks
 from slatewise.sources.fixtures import Tables, with_ctes
 from slatewise.streaming import landing as stream
 
-MONTH = F.date_format("date", "yyyy-MM")
+def month() -> Column:
+    return F.date_format("date", "yyyy-MM").alias("month")
 
 
 def dump(path: str, items: DataFrame, wrap: Callable[[Column], Column] = lambda body: F.concat(F.lit("["), body, F.lit("]")), more: tuple[str, ...] = ()) -> str:
@@ -36,7 +37,7 @@ def game_files(fx: Tables) -> DataFrame:
     """Games of each month as a bare array or in one of the two wrappers; one in eight of another league or stage."""
     side = lambda s: F.struct(F.col(f"{s}_team_id").alias("id"))
     points = lambda s: F.struct(F.col(f"{s}_score").alias("points"))
-    rows = fx.game.select(MONTH.alias("month"), item(
+    rows = fx.game.select(month(), item(
         F.col("game_id").alias("id"), F.struct(F.concat(F.col("date").cast("string"), F.lit("T19:00:00Z")).alias("start")).alias("date"), F.when(F.col("game_id") % 8 == 1, "1").otherwise("2").alias("stage"), F.lit("standard").alias("league"), "season",
         F.struct(side("away").alias("visitors"), side("home").alias("home")).alias("teams"), F.struct(points("away").alias("visitors"), points("home").alias("home")).alias("scores"),
     ))
@@ -51,7 +52,7 @@ register("src01_game_files", lambda fx: game_files(fx).select("game_id", "date",
 
 def line_files(fx: Tables) -> DataFrame:
     """Player lines of each month in ``{response: []}``; one in nine did not play, one in eleven has no game."""
-    rows = fx.stat.select(MONTH.alias("month"), item(
+    rows = fx.stat.select(month(), item(
         F.struct(F.col("player_id").alias("id")).alias("player"), F.struct(F.col("team_id").alias("id")).alias("team"), F.struct(F.when(F.col("game_id") % 11 > 0, F.col("game_id")).otherwise(-1 - F.col("game_id")).alias("id")).alias("game"),
         F.format_string("%d:%02d", F.floor(F.col("secs") / 60), F.col("secs") % 60).alias("min"), "points", "assists", F.col("rebounds").alias("totReb"), "steals", "blocks", "turnovers", F.when(F.col("player_id") % 9 == 0, "DNP - rest").alias("comment"),
     ))
@@ -82,7 +83,7 @@ def odds_files(fx: Tables) -> DataFrame:
     price = lambda name, point: F.struct(F.lit(name).alias("name"), F.lit(-110).alias("price"), point.alias("point"))
     markets = F.array(F.struct(F.lit("spreads").alias("key"), F.array(price("H", F.col("spread_home")), price("A", -F.col("spread_home"))).alias("outcomes")), F.struct(F.lit("totals").alias("key"), F.array(price("Over", F.col("total_over"))).alias("outcomes")))
     books = fx.odds.groupBy("game_id").agg(F.collect_list(F.struct(F.col("source").alias("key"), markets.alias("markets"))).alias("bookmakers")).join(fx.game.select("game_id", "date"), "game_id")
-    rows = books.select(MONTH.alias("month"), item(F.concat(F.lit("evt-"), "game_id").alias("id"), F.concat(F.col("date").cast("string"), F.lit("T23:00:00Z")).alias("commence_time"), F.lit("H").alias("home_team"), F.lit("A").alias("away_team"), "bookmakers"))
+    rows = books.select(month(), item(F.concat(F.lit("evt-"), "game_id").alias("id"), F.concat(F.col("date").cast("string"), F.lit("T23:00:00Z")).alias("commence_time"), F.lit("H").alias("home_team"), F.lit("A").alias("away_team"), "bookmakers"))
     return landing.odds(fx.spark, dump(table_of(fx, "odds-json"), rows, more=('[{"id": "cut',)))
 
 
@@ -94,7 +95,7 @@ def prop_files(fx: Tables) -> DataFrame:
     """One event a game with a book's Over and Under of every second player, in a folder of its month's name; read again with those folders."""
     line = lambda side: F.struct(F.lit(side).alias("name"), F.col("player_id").cast("string").alias("description"), F.lit(-115).alias("price"), (F.col("points") + 0.5).cast("double").alias("point"))
     outcomes = fx.stat.where("player_id % 2 = 0").select("game_id", "date", F.explode(F.array(line("Over"), line("Under"))).alias("o")).groupBy("game_id", "date").agg(F.collect_list("o").alias("outcomes"))
-    rows = outcomes.select(MONTH.alias("month"), item(F.concat(F.lit("evt-"), "game_id").alias("id"), F.array(F.struct(F.lit("fanduel").alias("key"), F.array(F.struct(F.lit("player_points").alias("key"), "outcomes")).alias("markets"))).alias("bookmakers")))
+    rows = outcomes.select(month(), item(F.concat(F.lit("evt-"), "game_id").alias("id"), F.array(F.struct(F.lit("fanduel").alias("key"), F.array(F.struct(F.lit("player_points").alias("key"), "outcomes")).alias("markets"))).alias("bookmakers")))
     path = table_of(fx, "props-json")
     for half in (0, 1):
         dump(f"{path}/half={half}", rows.where(F.substring("month", 6, 2).cast("int") % 2 == half), more=("not json",))
@@ -109,7 +110,7 @@ def board_rows(fx: Tables) -> DataFrame:
     team = lambda s: F.struct(F.col("game_id").cast("string").alias("gameId"), F.col(f"{s}_team_id").cast("long").alias("teamId"), F.col(f"{s}_score").alias("score"), (F.col("game_id") % 7).cast("int").alias("wins"))
     game = F.struct(F.col("game_id").cast("string").alias("gameId"), F.when(F.col("status") == "Final", F.when(F.col("game_id") % 5 == 0, "Final/OT").otherwise("Final")).otherwise("7:00 pm ET").alias("gameStatusText"))
     dates = fx.game.groupBy("date").agg(F.collect_list(game).alias("games"), F.flatten(F.collect_list(F.array(team("away"), team("home")))).alias("teams"))
-    return landing.scoreboards(fx.spark, dump(table_of(fx, "boards-json"), dates.select(MONTH.alias("month"), item(F.col("date").cast("string").alias("date"), "games", "teams"))))
+    return landing.scoreboards(fx.spark, dump(table_of(fx, "boards-json"), dates.select(month(), item(F.col("date").cast("string").alias("date"), "games", "teams"))))
 
 
 boards = lambda fx: fx.once("boards", board_rows)
@@ -125,7 +126,7 @@ def schedule_files(fx: Tables) -> DataFrame:
     side = lambda s: F.struct(F.col(f"{s}_team_id").cast("long").alias("teamId"), F.col(f"{s}_score").alias("score"))
     game = F.struct(F.col("game_id").cast("string").alias("gameId"), F.col("status").alias("gameStatusText"), side("home").alias("homeTeam"), side("away").alias("awayTeam"))
     dates = fx.game.groupBy("date").agg(F.collect_list(game).alias("games"))
-    rows = dates.select(MONTH.alias("month"), item(F.date_format("date", "MM/dd/yyyy").alias("gameDate"), "games"))
+    rows = dates.select(month(), item(F.date_format("date", "MM/dd/yyyy").alias("gameDate"), "games"))
     return landing.schedules(fx.spark, dump(table_of(fx, "schedule-json"), rows, lambda b: F.concat(F.lit('{"leagueSchedule":{"gameDates":['), b, F.lit("]}}"))))
 
 
