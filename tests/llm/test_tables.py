@@ -180,7 +180,7 @@ def test_topk_wide(spark):
 
 def test_sql(spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         got, want = queries.QUERIES[name](spark, sf_dir), con.execute(sql)
