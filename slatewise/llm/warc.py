@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from slatewise.llm.common import in_arrow, keep, shared_dir
 
 #: Payloads from this size on are stored once.
 MIN_REVISIT_BYTES = 100
-#: Captures of one archive file, at three records each; an archive must stay below 2 GB compressed.
+#: Captures of one archive file, at three records each. Archives are read as streams, so this bounds the work of a task, not its memory.
 CAPTURES_PER_FILE = 1000
 #: So many repeated digests, of about 100 bytes each, are broadcast at most.
 SENT_DIGESTS = 200_000
@@ -122,56 +122,74 @@ def parse_archive(chunks: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str]
         pos += whole
 
 
-def _inflate(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """The content of a gzip file, member after member, about ``step`` bytes at a time."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    unzip = zlib.decompressobj(31)
-    while data:
-        yield unzip.decompress(data, step)
-        data = unzip.unconsumed_tail
-        if unzip.eof:
-            data, unzip = unzip.unused_data, zlib.decompressobj(31)
-    yield unzip.flush()
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes]]:
+    """(file, name, bytes) of each run of lines of one file in a batch; ``name`` stands at lines that can begin a record."""
+    for batch in batches:
+        files = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start < end:
+                yield int(files[start]), batch.column(1)[start].as_py(), b"\n".join(batch.column(2).slice(start, end - start).to_pylist()) + b"\n"
 
 
 def read_records(spark: SparkSession, path: str, with_block: bool = False) -> DataFrame:
     """One row for each WARC record under ``path``; payload size and digest are computed from the block.
 
     ``block`` is the HTTP payload as text where ``with_block`` asks for it, else null. A revisit's block
-    has no payload: its size is the one its HTTP header tells and its digest the one its header names."""
+    has no payload: its size is the one its HTTP header tells and its digest the one its header names.
+    Archives are gzip files (Spark cuts plain ones): they come through the text source line by line, each in one task and in order, and records
+    are put together from the lines. A task holds one record and one batch, whatever the size of an archive, which may pass 2 GB. A line's only
+    separator is the line feed, so joining lines gives back every byte. An empty archive has no records; one that ends inside a record is an error."""
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        """(path, chunks) of each archive: runs of equal ``file``, across batches."""
+        runs = _runs(batches)
+        held = next(runs, None)
+        while held is not None:
+            at, name = held[0], held[1]
+
+            def chunks() -> Iterator[bytes]:
+                nonlocal held
+                while held is not None and held[0] == at:
+                    yield held[2]
+                    held = next(runs, None)
+
+            own = chunks()
+            yield name, own
+            for _ in own:  # what a reader left
+                pass
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         schema = pa.schema([(n, pa.int64() if n in ("page_id", "payload_bytes", "place") else pa.string()) for n in names])
         rows: list[dict] = []
         size = 0
-        for batch in batches:
-            for archive, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                for place, f, block in parse_archive(_inflate(content.as_buffer().to_pybytes())):
-                    kind, row = f["warc-type"], {"archive": archive.as_py(), "place": place}
-                    row |= {"record_id": f["warc-record-id"], "warc_type": kind, "concurrent_to": f.get("warc-concurrent-to"), "refers_to_record": f.get("warc-refers-to"), "target_uri": f.get("warc-target-uri")}
-                    row["page_id"] = int(f["x-page-id"]) if f.get("x-page-id") else None
-                    if kind in ("response", "revisit"):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        row["truncated_digest"] = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                        if kind == "response":
-                            row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "block": payload.decode("utf-8", "replace") if with_block else None}
-                        else:
-                            row |= {"payload_bytes": int(re.search(rb"(?i)content-length: *(\d+)", head)[1]), "payload_digest": row["truncated_digest"]}
-                    elif with_block:
-                        row["block"] = block.decode("utf-8", "replace")
-                    rows.append(row)
-                    size += len(block) if with_block else 500
-                    if size > 8_000_000 or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
+        for archive, content in archives(batches):
+            for place, f, block in parse_archive(content):
+                kind, row = f["warc-type"], {"archive": archive, "place": place}
+                row |= {"record_id": f["warc-record-id"], "warc_type": kind, "concurrent_to": f.get("warc-concurrent-to"), "refers_to_record": f.get("warc-refers-to"), "target_uri": f.get("warc-target-uri")}
+                row["page_id"] = int(f["x-page-id"]) if f.get("x-page-id") else None
+                if kind in ("response", "revisit"):
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    row["truncated_digest"] = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                    if kind == "response":
+                        row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "block": payload.decode("utf-8", "replace") if with_block else None}
+                    else:
+                        row |= {"payload_bytes": int(re.search(rb"(?i)content-length: *(\d+)", head)[1]), "payload_digest": row["truncated_digest"]}
+                elif with_block:
+                    row["block"] = block.decode("utf-8", "replace")
+                rows.append(row)
+                size += len(block) if with_block else 500
+                if size > 8_000_000 or len(rows) >= 5000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return in_arrow(files, parse, RECORDS)
+    name = F.col("_metadata.file_path")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.xxhash64(name).alias("file"), F.when(F.col("value").startswith("WARC/"), name).alias("name"), F.col("value").cast("binary").alias("line"))
+    return in_arrow(lines, parse, RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:

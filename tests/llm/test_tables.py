@@ -1,6 +1,8 @@
 """Operators on pages and vectors, the pipeline, and every registered SQL on the smallest tables."""
 
+import gzip
 import hashlib
+import itertools
 import math
 from collections import Counter
 
@@ -53,6 +55,33 @@ def test_archive_parts():
         list(warc.parse_archive([data[:-9]]))
 
 
+def test_archives_as_streams(spark, tmp_path):
+    """Lines of any kind give back the same bytes; archives of several members, of one record and of none, more of them than tasks."""
+    texts = ["", "\n", "\r", "\r\n", "\n\n\r\r\n\n", "\r\n\r\nWARC/1.1\r\n\r\n", "WARC/1.1\nWARC/1.1", "a\u2028b\x0bc\x0cd\x85e", "x" * 300_000, "é\n" * 50_000, "\r\n\r\n" * 9]
+
+    def record(page, text):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + text.encode()
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{page}>\r\nX-Page-ID: {page}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    page, want = 0, []
+    for n in range(60):
+        members = []
+        for k in range(n % 4):
+            text = texts[(n + k) % len(texts)]
+            members.append(gzip.compress(record(page, text)))
+            want.append((f"a{n:02d}.gz", page, text))
+            page += 1
+        (tmp_path / f"a{n:02d}.gz").write_bytes(b"".join(members) or gzip.compress(b""))
+    got = warc.read_records(spark, f"file://{tmp_path}/*.gz", with_block=True)
+    assert sorted((r.archive.rsplit("/", 1)[1], r.page_id, r.block) for r in got.collect()) == want
+    for archive, rows in itertools.groupby(sorted(got.collect(), key=lambda r: (r.archive, r.place)), key=lambda r: r.archive):
+        sizes = [(r.place, r.page_id) for r in rows]
+        assert sizes[0][0] == 0 and [p for _, p in sizes] == sorted(p for _, p in sizes), archive
+    (tmp_path / "a99.gz").write_bytes(gzip.compress(record(0, "abc")[:-9]))
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_records(spark, f"file://{tmp_path}/*.gz").collect()
+
+
 def test_urls(spark, pages):
     def split(url):
         if not url or "://" not in url:
