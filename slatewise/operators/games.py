@@ -40,8 +40,8 @@ for _side in ("home", "away"):
         _name, _top = f"{_side.upper()}_TOP_{_word}", f"{_side}_top_{_avg}"
         OUTCOMES |= {f"{_name}_{n}_PLUS": f"{_top}_{_stat} >= {n}" for n in _bounds} | {f"{_name}_EXCEEDS_AVG": f"{_top}_{_avg} <> 0 and {_top}_{_stat} > {_top}_{_avg}"}
     OUTCOMES[f"{_side.upper()}_TOP_SCORER_DOUBLE_DOUBLE"] = " + ".join(f"case when {_side}_top_ppg_{c} >= 10 then 1 else 0 end" for c in ("points", "rebounds", "assists")) + " >= 2"
-_TENS = "case when points >= 10 then 1 else 0 end + case when rebounds >= 10 then 1 else 0 end + case when assists >= 10 then 1 else 0 end + case when steals >= 10 then 1 else 0 end + case when blocks >= 10 then 1 else 0 end"
-BEST = {"game_secs": "sum(secs)", "max_points": "max(points)", "max_assists": "max(assists)", "max_rebounds": "max(rebounds)", "max_threes": "max(coalesce(fg3m, 0))", "max_tens": f"max({_TENS})"}
+TENS = "case when points >= 10 then 1 else 0 end + case when rebounds >= 10 then 1 else 0 end + case when assists >= 10 then 1 else 0 end + case when steals >= 10 then 1 else 0 end + case when blocks >= 10 then 1 else 0 end"
+BEST = {"game_secs": "sum(secs)", "max_points": "max(points)", "max_assists": "max(assists)", "max_rebounds": "max(rebounds)", "max_threes": "max(coalesce(fg3m, 0))", "max_tens": f"max({TENS})"}
 
 CONDITIONS = {f"{k}:{me}": e.format(me=me, opp=opp) for k, e in SIDE.items() for me, opp in (("home", "away"), ("away", "home"))} | {f"{k}:game": e for k, e in GAME.items()}
 KEYS = CONDITIONS | {f"{k}:game": e for k, e in OUTCOMES.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions.parsing import eastern_date
 from slatewise.functions.significance import kelly
+from slatewise.operators.games import TENS
 from slatewise.operators.mining import hit_bit, matches
 
 #: Outcomes of any player, which name nobody to bet on.
@@ -165,20 +166,56 @@ def feed(games: DataFrame, patterns: DataFrame, per_game: int = 10) -> DataFrame
     return ranked.select("game_id", "date", "place", "outcomes", "combo", "outcome", F.round("hit_rate", 6).alias("hit_rate"), "sample", high.alias("high_value"), bet_type(F.col("outcome")).alias("bet_type"), result)
 
 
-def explanation(outcome: Column) -> Column:
-    """What made an outcome hold, from a game's numbers (wide columns): the top player's line, the total against the line, the margin
-    against the spread; null where there is nothing to say."""
-    signed = lambda c: F.concat(F.when(c > 0, "+").otherwise(""), c.cast("string"))
-    parts = []
+#: The line of a game that an outcome of any player is about: its condition and the number that is told, with its unit.
+FIRST_LINES = {
+    "PLAYER_30_PLUS": ("points >= 30", "points", "pts"), "PLAYER_40_PLUS": ("points >= 40", "points", "pts"), "PLAYER_DOUBLE_DOUBLE": (f"{TENS} >= 2", None, None), "PLAYER_TRIPLE_DOUBLE": (f"{TENS} >= 3", None, None),
+    "PLAYER_10_PLUS_ASSISTS": ("assists >= 10", "assists", "ast"), "PLAYER_10_PLUS_REBOUNDS": ("rebounds >= 10", "rebounds", "reb"), "PLAYER_5_PLUS_THREES": ("fg3m >= 5", "fg3m", "3PM"),
+}
+#: The number that is told of a side's top player by each average, with its unit.
+TOP_NUMBERS = {"ppg": ("points", "pts"), "rpg": ("rebounds", "reb"), "apg": ("assists", "ast")}
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(game_id, outcome, player_id, said): the line of each game that made an outcome of FIRST_LINES hold, of several the smallest player_id's.
+
+    One aggregation over ``lines`` (game_id, player_id, stats), in each task first; ``said`` is null where an outcome tells no number."""
+    number = lambda c, unit: F.concat(F.col(c).cast("string"), F.lit(f" {unit}")) if c else F.lit(None).cast("string")
+    firsts = [F.min(F.when(F.expr(e), F.struct("player_id", number(c, unit).alias("said")))).alias(o) for o, (e, c, unit) in FIRST_LINES.items()]
+    wide = lines.where(F.expr(" or ".join(f"({e})" for e, _, _ in FIRST_LINES.values()))).groupBy("game_id").agg(*firsts)
+    held = F.array_compact(F.array(*[F.when(F.col(o).isNotNull(), F.struct(F.lit(o).alias("outcome"), F.col(o)["player_id"].alias("player_id"), F.col(o)["said"].alias("said"))) for o in FIRST_LINES]))
+    return wide.select("game_id", F.explode(held).alias("x")).select("game_id", "x.*")
+
+
+def explained(hits: DataFrame, wide: DataFrame, lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``hits`` (game_id, outcome), outcomes that held, with ``explanation``: what made them hold.
+
+    An outcome of a side's top player names the player and the number it is about; one of any player the first line that reached the bound, with
+    its points, rebounds, assists or three-pointers; a double-double the player alone. Covers of the home or away side tell the margin and
+    the spread as that side sees them, overs and unders the total and the line. The rest, and games without what is needed, have null.
+    A player is called by ``names`` (player_id, name), by number where no name is known.
+    ``wide``: a game's scores, line and top players; ``lines``: player lines."""
+    name = F.col("_name")
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    signed = lambda c: F.concat(F.when(c > 0, "+").otherwise(""), number(c))
+    who, said = [], []
     for side in ("home", "away"):
         for word, average in TARGETS.items():
-            own = lambda c, a=average, s=side: F.col(f"{s}_top_{a}_{c}")
-            line = F.concat_ws(", ", F.concat(F.lit("#"), own("player_id").cast("string")), F.concat(own("points").cast("string"), F.lit(" pts")), F.concat(own("rebounds").cast("string"), F.lit(" reb")), F.concat(own("assists").cast("string"), F.lit(" ast")))
-            parts.append(F.when(outcome.startswith(f"{side.upper()}_TOP_{word}"), line))
-    total, margin = F.col("home_score") + F.col("away_score"), F.col("home_score") - F.col("away_score")
-    parts.append(F.when(outcome.rlike("^(OVER|UNDER)_HIT"), F.concat(total.cast("string"), F.lit(" total (line: "), F.col("total_over").cast("int").cast("string"), F.lit(")"))))
-    parts.append(F.when(outcome.contains("COVERED"), F.concat(F.lit("margin "), signed(margin), F.lit(" (spread: "), signed(F.col("spread_home")), F.lit(")"))))
-    return F.nullif(F.coalesce(*parts), F.lit(""))
+            stat, unit = TOP_NUMBERS[average]
+            own = name.startswith(f"{side.upper()}_TOP_{word}")
+            who.append(F.when(own, F.col(f"{side}_top_{average}_player_id")))
+            said.append(F.when(own & ~name.endswith("DOUBLE_DOUBLE"), F.concat(F.col(f"{side}_top_{average}_{stat}").cast("string"), F.lit(f" {unit}"))))
+    margin, spread = F.col("home_score") - F.col("away_score"), F.col("spread_home")
+    cover = lambda m, s: F.concat(F.lit("margin "), signed(m), F.lit(" (spread: "), signed(s), F.lit(")"))
+    said.append(F.when(name == "HOME_COVERED", cover(margin, spread)).when(name == "AWAY_COVERED", cover(-margin, -spread)))
+    said.append(F.when(name.isin("OVER_HIT", "UNDER_HIT"), F.concat(number(F.col("home_score") + F.col("away_score")), F.lit(" total (line: "), number(F.col("total_over")), F.lit(")"))))
+    first = first_lines(lines).select("game_id", F.col("outcome").alias("_name"), F.col("player_id").alias("_first"), F.col("said").alias("_first_said"))
+    asked = hits.select("game_id", base_outcome().alias("_name"), F.struct(*hits.columns).alias("_hit"))
+    told = asked.join(wide, "game_id", "left").join(first, ["game_id", "_name"], "left").select("_hit", F.coalesce(*who, "_first").alias("_player"), F.coalesce(*said, "_first_said").alias("_said"))
+    called = F.concat(F.lit("Player "), F.col("_player").cast("string"))
+    if names is not None:
+        told = told.join(names.select(F.col("player_id").alias("_player"), F.col("name").alias("_called")), "_player", "left")
+        called = F.coalesce("_called", called)
+    return told.select("_hit.*", F.nullif(F.concat_ws(", ", called, "_said"), F.lit("")).alias("explanation"))
 
 
 def settled(met: DataFrame, events: DataFrame) -> DataFrame:

@@ -160,10 +160,20 @@ register("pr04_feed", lambda fx: the_feed(fx).withColumn("target_value", F.round
     from shown f join recent r on r."name" = f."name" and r.outcome = f.outcome and r.date = f.date left join tops t on t.game_id = f.game_id and t.side = f.target_side and t.stat = f.target_stat left join sl_wide w on w.game_id = f.game_id""", FEED))
 register("pm15_hits", lambda fx: q.best_hits(fx), with_ctes("select * from best_hits", MET))
 register("pr05_settled", lambda fx: predict.settled(q.best_hits(fx).select("game_id", F.col("name").alias("combo"), F.regexp_replace("outcome", ":game", ":home").alias("outcome")), q.game_events(fx)), with_ctes("select game_id, \"name\" combo, replace(outcome, ':game', ':home') outcome, hit = 1 result from best_hits", MET))
-_parts = " ".join(f"when outcome like '{s.upper()}\\_TOP\\_{w}%' escape '\\' then concat_ws(', ', '#' || {s}_top_{a}_player_id, {s}_top_{a}_points || ' pts', {s}_top_{a}_rebounds || ' reb', {s}_top_{a}_assists || ' ast')" for s in ("home", "away") for w, a in predict.TARGETS.items())
-_sign = lambda e: f"(case when {e} > 0 then '+' else '' end || {e})"
-register("prj3_explained", lambda fx: q.game_events(fx).where("kind = 'outcome'").select("game_id", F.col("event_key").alias("outcome")).join(q.game_wide(fx), "game_id").select("game_id", "outcome", predict.explanation(F.col("outcome")).alias("explanation")), with_ctes(
-    f"select game_id, outcome, case {_parts} when regexp_matches(outcome, '^(OVER|UNDER)_HIT') then (home_score + away_score) || ' total (line: ' || total_over::int || ')' when outcome like '%COVERED%' then 'margin ' || {_sign('(home_score - away_score)')} || ' (spread: ' || {_sign('spread_home')} || ')' end explanation from outcomes join wide using (game_id)", GAME_SQL | COUNTS))
+_num = lambda e: f"regexp_replace(({e})::varchar, '\\.0$', '')"
+_sign = lambda e: f"(case when {e} > 0 then '+' else '' end || {_num(e)})"
+_cover = lambda m, s: f"'margin ' || {_sign(m)} || ' (spread: ' || {_sign(s)} || ')'"
+_tops = [(f"{s.upper()}_TOP_{w}", f"{s}_top_{a}_player_id", f"{s}_top_{a}_{predict.TOP_NUMBERS[a][0]}", predict.TOP_NUMBERS[a][1]) for s in ("home", "away") for w, a in predict.TARGETS.items()]
+EXPLAINED = GAME_SQL | COUNTS | {
+    "firsts": " union all ".join(f"select game_id, '{o}' first_of, min(player_id) first_id, {f"arg_min({c}, player_id) || ' {unit}'" if c else 'null'} first_said from fx_stat where {e} group by game_id" for o, (e, c, unit) in predict.FIRST_LINES.items()),
+    "told": "select o.game_id, o.outcome, case " + " ".join(f"when starts_with(base, '{k}') then {p}" for k, p, _, _ in _tops) + " else first_id end player, case when ends_with(base, 'DOUBLE_DOUBLE') then null " + " ".join(f"when starts_with(base, '{k}') then {c} || ' {unit}'" for k, _, c, unit in _tops)
+    + f" when base = 'HOME_COVERED' then {_cover('(home_score - away_score)', '(spread_home)')} when base = 'AWAY_COVERED' then {_cover('(away_score - home_score)', '(-spread_home)')} when base in ('OVER_HIT', 'UNDER_HIT') then (home_score + away_score) || ' total (line: ' || {_num('total_over')} || ')' else first_said end said"
+    " from (select *, split_part(outcome, ':', 1) base from outcomes) o join wide using (game_id) left join firsts f on f.game_id = o.game_id and f.first_of = o.base",
+}
+_named = "player % 5 <> 0"
+prj3_names = lambda fx: fx.stat.select("player_id").distinct().where("player_id % 5 <> 0").select("player_id", F.concat(F.lit("First Last"), F.col("player_id").cast("string")).alias("name"))
+register("prj3_explained", lambda fx: predict.explained(q.game_events(fx).where("kind = 'outcome'").select("game_id", F.col("event_key").alias("outcome")), q.game_wide(fx), fx.stat, prj3_names(fx)), with_ctes(
+    f"select game_id, outcome, nullif(concat_ws(', ', case when {_named} then 'First Last' || player else 'Player ' || player end, said), '') explanation from told", EXPLAINED))
 
 
 register("j09_latest_context", lambda fx: predict.latest_before(fx.once("players", lambda fx: (q.game_wide(fx), fx.kept["players"])[1]).join(fx.game.select("game_id", "date"), "game_id"), ["player_id"], "1998-01-01").select("player_id", "game_id", "date", "gp", *r6("ppg")), with_ctes(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slatewise.sources.kept import keep, shared_dir
 
@@ -65,12 +66,19 @@ class Tables:
         return self.spark.sql(CTES[view])
 
 
-_known: dict[tuple[str, str, str], Tables] = {}
+_known: dict[tuple[str, str, str], tuple[int, Tables]] = {}
+
+
+def files_state(spark: SparkSession, sf_dir: str) -> int:
+    """A number that tells whether any file of the base tables was changed, added or taken away: of names, lengths and times, no content is read."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in BASE])
+    return files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0]
 
 
 def frames(spark: SparkSession, sf_dir: str) -> Tables:
-    """The fixture tables of ``sf_dir``: team, game, stat, odds, line; the same object as long as the application runs."""
+    """The fixture tables of ``sf_dir``: team, game, stat, odds, line; the same object as long as the application runs and the files stay as they are."""
     key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir)
-    if key not in _known:
-        _known[key] = Tables(spark, sf_dir)
-    return _known[key]
+    state = files_state(spark, sf_dir)
+    if key not in _known or _known[key][0] != state:
+        _known[key] = state, Tables(spark, sf_dir)
+    return _known[key][1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from slatewise import registry
 from slatewise.functions import significance
-from slatewise.operators import games, mining, night
+from slatewise.operators import games, mining, night, predict
 from slatewise.plans import queries as q
 from slatewise.sources.fixtures import frames
 
@@ -91,3 +91,34 @@ def test_support_falls(spark):
 
     want = {"+".join(c): len(set.intersection(*(own[k] for k in c))) for n in (1, 2, 3) for c in combinations("abcd", n)}
     assert got == {c: n for c, n in want.items() if n >= 3}
+
+
+def test_explained(spark):
+    """Each kind of outcome in one game: side's players, any player's first line, covers as either side sees them, lines with halves, nothing to say."""
+    tops = {f"{s}_top_{a}_{c}": v for s, n in (("home", 0), ("away", 10)) for a, p in (("ppg", 1), ("rpg", 2), ("apg", 3)) for c, v in (("player_id", n + p), ("points", 20 + n + p), ("rebounds", n + p), ("assists", 2 * n + p))}
+    wide = spark.createDataFrame([tuple([1, 100, 95, -3.5, 194.5, *tops.values()]), tuple([2, 90, 95, 4.0, 180.0, *[None] * len(tops)])], "game_id long, home_score int, away_score int, spread_home double, total_over double, " + ", ".join(f"{c} int" for c in tops))
+    lines = spark.createDataFrame([(1, 9, 31, 10, 10, 1, 0, 7), (1, 4, 30, 2, 12, 1, 0, None), (1, 5, 41, 2, 2, 10, 0, 5), (2, 6, 3, 2, 2, 1, 1, 4)], "game_id long, player_id int, points int, rebounds int, assists int, steals int, blocks int, fg3m int")
+    names = spark.createDataFrame([(4, "Ann Four"), (1, "Bo One")], "player_id int, name string")
+    want = {
+        (1, "HOME_TOP_SCORER_25_PLUS:game"): "Bo One, 21 pts", (1, "AWAY_TOP_REBOUNDER_EXCEEDS_AVG:game"): "Player 12, 12 reb", (1, "AWAY_TOP_ASSIST_8_PLUS:game"): "Player 13, 23 ast", (1, "HOME_TOP_SCORER_DOUBLE_DOUBLE:game"): "Bo One",
+        (1, "PLAYER_30_PLUS:game"): "Ann Four, 30 pts", (1, "PLAYER_40_PLUS"): "Player 5, 41 pts", (1, "PLAYER_DOUBLE_DOUBLE:game"): "Ann Four", (1, "PLAYER_TRIPLE_DOUBLE:game"): "Player 9", (1, "PLAYER_10_PLUS_ASSISTS:game"): "Ann Four, 12 ast",
+        (1, "PLAYER_10_PLUS_REBOUNDS:game"): "Player 9, 10 reb", (1, "PLAYER_5_PLUS_THREES:game"): "Player 5, 5 3PM", (1, "HOME_COVERED:game"): "margin +5 (spread: -3.5)", (2, "AWAY_COVERED:game"): "margin +5 (spread: -4)",
+        (1, "OVER_HIT:game"): "195 total (line: 194.5)", (2, "OVER_HIT:game"): "185 total (line: 180)", (1, "FAVORITE_COVERED:game"): None, (1, "HOME_WIN:game"): None, (2, "HOME_TOP_SCORER_25_PLUS:game"): None, (2, "PLAYER_5_PLUS_THREES:game"): None, (3, "OVER_HIT:game"): None,
+    }
+    hits = spark.createDataFrame([(*k, 7) for k in want], "game_id long, outcome string, home_score int")
+    got = predict.explained(hits, wide, lines, names)
+    assert got.columns == [*hits.columns, "explanation"] and {(r.game_id, r.outcome): r.explanation for r in got.collect()} == want
+    assert {r.explanation for r in predict.explained(hits, wide, lines).where("outcome = 'PLAYER_30_PLUS:game'").collect()} == {"Player 4, 30 pts"}
+    assert predict.explained(hits.limit(0), wide, lines).count() == 0 and predict.explained(hits, wide.limit(0), lines.limit(0)).where("explanation is not null").count() == 0
+
+
+def test_tables_follow_their_files(spark, sf_dir, tmp_path):
+    """A folder whose files change within an application is derived anew; one left alone is not."""
+    for t in ("region", "nation", "customer", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.limit(100).write.parquet(f"{tmp_path}/orders.parquet")
+    first = frames(spark, str(tmp_path))
+    assert first.game.count() == 100 and frames(spark, str(tmp_path)) is first
+    orders.orderBy("o_orderkey").limit(7).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    assert frames(spark, str(tmp_path)).game.count() == 107 and first.game.count() == 100
