@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.common import in_arrow, keep, per_task, rows_of
@@ -76,12 +77,42 @@ COMPARED = "doc_id long, n_chars long, edited_sha256 string, digest string, edit
 LEAST = -(1 << 63)
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """At most n ids of ``docs``, the largest first, that cut them into even ranges; a null id is LEAST."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
-    cuts = F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n + 1)]), F.lit(max(10_000, 20 * n)))
-    top, inner = docs.agg(F.max(key), cuts).first()
-    return sorted({top, *(inner or [])}, reverse=True) if top is not None else []
+def _key() -> Column:
+    """What documents are ordered by, descending; null is LEAST."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+
+
+def _place(bounds: Column, hash_: Column) -> Column:
+    """How many of ``bounds`` (id, hash; in the order of documents) don't come after a row."""
+    return F.size(F.filter(bounds, lambda b: (b["id"] > F.col("key")) | ((b["id"] == F.col("key")) & (b["hash"] <= hash_))))
+
+
+def _own_range(bounds: list[tuple[int, int]], hash_: Column) -> Column:
+    """The number of the range that a row lies in, told first by every so manyth bound and then by those that follow."""
+    wide = int(len(bounds) ** 0.5) + 1
+    literal = lambda part: F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("hash")) for i, h in part])
+    block = _place(literal(bounds[::wide]), hash_) - 1
+    return F.greatest(block * wide + _place(F.slice(literal(bounds), block * wide + 1, wide), hash_) - 1, F.lit(0))
+
+
+def _ranges(docs: DataFrame, n: int) -> tuple[list[tuple[int, int]], Column]:
+    """(firsts, hash): the first rows (id, hash) of at most n + 1 ranges of ``docs``, in the order of documents, and what orders rows of one id there.
+
+    Cuts are approximate quantiles of the ids. An id that fills several quantiles (null is LEAST) is cut at even steps of its texts' hashes as
+    often; elsewhere the hash is 0, and no text is read. The real first row of each range is found by one aggregation, a row per range, so
+    cuts needn't be ids that exist."""
+    cuts = F.percentile_approx(_key(), F.array(*[F.lit(i / n) for i in range(1, n + 1)]), F.lit(max(10_000, 20 * n)))
+    top, inner = docs.agg(F.max(_key()), cuts).first()
+    if top is None:
+        return [], F.lit(0)
+    times = Counter(inner or [])
+    asked = {(top, LEAST)} | {(i, LEAST + (j << 64) // k) for i, k in times.items() for j in range(k)}
+    hot = [i for i, k in times.items() if k > 1]
+    rows = docs.select(_key().alias("key"), *(["text"] if hot else []))
+    hash_ = F.when(F.col("key").isin(*hot), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0)) if hot else F.lit(0)
+    own = _own_range(sorted(asked, key=lambda b: (-b[0], b[1])), hash_)
+    found = rows.select(own.alias("range"), "key", hash_.alias("hash")).groupBy("range").agg(F.max(F.struct("key", F.bitwise_not("hash").alias("least"))).alias("first")).collect()
+    return sorted(((r["first"]["key"], ~r["first"]["least"]) for r in found), key=lambda b: (-b[0], b[1])), hash_
 
 
 def edit_and_compare(docs: DataFrame) -> DataFrame:
@@ -91,25 +122,21 @@ def edit_and_compare(docs: DataFrame) -> DataFrame:
     document in descending order of doc_id, after the last the first. Documents go by ranges of that order,
     text and all, once; the first of each range is also a guest at the end of the range before, so every
     document meets its next one. A single document is its own next one. Null texts are empty; null ids come
-    last; repeated ids go by their texts' hashes. Alike is 1.0 where digest and bytes are equal, else 0.0."""
-    bounds = _ranges(docs, per_task(docs))
-    if not bounds:
+    last; repeated ids go by their texts' hashes, and an id (or null) of very many rows is cut into ranges by them, so that only rows of one id and
+    one text must meet. Alike is 1.0 where digest and bytes are equal, else 0.0."""
+    firsts, hash_ = _ranges(docs, per_task(docs))
+    if not firsts:
         return docs.sparkSession.createDataFrame([], COMPARED)
-    wide = int(len(bounds) ** 0.5) + 1
-    every = F.array(*[F.lit(b) for b in bounds])
-    coarse = F.array(*[F.lit(b) for b in bounds[::wide]])
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
-    block = F.size(F.filter(coarse, lambda b: b >= F.col("key"))) - 1
-    rows = rows.withColumn("block", block)
-    rows = rows.withColumn("own", F.col("block") * wide + F.size(F.filter(F.slice(every, F.col("block") * wide + 1, wide), lambda b: b >= F.col("key"))) - 1)
-    before = F.pmod(F.col("own") - 1, F.lit(len(bounds)))
-    is_first = F.element_at(every, F.col("own") + 1) == F.col("key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key")).withColumn("hash", hash_)
+    rows = rows.withColumn("own", _own_range(firsts, F.col("hash")))
+    before = F.pmod(F.col("own") - 1, F.lit(len(firsts)))
+    is_first = F.element_at(F.array(*[F.lit(i).cast("long") for i, _ in firsts]), F.col("own") + 1) == F.col("key")
+    is_first = is_first & (F.element_at(F.array(*[F.lit(h).cast("long") for _, h in firsts]), F.col("own") + 1) == F.col("hash"))
     places = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")))
     guests = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guest")), F.struct(before.alias("range"), F.lit(True).alias("guest")))
     rows = rows.withColumn("place", F.explode(F.when(is_first, guests).otherwise(places)))
-    dealt = rows.select("place.range", "place.guest", "doc_id", "text", "key").repartitionById(len(bounds), F.col("range").cast("int"))
-    dealt = dealt.sortWithinPartitions("range", "guest", F.desc("key"), F.xxhash64("text")).select("range", "guest", "doc_id", "text")
+    dealt = rows.select("place.range", "place.guest", "doc_id", "text", "key").repartitionById(len(firsts), F.col("range").cast("int"))
+    dealt = dealt.sortWithinPartitions("range", "guest", F.desc("key"), F.xxhash64(F.coalesce("text", F.lit("")))).select("range", "guest", "doc_id", "text")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in COMPARED.split(", ")]

@@ -119,6 +119,22 @@ def test_fingerprints(spark, docs, odd_docs, no_docs):
     assert fingerprints.fingerprints(no_docs).count() == 0
 
 
+def test_fingerprints_of_frequent_and_large_ids(spark):
+    """A third of all rows without an id, a third of one id, the rest beyond 2^53: each meets its next one, and frequent ids lie in many ranges."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else (1 << 60) + i, f"text {i} " * (i % 7) if i % 50 else None) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    source = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.h, r.text or "") for r in frame.selectExpr("*", "xxhash64(coalesce(text, '')) h").collect()), key=lambda r: (-r[0], r[1]))
+    want = Counter()
+    for i, (_, _, own) in enumerate(source):
+        half, after = len(own) // 2, source[(i + 1) % len(source)][2]
+        want[(hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest(), len(own))] += 1
+    assert Counter((r.edited_sha256, r.n_chars) for r in fingerprints.fingerprints(frame).collect()) == want
+    firsts, hash_ = fingerprints._ranges(frame, 12)
+    held = Counter(r[0] for r in frame.select(fingerprints._key().alias("key"), "text").select(fingerprints._own_range(firsts, hash_)).collect())
+    assert sum(held.values()) == 600 and len(held) == len(firsts) >= 9 and max(held.values()) <= 150
+    frame.unpersist()
+
+
 def test_fingerprint_collisions(spark):
     frame = spark.createDataFrame([(1, "alpha"), (2, "Alpha "), (3, "beta"), (4, "gamma")], "doc_id long, text string")
     known = frame.selectExpr("doc_id", "case when doc_id < 4 then 'same' else 'own' end digest")
