@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import in_arrow, keep, per_task, rows_of
+from slatewise.llm.common import in_arrow, keep, per_task, rows_of, sent
 from slatewise.llm.ranks import ranked
 
 #: The ids of documents that share a digest are broadcast up to this many, else joined by a shuffle.
@@ -48,11 +48,12 @@ def classes(docs: DataFrame, known: DataFrame, key: str = "doc_id", hashed: Call
     """(key, digest, variant) of the documents whose digest several have: variant numbers the different
     canonical texts of one digest from 0, by byte order. It is 0 for all unless the hash collides.
 
-    ``known`` (key, digest) has the digests. Only documents of shared buckets are compared byte by byte;
+    ``known`` (key, digest) has the digests. Rows find out whether theirs is shared where they are, as long as the shared digests fit a broadcast
+    (see common.sent); beyond it by a shuffle, whose large partitions Spark splits. Only documents of shared buckets are compared byte by byte;
     the aggregation that compares them meets equal bytes in each task first, so that a bucket with a
     third of all documents adds a row per task. A null key is in no comparison."""
-    shared = known.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    members = keep(known.where(F.col(key).isNotNull()).join(shared, "digest", "left_semi").select(key, "digest"), "buckets")
+    shared = keep(known.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "shared-digests")
+    members = keep(known.where(F.col(key).isNotNull()).join(sent(shared), "digest", "left_semi").select(key, "digest"), "buckets")
     asked = members.select(key).distinct()
     if members.count() <= SENT_MEMBERS:
         asked = F.broadcast(asked)
