@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import zlib
@@ -22,7 +23,7 @@ ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 6, 2
 #: Bins below this share of the capacity are opened and dealt again over all problems, LEVELS times at most.
 WELL_FILLED, LEVELS = 0.97, 3
 #: Parts of texts whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 def default_tokenizer() -> str:
@@ -69,13 +70,18 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
-        if OTHER.search(text) or "\0" in text or any(s in text for s in self.special):
+        if (not text.isascii() and OTHER.search(text)) or "\0" in text or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = WORDS.findall(text)
         ids = list(map(self.known.get, words))
-        if None in ids:
-            new = iter(self._merge([w for w, i in zip(words, ids, strict=True) if i is None]))
-            ids = [next(new) if i is None else i for i in ids]
+        new, at = [], -1
+        with contextlib.suppress(ValueError):  # after the last unknown word
+            while True:
+                at = ids.index(None, at + 1)
+                new.append(at)
+        if new:
+            for at, merged in zip(new, self._merge([words[at] for at in new]), strict=True):
+                ids[at] = merged
         return b"".join(ids)
 
 

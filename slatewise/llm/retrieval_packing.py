@@ -50,12 +50,14 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
         vocabulary = max(code.tokenizer.get_vocab_size(), SEPARATOR + 1)
         kind, last = _kind(vocabulary), SEPARATOR.to_bytes(4, "little")
         df, n_docs, item = np.zeros(vocabulary, dtype=np.int64), 0, TaskContext.get().partitionId() << 33
+        places = np.zeros(vocabulary, dtype=np.int64)
         for batch in rows_of(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.frombuffer(code.encode(text.as_py() or "") + last, dtype="<u4")
-                df[np.unique(ids)] += 1
                 n, n_docs = len(ids), n_docs + 1
+                places[ids] = at = np.arange(n)
+                df[ids[places[ids] == at]] += 1  # one place of each different id
                 for start in range(0, n - n % capacity, capacity):
                     rows.append((doc_id, n, start, capacity, crc(ids[start : start + capacity]), -1 - item, item, None, None, None, None))
                     item += 1
@@ -138,21 +140,18 @@ def windows(items: list[np.ndarray], idf: np.ndarray, average: float, capacity:
             used[next_unused] = True
         window, room, rest = [rest], capacity - (rest[2] - rest[1]), None
         scores = index.scores(index.of(window[0][0])[0]) if live else np.zeros(len(items))
-        near = np.flatnonzero((scores > 0) & ~used)
-        near = near[np.lexsort((near, -scores[near]))]
-        at = 0
-        while room and at < len(near):
-            fit = np.flatnonzero(lengths[near[at:]] <= room)
-            if not len(fit):
+        scores[used] = 0
+        while room:
+            fit = np.where(lengths <= room, scores, 0)
+            i = int(fit.argmax())  # of equal scores the first
+            if not fit[i] > 0:
                 break
-            at += int(fit[0])
-            i = int(near[at])
             window.append((i, 0, int(lengths[i])))
-            room, live, used[i], at = room - int(lengths[i]), live - 1, True, at + 1
-        left = near[~used[near]]
+            room, live, used[i], scores[i] = room - int(lengths[i]), live - 1, True, 0
+        nearest = int(scores.argmax()) if live else 0
         while room and live:
-            if len(left):
-                i = int(left[0])
+            if scores[nearest] > 0:
+                i = nearest
             else:
                 while used[next_unused]:
                     next_unused += 1
