@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slatewise.operators import ingest
 from slatewise.plans import landing as plans
 from slatewise.sources import landing
+from slatewise.streaming import landing as stream
 
 
 def plan_of(df) -> str:
@@ -41,3 +42,10 @@ def test_shapes_parse_once(spark):
     report = ingest.shape_report(rows, "box")
     assert plan_of(report).count("from_json") == 1
     assert {r.issue: r.rows for r in report.collect()} == {"missing date": 2, "missing playerStats": 2, "empty playerStats": 4}
+
+
+def test_landed_texts_parse_once(spark):
+    files = spark.range(3).select(F.when(F.col("id") == 0, '[{"gameId":"1","date":"2024-01-01"},{"gameId":"2"}]').when(F.col("id") == 1, " ").otherwise("[{").alias("value"), F.col("id").cast("string").alias("file"), F.lit(None).cast("timestamp").alias("landed"))
+    told = stream.records(files)
+    assert plan_of(told).count("from_json(") == 1
+    assert sorted((r.file, r.reason or "") for r in told.collect()) == [("0", ""), ("0", "NO_DATE"), ("1", "EMPTY_FILE"), ("2", "NOT_JSON")]
