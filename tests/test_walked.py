@@ -112,3 +112,29 @@ def test_daily_hits(spark):
     assert days.count() <= 4 * 90
     want = predict.recent_performance(mining.hits_of(own, patterns), asked).collect()
     assert sorted(predict.recent_performance(days, asked).collect()) == sorted(want) and any(r.recent_hits for r in want)
+
+
+def test_walked_flat_is_the_ledger(spark, monkeypatch):
+    """Ledgers that stay full, run short, recover or die, over many batches of games: bets are bits, not rows."""
+    monkeypatch.setattr(backtest, "TOGETHER", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    own = some_games(spark)
+    rows = [(f"{c}", f"o{o}", s, c, o) for c in (combo(0), combo(3, 60), combo(0, 59, 80)) for o in (0, 1, 3, 6, 9) for s in (2001, 2002)] + [("absent", "o0", 2001, combo(5), 0)]
+    found = spark.createDataFrame(rows, "combo string, outcome string, test_season int, code long, o int").withColumns({"train_hits": F.lit(60), "train_n": F.lit(100)})
+    own = own.withColumn("bits", F.expr("bits | case when hash(game_id) % 100 < 0 then 64 else 0 end"))  # outcome 6 is even, 9 never comes
+    placed = backtest.bets(own, found)
+    book = backtest.ledger(placed, backtest.FOLD, "flat")
+    want = {r[:3]: r for r in backtest.tested(found, placed, book, 1).collect()}
+    money = {r[:3]: r for r in backtest.results(book, backtest.FOLD).collect()}
+    for name in ("bets", "ledger"):
+        monkeypatch.setattr(backtest, name, lambda *_, **__: 1 / 0)
+    flat = backtest.walked_flat(own, found)
+    got = {r[:3]: r for r in backtest.judged(found, flat, 1).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alike = lambda a, b: a == b or (isinstance(a, float) and abs(a - b) < 1e-8 * max(1, abs(b)))
+    assert got.keys() == want.keys() and len(want) == 30
+    for k, w in want.items():
+        assert all(alike(a, b) for a, b in zip(got[k][:-1], w[:-1], strict=True)), (got[k], w)
+    assert {r.bets < r.test_n for r in got.values()} == {True, False} and any(r.wagered != 200 * r.bets for r in money.values())
+    for r in flat.collect():
+        assert all(alike(r[c], money[r[:3]][c]) for c in ("bets", "wins", "wagered", "net", "roi", "peak", "final", "max_drawdown", "sharpe")), (r, money[r[:3]])
