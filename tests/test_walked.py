@@ -138,3 +138,31 @@ def test_walked_flat_is_the_ledger(spark, monkeypatch):
     assert {r.bets < r.test_n for r in got.values()} == {True, False} and any(r.wagered != 200 * r.bets for r in money.values())
     for r in flat.collect():
         assert all(alike(r[c], money[r[:3]][c]) for c in ("bets", "wins", "wagered", "net", "roi", "peak", "final", "max_drawdown", "sharpe")), (r, money[r[:3]])
+
+
+def test_walked_days_is_the_combined_ledger(spark, monkeypatch):
+    monkeypatch.setattr(backtest, "TOGETHER", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    own = some_games(spark)
+    rows = [(f"{c}", f"o{o}", s, c, o, hits, 100) for c in (combo(0), combo(3, 60)) for o in (0, 1, 9) for s in (2001, 2002) for hits in (53 + 5 * o,)] + [("none", "o2", 2001, combo(61), 2, 40, 100)]
+    found = spark.createDataFrame(rows, "combo string, outcome string, test_season int, code long, o int, train_hits long, train_n long").withColumn("train_rate", F.col("train_hits") / F.col("train_n"))
+    placed = backtest.bets(own, found)
+    for sizing in ("kelly", "halfKelly"):
+        want = sorted(backtest.combined(backtest.ledger(placed, backtest.FOLD, sizing), "test_season").collect())
+        with monkeypatch.context() as m:
+            for name in ("bets", "ledger"):
+                m.setattr(backtest, name, lambda *_, **__: 1 / 0)
+            days = backtest.walked_days(own, found, sizing=sizing)
+            got = sorted(backtest.combined_days(days, "test_season").collect())
+        assert len(got) == len(want) == 2 and days.count() == 180
+        for g, w in zip(got, want, strict=True):
+            assert g[:3] == w[:3] and all(abs(a - b) < 1e-8 * max(1, abs(b)) for a, b in zip(g[3:], w[3:], strict=True)), (g, w)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_walked_days_beyond_the_doubles(spark):
+    """Bankrolls beyond the doubles, on the day of both wins and losses without a sum, as the ledger's."""
+    own = spark.range(400_000).selectExpr("id game_id", "2001 season", "array(0) codes", "1L low", "0L high", "case when id % 1000 < 999 then 1L else 0L end bits", "date_add(date'2001-01-01', cast(id / 100000 as int)) date")
+    found = spark.createDataFrame([("a", "o", 2001, combo(0), 0, 0.9)], "combo string, outcome string, test_season int, code long, o int, train_rate double")
+    days = {r.date.day: r for r in backtest.walked_days(own, found).collect()}
+    assert [days[d].bets for d in (1, 2, 3, 4)] == [100_000] * 4 and days[4].wagered == float("inf") and days[4].profit != days[4].profit
