@@ -166,3 +166,41 @@ def test_walked_days_beyond_the_doubles(spark):
     found = spark.createDataFrame([("a", "o", 2001, combo(0), 0, 0.9)], "combo string, outcome string, test_season int, code long, o int, train_rate double")
     days = {r.date.day: r for r in backtest.walked_days(own, found).collect()}
     assert [days[d].bets for d in (1, 2, 3, 4)] == [100_000] * 4 and days[4].wagered == float("inf") and days[4].profit != days[4].profit
+
+
+def test_lined_picks_are_not_shuffled(spark):
+    """Lines meet games, not picks: the plan shuffles by game_id only what is a game's, and gives what with_prop_lines gives of picks."""
+    own = some_games(spark, 200)
+    outcomes = ("HOME_TOP_SCORER_25_PLUS:game", "AWAY_TOP_SCORER_30_PLUS:game", "AWAY_TOP_REBOUNDER_12_PLUS:game", "HOME_TOP_REBOUNDER_10_PLUS:game", "PLAYER_10_PLUS_REBOUNDS:game", "PLAYER_DOUBLE_DOUBLE:game", "AWAY_TOP_SCORER_DOUBLE_DOUBLE:game", "HOME_WIN:game")
+    rows = [(combo(*c), f"{c}", o, 0, 0.9, 0.2, 0.72, 300, 6) for c in ((0,), (3, 60)) for o in outcomes]
+    patterns = spark.createDataFrame(rows, "combo long, name string, outcome string, o int, confidence double, edge double, hit_rate double, sample long, n_seasons long")
+    tops = own.selectExpr("game_id", "stack(5, 'home', 'ppg', 1, 'away', 'ppg', 2, 'home', 'rpg', 3, 'away', 'rpg', 4, 'home', 'apg', 1) as (side, stat, p)").selectExpr("game_id", "side", "stat", "concat('Last', p, 'x') lastname")
+    props = own.selectExpr("game_id", "explode(sequence(1, 4)) p").selectExpr("*", "explode(array('player_points', 'player_rebounds')) market").selectExpr("game_id", "concat(if(p % 2 = 0, 'Z ', 'A '), 'Last', p, 'x') player", "market", "5.5 + hash(game_id, p, market) % 13 + 13 line").where("hash(line, game_id) % 4 <> 0")
+    props = props.withColumn("line", F.col("line").cast("double"))
+    props = props.unionByName(props.where("game_id % 3 = 0").selectExpr("game_id", "concat('B', player) player", "market", "line + 1 line"))
+    got = predict.lined_picks(own, patterns, tops, props)
+    held = predict.picks(own, patterns).select("game_id", "combo", "outcome")
+    want = predict.with_prop_lines(held, tops, props)
+    key = lambda r: tuple(map(str, r))
+    rows = sorted(got.collect(), key=key)
+    assert rows == sorted(want.collect(), key=key) and len(rows) == held.count() and {r.prop_line is None for r in rows} == {True, False}
+    by = {(r.game_id, r.outcome): (r.prop_player, r.prop_line) for r in rows}
+    lines, teams = {}, {(r.game_id, r.side, r.stat): r.lastname.lower() for r in tops.collect()}
+    for r in props.collect():
+        lines.setdefault((r.game_id, r.market), []).append((r.player, r.line))
+    for (g, o), told in by.items():
+        points, rebounds = "TOP_SCORER_25" in o or "TOP_SCORER_30" in o, "REBOUND" in o
+        if "WIN" in o:
+            assert told == (None, None)
+            continue
+        least = (28.5 if "30" in o else 23.5) if points else (10.5 if "12" in o else 8.5) if rebounds else float("-inf")
+        first = "home" if "DOUBLE_DOUBLE" in o or "HOME" in o or (rebounds and "AWAY" not in o) else "away"
+        for side in (first, *(() if points else ({"home": "away", "away": "home"}[first],))):
+            one = min((x for x in lines.get((g, "player_rebounds" if rebounds else "player_points"), []) if teams[g, side, "ppg" if points else "rpg"] in x[0].lower()), default=None)
+            if one and one[1] >= least:
+                assert told == one
+                break
+        else:
+            assert told == (None, None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan[: plan.index("BroadcastHashJoin")]
